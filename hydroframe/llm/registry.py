@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, urlfilter
+from . import ann, chat, decontaminate, urlfilter
 
 
 def queries() -> dict:
     return {
+        "op7_nearest_neighbours": ann.op7_nearest_neighbours,
         "op8_url_filters": urlfilter.op8_url_filters,
+        "op9_chat_formatting": chat.op9_chat_formatting,
         "op10_decontamination": decontaminate.op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filters": urlfilter.SQL, "op10_decontamination": decontaminate.SQL}
+    return {"op8_url_filters": urlfilter.SQL, "op9_chat_formatting": chat.SQL, "op10_decontamination": decontaminate.SQL}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontaminate, urlfilter
+from . import ann, chat, decontaminate, langid, mixing, urlfilter
 
 
 def queries() -> dict:
     return {
+        "op2_mixing": mixing.op2_mixing,
+        "op3_language_id": langid.op3_language_id,
         "op7_nearest_neighbours": ann.op7_nearest_neighbours,
         "op8_url_filters": urlfilter.op8_url_filters,
         "op9_chat_formatting": chat.op9_chat_formatting,
@@ -15,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filters": urlfilter.SQL, "op9_chat_formatting": chat.SQL, "op10_decontamination": decontaminate.SQL}
+    return {"op2_mixing": mixing.SQL, "op8_url_filters": urlfilter.SQL, "op9_chat_formatting": chat.SQL, "op10_decontamination": decontaminate.SQL}

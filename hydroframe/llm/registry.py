@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontaminate, langid, mixing, urlfilter
+from . import ann, chat, decontaminate, langid, mixing, toxicity, urlfilter
 
 
 def queries() -> dict:
     return {
         "op2_mixing": mixing.op2_mixing,
         "op3_language_id": langid.op3_language_id,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op7_nearest_neighbours": ann.op7_nearest_neighbours,
         "op8_url_filters": urlfilter.op8_url_filters,
         "op9_chat_formatting": chat.op9_chat_formatting,

@@ -113,7 +113,8 @@ def cut_windows(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndar
 def train(labelled: DataFrame, docs: int = TRAIN_DOCS, seed: int = 5) -> ByteCNN | None:
     """A network from a bounded sample of rows with ``doc_id, text, lang``."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "text", "lang").limit(docs).toArrow()
+    ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs).distinct()
+    picked = rows.join(F.broadcast(ids), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending"), ("lang", "ascending")]).slice(0, docs)
     if not picked.num_rows:
         return None
     rng = np.random.default_rng(seed)

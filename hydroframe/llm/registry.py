@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontaminate, langid, mixing, toxicity, urlfilter
+from . import ann, chat, decontaminate, langid, mixing, neardup, toxicity, urlfilter
 
 
 def queries() -> dict:
     return {
+        "op1_near_duplicates": neardup.op1_near_duplicates,
         "op2_mixing": mixing.op2_mixing,
         "op3_language_id": langid.op3_language_id,
         "op5_toxicity": toxicity.op5_toxicity,

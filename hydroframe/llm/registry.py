@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontaminate, langid, mixing, neardup, toxicity, urlfilter
+from . import ann, chat, decontaminate, langid, linededup, mixing, neardup, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_mixing": mixing.op2_mixing,
         "op3_language_id": langid.op3_language_id,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_line_dedup": linededup.op6_line_dedup,
         "op7_nearest_neighbours": ann.op7_nearest_neighbours,
         "op8_url_filters": urlfilter.op8_url_filters,
         "op9_chat_formatting": chat.op9_chat_formatting,

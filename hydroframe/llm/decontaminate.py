@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytesops as B
+from .graph import without
+from .store import Store
 
 MAX_WINDOWS = 2_000_000
 _BITS = 20
@@ -164,7 +166,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 10, mode:
     """
     spans = contamination(documents, benchmark, n, max_windows).where("hits is not null").select(F.col("doc_id").alias("_id"), "hits")
     if mode == "documents":
-        return documents.join(spans, documents.doc_id == spans._id, "left_anti")
+        return without(documents, Store(documents.sparkSession).write(spans.select(F.col("_id").alias("doc")).distinct()))
 
     @F.pandas_udf("string")
     def cut(text, hits):

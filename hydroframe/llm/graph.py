@@ -181,12 +181,21 @@ def by_bucket(blobs: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str)
     return blobs.groupBy("bucket").applyInArrow(fn, schema)
 
 
-def only(documents: DataFrame, ids: DataFrame, small: int = 1_000_000) -> DataFrame:
-    """Documents whose ``doc_id`` is in ``ids`` (``doc``, distinct): the ids are broadcast if they are
-    counted to be few, and joined by shuffle if not."""
-    side = ids.select(F.col("doc").alias("_doc"))
-    side = F.broadcast(side) if ids.count() <= small else side.hint("merge")
+FEW = 1_000_000
+
+
+def sized(side: DataFrame, rows: int, few: int = FEW) -> DataFrame:
+    """``side`` to be broadcast if it was counted to have few rows, else to be joined by shuffle."""
+    return F.broadcast(side) if rows <= few else side.hint("merge")
+
+
+def only(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose ``doc_id`` is in ``ids`` (column ``doc``, distinct)."""
+    side = sized(ids.select(F.col("doc").alias("_doc")), ids.count())
     return documents.join(side, documents.doc_id == F.col("_doc"), "left_semi")
 
 
-__all__ = ["components", "verified_links", "label_min", "splitmix"]
+def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose ``doc_id`` is not in ``ids`` (column ``doc``, distinct)."""
+    side = sized(ids.select(F.col("doc").alias("_doc")), ids.count())
+    return documents.join(side, documents.doc_id == F.col("_doc"), "left_anti")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytesops as B
-from .graph import BLOBS, blob_batch, by_bucket, components, label_min, only, pack, unpack, verified_links
+from .graph import BLOBS, blob_batch, by_bucket, components, label_min, only, pack, sized, unpack, verified_links
 from .store import Store, partitions
 
 TOKEN_BITS, SKETCH_BITS, RANGES = 44, 23, 64
@@ -327,6 +327,7 @@ def dedup_lines(documents: DataFrame, drop_emptied: bool = True) -> DataFrame:
     """Documents without their removed lines, in their own columns; with ``drop_emptied`` a
     document that loses its last word goes as a whole."""
     found = decisions(documents).where("size(gone) > 0").select(F.col("doc_id").alias("_doc"), "gone")
+    found = sized(found, found.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0])
 
     def rewrite(text: pd.Series, gone: pd.Series) -> pd.Series:
         out = []
@@ -340,7 +341,7 @@ def dedup_lines(documents: DataFrame, drop_emptied: bool = True) -> DataFrame:
 
     cut = F.pandas_udf(rewrite, "string")
     cols = documents.columns
-    rows = documents.join(found, F.coalesce(documents.doc_id.cast("long"), F.lit(-1)) == found._doc, "left").withColumn("text", cut("text", "gone"))
+    rows = documents.join(found, F.coalesce(documents.doc_id.cast("long"), F.lit(-1)) == F.col("_doc"), "left").withColumn("text", cut("text", "gone"))
     if "n_chars" in cols:
         rows = rows.withColumn("n_chars", F.when(F.col("gone").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(dict(documents.dtypes)["n_chars"]))
     if drop_emptied:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytesops as B
-from .graph import BLOBS, blob_batch, by_bucket, components, label_min, only, pack, unpack, verified_links
+from .graph import BLOBS, blob_batch, by_bucket, components, label_min, only, pack, unpack, verified_links, without
 from .store import Store, partitions
 
 BANDS, ROWS = 32, 5
@@ -192,8 +192,8 @@ def near_duplicates(documents: DataFrame, num: int = 4, den: int = 5) -> DataFra
 
 def deduplicate(documents: DataFrame) -> DataFrame:
     """One document of each class (the smallest doc_id), in the documents' own columns."""
-    dead = near_duplicates(documents).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
-    return documents.join(dead, documents.doc_id == dead._gone, "left_anti")
+    dead = Store(documents.sparkSession).write(near_duplicates(documents).where("doc_id <> class_id").select(F.col("doc_id").alias("doc")).distinct())
+    return without(documents, dead)
 
 
 def op1_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -227,8 +227,8 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Gram
     return Grammar(stems, weights, bias)
 
 
-def score(documents: DataFrame, grammar: Grammar) -> DataFrame:
-    """``documents`` with ``score`` (0 to 1)."""
+def score(documents: DataFrame, grammar: Grammar, name: str = "score") -> DataFrame:
+    """``documents`` with a score (0 to 1) in the column ``name``."""
     shared = documents.sparkSession.sparkContext.broadcast(grammar)
 
     def toxic(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -236,7 +236,7 @@ def score(documents: DataFrame, grammar: Grammar) -> DataFrame:
         for texts in parts:
             yield texts.map(matcher.score).astype("float64")
 
-    return documents.withColumn("score", F.pandas_udf(toxic, "double")(F.col("text").cast("string")))
+    return documents.withColumn(name, F.pandas_udf(toxic, "double")(F.col("text").cast("string")))
 
 
 def held_out(fold: int = 0, of: int = 5):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontaminate, langid, linededup, mixing, neardup, toxicity, urlfilter
+from . import ann, chat, decontaminate, langid, linededup, mixing, neardup, suffixdedup, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_near_duplicates": neardup.op1_near_duplicates,
         "op2_mixing": mixing.op2_mixing,
         "op3_language_id": langid.op3_language_id,
+        "op4_suffix_dedup": suffixdedup.op4_suffix_dedup,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_line_dedup": linededup.op6_line_dedup,
         "op7_nearest_neighbours": ann.op7_nearest_neighbours,

@@ -2,9 +2,9 @@
 
 A line is the set of its words (A-Z lower-cased).  Words are ordered by rarity; two lines of
 Jaccard 4/5 or more share a word among the first ``n - ceil(4n/5) + 1`` of both, so lines meet at
-those prefix words only.  Length, position and bitmap filters drop most meetings (the bitmap bounds
-the symmetric difference from below, so it never drops a true pair); what is left is verified on
-the whole word sets.  A line goes if the same set, or a linked one, stands earlier (smaller doc_id,
+those prefix words only.  Length, position and parity filters drop most meetings (each of 192 bits
+is the parity of the words hashed to it, so two lines' parities differ in no more bits than their
+words do, and no true pair is dropped); what is left is verified on the whole word sets.  A line goes if the same set, or a linked one, stands earlier (smaller doc_id,
 then smaller line number); all is judged on the input.
 
 Rarity comes from word counts over all documents in a table of 2**``SKETCH_BITS`` hashed counters,
@@ -38,7 +38,8 @@ _LINES = 1 << 13
 _PLACE = np.dtype([("node", "<i8"), ("doc", "<i8"), ("line", "<i4")])
 _GONE = np.dtype([("doc", "<i8"), ("line", "<i4")])
 _CELL = np.dtype([("cell", "<u4"), ("n", "<u4")])
-_ENTRY = np.dtype([("token", "<u8"), ("node", "<i8"), ("bits0", "<u8"), ("bits1", "<u8"), ("size", "<i4"), ("pos", "<i4"), ("part", "<i4")])
+_TEXT = np.dtype([("doc", "<i8"), ("h", "<i8"), ("lines", "<i8")])
+_ENTRY = np.dtype([("token", "<u8"), ("node", "<i8"), ("bits0", "<u8"), ("bits1", "<u8"), ("bits2", "<u8"), ("size", "<i4"), ("pos", "<i4")])
 
 
 def line_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -55,12 +56,13 @@ def line_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.searchsorted(breaks, start) + word_doc, h >> np.uint64(64 - TOKEN_BITS), line_doc, line_no
 
 
-def rarity(freq: np.ndarray) -> np.ndarray:
+def rarity(counts: np.ndarray) -> np.ndarray:
     """Counts in 128 logarithmic classes; class 0 is a count of at most one."""
-    return np.minimum(127, np.floor(8 * np.log2(np.maximum(freq, 1)))).astype(np.uint64)
+    table = np.minimum(127, np.floor(8 * np.log2(np.maximum(np.arange(65536), 1)))).astype(np.uint8)
+    return table[counts]
 
 
-def line_sets(line: np.ndarray, token: np.ndarray, sketch: np.ndarray | None):
+def line_sets(line: np.ndarray, token: np.ndarray, classes: np.ndarray | None):
     """(line, class, token) of the distinct words of each line, rarest first, in pieces of lines."""
     if not len(line):
         return
@@ -69,7 +71,7 @@ def line_sets(line: np.ndarray, token: np.ndarray, sketch: np.ndarray | None):
         if s == e:
             continue
         t = token[s:e]
-        c = rarity(sketch[(t >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int64)]) if sketch is not None else np.uint64(0)
+        c = classes[(t >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) if classes is not None else np.uint64(0)
         key = np.sort(((line[s:e] - lo).astype(np.uint64) << np.uint64(51)) | (c << np.uint64(44)) | t)
         key = key[np.r_[True, key[1:] != key[:-1]]]
         yield (key >> np.uint64(51)).astype(np.int64) + lo, (key >> np.uint64(44)) & np.uint64(127), key & np.uint64((1 << 44) - 1)
@@ -93,18 +95,21 @@ def _scan(batches, piece):
         ids = b.column("doc_id").fill_null(-1).to_numpy()
         for lo, hi, buf, offs in B.slices(b.column("text")):
             line, token, line_doc, line_no = line_words(buf, offs)
-            piece(ids[lo:hi], line, token, line_doc, line_no)
+            piece(ids[lo:hi], line, token, line_doc, line_no, buf, offs)
         yield b
 
 
 def _count_pass(documents: DataFrame, buckets: int) -> DataFrame:
     """Blobs: word counters (buckets below RANGES), each task's first positions of word sets
-    (from RANGES on), and positions that an earlier one in the same task settles (-1)."""
+    (from RANGES on), positions that an earlier one in the same task settles (-1), and each
+    document's text hash and lines (-2)."""
 
     def run(batches):
-        tokens, places = [], []
+        tokens, places, texts = [], [], []
 
-        def piece(ids, line, token, line_doc, line_no):
+        def piece(ids, line, token, line_doc, line_no, buf, offs):
+            lines = np.bincount(line_doc, minlength=len(ids)) * (np.diff(offs) > 0)
+            texts.append(np.rec.fromarrays([ids, B.span_hash(B.prefix_hash(buf), offs[:-1], offs[1:]).view(np.int64), lines], dtype=_TEXT))
             tokens.append((token >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.uint32))
             for ln, _, tk in line_sets(line, token, None):
                 which, _, node = set_ids(ln, tk)
@@ -123,7 +128,9 @@ def _count_pass(documents: DataFrame, buckets: int) -> DataFrame:
             places.clear()
             rows = pack((cells["cell"] >> np.uint32(SKETCH_BITS - 6)).astype(np.int64), cells)
             rows += [(RANGES + k, x) for k, x in pack(p["node"] % buckets, p)]
-            return blob_batch([*rows, (-1, gone.tobytes())])
+            rows += [(-1, gone.tobytes()), (-2, np.concatenate([np.zeros(0, _TEXT), *texts]).tobytes())]
+            texts.clear()
+            return blob_batch(rows)
 
         for _ in _scan(batches, piece):
             if sum(map(len, tokens)) > 1 << 23:
@@ -149,84 +156,90 @@ def _sketch(blobs: DataFrame) -> np.ndarray:
     return out
 
 
-def prefix_entries(ids, line, token, sketch: np.ndarray, seen: set | None = None) -> list[np.ndarray]:
+def prefix_entries(line, token, classes: np.ndarray) -> list[np.ndarray]:
     """Index rows of the prefix words of each distinct line of a slice."""
     out = []
-    for ln, cls, tk in line_sets(line, token, sketch):
+    for ln, cls, tk in line_sets(line, token, classes):
         _, first, node = set_ids(ln, tk)
         size = np.diff(np.r_[first, len(ln)])
-        code = B.splitmix(tk * B.PRIME + np.uint64(9))
-        bit = np.uint64(1) << (code & np.uint64(63))
-        upper = (code >> np.uint64(6)) & np.uint64(1) == 1
-        bits = [np.bitwise_or.reduceat(np.where(upper == side, bit, np.uint64(0)), first) for side in (False, True)]
-        pos = np.arange(len(ln)) - np.repeat(first, size)
+        bit, word = np.uint64(1) << (tk & np.uint64(63)), (tk >> np.uint64(6)) % np.uint64(3)
+        bits = [np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), first) for w in range(3)]
         once = np.zeros(len(first), bool)
         once[np.unique(node, return_index=True)[1]] = True
-        take = np.repeat(once, size) & (pos < np.repeat(size - (4 * size + 4) // 5 + 1, size)) & (cls > 0)
-        rep = lambda x: np.repeat(x, size)[take]
-        out.append(np.rec.fromarrays([tk[take], rep(node), rep(bits[0]), rep(bits[1]), rep(size).astype(np.int32), pos[take].astype(np.int32), np.zeros(take.sum(), np.int32)], dtype=_ENTRY))
+        pos = np.arange(len(ln)) - np.repeat(first, size)
+        take = np.flatnonzero((pos < np.repeat(np.where(once, size - (4 * size + 4) // 5 + 1, 0), size)) & (cls > 0))
+        of = np.repeat(np.arange(len(first)), size)[take]
+        e = np.empty(len(take), dtype=_ENTRY)
+        for name, v in (("token", tk[take]), ("node", node[of]), ("bits0", bits[0][of]), ("bits1", bits[1][of]), ("bits2", bits[2][of]), ("size", size[of]), ("pos", pos[take])):
+            e[name] = v
+        out.append(e)
     return out
 
 
-def spread(e: np.ndarray, sketch: np.ndarray, hot: int = HOT) -> np.ndarray:
-    """Rows of hot words once for each pair of blocks that their line's block takes part in."""
-    freq = sketch[(e["token"] >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
-    blocks = -(-freq // hot)
-    if not len(e) or blocks.max() <= 1:
-        return e
-    n = np.maximum(blocks, 1)
-    other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    r = np.repeat(e, n)
-    own = (B.splitmix(r["node"].view(np.uint64)) % np.repeat(n, n).astype(np.uint64)).astype(np.int64)
-    r["part"] = np.where(np.repeat(n, n) > 1, 1 + np.minimum(own, other) * 4096 + np.maximum(own, other), 0)
-    return r
-
-
-def meetings(e: np.ndarray, chunk: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+def spread(e: np.ndarray, classes: np.ndarray, hot: int = HOT) -> np.ndarray:
+    """Index rows by the key at which they meet: the word, or for a hot word each pair of blocks that
+    the line's block takes part in."""
+    cls = classes[(e["token"] >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int64)]
+    most = np.where(cls < 127, 2.0 ** ((cls.astype(np.float64) + 1) / 8), 65536.0 * 16)
+    n = np.maximum(1, np.ceil(most / hot)).astype(np.int64)
+    if len(e) and n.max() > 1:
+        other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        e, blocks = np.repeat(e, n), np.repeat(n, n)
+        own = (B.splitmix(e["node"].view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+        part = np.where(blocks > 1, 1 + np.minimum(own, other) * (1 << 20) + np.maximum(own, other), 0)
+    else:
+        part = np.zeros(len(e), np.int64)
+    e["token"] = B.splitmix(e["token"] + part.astype(np.uint64) * B.PRIME)
+    return e
+
+
+def meetings(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Node pairs that share an index word and pass the filters."""
-    e = e[np.lexsort((e["node"], e["size"], e["part"], e["token"]))]
+    e = e[np.argsort(e["node"], kind="stable")]
+    e = e[np.argsort(e["size"], kind="stable")]
+    e = e[np.argsort(e["token"], kind="stable")]
     if len(e):
-        same = (e["token"][1:] == e["token"][:-1]) & (e["node"][1:] == e["node"][:-1]) & (e["part"][1:] == e["part"][:-1])
-        e = e[np.r_[True, ~same]]
-    group = np.cumsum(np.r_[True, (e["token"][1:] != e["token"][:-1]) | (e["part"][1:] != e["part"][:-1])]) if len(e) else np.zeros(0, np.int64)
-    node, size, pos, bits0, bits1 = (np.ascontiguousarray(e[c]) for c in ("node", "size", "pos", "bits0", "bits1"))
-    size, pos = size.astype(np.int64), pos.astype(np.int64)
-    i = np.arange(len(e))
+        e = e[np.r_[True, (e["token"][1:] != e["token"][:-1]) | (e["node"][1:] != e["node"][:-1])]]
+    token, node, bits = e["token"].copy(), e["node"].copy(), [e[f"bits{k}"].copy() for k in range(3)]
+    size, pos = e["size"].astype(np.int64), e["pos"].astype(np.int64)
+    i, d = np.arange(len(e)), 0
     out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    d = 0
     while len(i):
         d += 1
-        i = i[i + d < len(e)]
+        i = i[: np.searchsorted(i, len(e) - d)]
+        j = i + d
+        i = i[(token[i] == token[j]) & (5 * size[i] >= 4 * size[j])]  # later ones are longer still
         j = i + d
-        ok = (group[i] == group[j]) & (5 * size[i] >= 4 * size[j])
-        i, j = i[ok], j[ok]
         need = (4 * (size[i] + size[j]) + 8) // 9
-        fits = (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need) & (np.bitwise_count(bits0[i] ^ bits0[j]).astype(np.int64) + np.bitwise_count(bits1[i] ^ bits1[j]) <= size[i] + size[j] - 2 * need)
-        if fits.any():
-            out_a.append(node[i[fits]])
-            out_b.append(node[j[fits]])
+        fits = np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need
+        a, b, slack = i[fits], j[fits], (size[i] + size[j] - 2 * need)[fits]
+        differ = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in bits)
+        near = differ <= slack
+        out_a.append(node[a[near]])
+        out_b.append(node[b[near]])
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def decisions(documents: DataFrame, hot: int = HOT) -> DataFrame:
+def decisions(documents: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """``doc_id, gone`` (sorted numbers of removed lines), ``n_links`` (links of the line sets that
-    stand first in the document); documents with neither are absent."""
+    stand first in the document), without documents that have neither; and for each row
+    ``doc_id, class_id`` (smallest id with the same text), ``n_lines``."""
     spark, store = documents.sparkSession, Store(documents.sparkSession)
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = 4 * partitions(spark)
     counted = store.write(_count_pass(slim, buckets))
-    shared = spark.sparkContext.broadcast(_sketch(counted))
+    shared = spark.sparkContext.broadcast(rarity(_sketch(counted)))
 
     def index(batches):
-        sketch, rows = shared.value, []
+        classes, rows = shared.value, []
 
-        def piece(ids, line, token, line_doc, line_no):
-            rows.extend(prefix_entries(ids, line, token, sketch))
+        def piece(ids, line, token, *_):
+            rows.extend(prefix_entries(line, token, classes))
 
         def flush():
-            e = spread(np.concatenate([np.zeros(0, _ENTRY), *rows]), sketch, hot)
+            e = spread(np.concatenate([np.zeros(0, _ENTRY), *rows]), classes, hot)
             rows.clear()
-            return blob_batch(pack(((B.splitmix(e["token"] + e["part"].astype(np.uint64) * B.PRIME)) % np.uint64(buckets)).astype(np.int64), e))
+            return blob_batch(pack((e["token"] % np.uint64(buckets)).astype(np.int64), e))
 
         for _ in _scan(batches, piece):
             if sum(map(len, rows)) > 1 << 19:
@@ -305,28 +318,29 @@ def decisions(documents: DataFrame, hot: int = HOT) -> DataFrame:
 
     rows = rows.unionByName(counted.where("bucket = -1").mapInArrow(local, "doc long, line int, n long"))
     out = rows.groupBy("doc").agg(F.array_sort(F.collect_set(F.when(F.col("line") >= 0, F.col("line")))).alias("gone"), F.sum("n").alias("n_links"))
-    return store.write(out.select(F.col("doc").alias("doc_id"), "gone", "n_links"))
+    out = store.write(out.select(F.col("doc").alias("doc_id"), "gone", "n_links"))
 
+    def texts(batches):
+        for b in batches:
+            t = unpack(pa.Table.from_batches([b]), _TEXT)
+            yield pa.RecordBatch.from_arrays([pa.array(t[c].copy()) for c in ("doc", "h", "lines")], ["doc", "h", "n_lines"])
 
-def _classes(documents: DataFrame, store: Store) -> DataFrame:
-    """``doc_id, class_id, n_lines``: the smallest doc_id with the same text."""
-    h = store.write(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.col("text").cast("string"))).alias("h"), F.coalesce(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines")))
-    first = store.write(h.groupBy("h").agg(F.min("doc_id").alias("class_id")))
-    return h.join(first, "h", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_lines")
+    every = counted.where("bucket = -2").mapInArrow(texts, "doc long, h long, n_lines long")
+    first = store.write(every.groupBy("h").agg(F.min(F.when(F.col("doc") >= 0, F.col("doc"))).alias("class_id")))
+    return out, every.join(first, "h").select(F.col("doc").alias("doc_id"), "class_id", "n_lines")
 
 
 def line_report(documents: DataFrame) -> DataFrame:
     """``doc_id, class_id, n_lines, n_removed, n_links``."""
-    found = decisions(documents).withColumnRenamed("doc_id", "_doc")
-    rows = _classes(documents, Store(documents.sparkSession))
-    out = rows.join(found, F.coalesce("doc_id", F.lit(-1)) == found._doc, "left")
-    return out.select("doc_id", "class_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    found, rows = decisions(documents)
+    out = rows.join(found, "doc_id", "left")
+    return out.select(F.when(F.col("doc_id") >= 0, F.col("doc_id")).alias("doc_id"), "class_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def dedup_lines(documents: DataFrame, drop_emptied: bool = True) -> DataFrame:
     """Documents without their removed lines, in their own columns; with ``drop_emptied`` a
     document that loses its last word goes as a whole."""
-    found = decisions(documents).where("size(gone) > 0").select(F.col("doc_id").alias("_doc"), "gone")
+    found = decisions(documents)[0].where("size(gone) > 0").select(F.col("doc_id").alias("_doc"), "gone")
     found = sized(found, found.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0])
 
     def rewrite(text: pd.Series, gone: pd.Series) -> pd.Series:

@@ -13,8 +13,6 @@ import numpy as np
 
 from .bytesops import BYTE_CODE, powers
 
-_PACK = 7  # symbols of 9 bits in the first sort key
-
 
 class RunLengthIndex:
     """``text``: bytes of all strings; ``offsets``: where each begins, and the total."""
@@ -39,26 +37,43 @@ class RunLengthIndex:
         np.cumsum(BYTE_CODE[text] * powers(self.n)[0][: self.n], dtype=np.uint64, out=self._hash[1:])
 
     def _sort(self, longest: int) -> np.ndarray:
-        n, at = self.n, np.arange(self.n)
+        """Prefix doubling.  A short text's ranks and positions share one word, so each round sorts
+        plain numbers; a text of more than 2**21 bytes sorts positions by key."""
+        n = self.n
         if not n:
-            return at
-        symbol = self.text.astype(np.uint64) + np.uint64(1)
+            return np.zeros(0, np.int64)
+        bits = n.bit_length()
+        packed = 3 * bits <= 64
+        used = np.flatnonzero(np.bincount(self.text, minlength=256))
+        code = np.zeros(256, dtype=np.uint64)
+        code[used] = np.arange(1, len(used) + 1)
+        symbol, width = code[self.text], int(len(used)).bit_length()
+        k = max(1, ((64 - bits) if packed else 63) // width)
+        at = np.arange(n)
+        left = self.end - at
         key = np.zeros(n, dtype=np.uint64)
-        for j in range(_PACK):
-            key <<= np.uint64(9)
-            inside = (at + j < self.end)[: n - j] if j else np.ones(n, bool)
-            key[: n - j][inside] |= symbol[j:][inside] if j else symbol
-        k = _PACK
+        for j in range(k):
+            key <<= np.uint64(width)
+            if j < n:
+                key[: n - j] |= np.where(left[: n - j] > j, symbol[j:], np.uint64(0))
+        shift, mask = np.uint64(bits), np.uint64((1 << bits) - 1)
+        place = at.astype(np.uint64)
         while True:
-            order = np.argsort(key)
-            s = key[order]
+            if packed:
+                s = np.sort((key << shift) | place)
+                order = (s & mask).astype(np.int64)
+                s >>= shift
+            else:
+                order = np.argsort(key, kind="stable")
+                s = key[order]
+            new = np.r_[True, s[1:] != s[:-1]]
+            if k >= longest or new.all():
+                return order
             rank = np.empty(n, dtype=np.uint64)
-            rank[order] = np.cumsum(np.r_[True, s[1:] != s[:-1]]).astype(np.uint64)
-            if k >= longest or rank.max() == n:
-                return np.argsort((rank << np.uint64(32)) | at.astype(np.uint64))
-            key = rank << np.uint64(32)
-            inside = np.flatnonzero(at[: max(n - k, 0)] + k < self.end[: max(n - k, 0)])
-            key[inside] |= rank[inside + k]
+            rank[order] = np.cumsum(new).astype(np.uint64)
+            key = rank << shift
+            if k < n:
+                key[: n - k] |= np.where(left[: n - k] > k, rank[k:], np.uint64(0))
             k *= 2
 
     def _common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -40,6 +40,7 @@ from .rindex import RunLengthIndex
 from .store import Store, partitions
 
 LENGTH, GRAM = 100, 16
+INDEX_BYTES = 1 << 19
 _POSITION = np.uint64((1 << 24) - 1)
 _PIECE = 1 << 22
 _SEGMENT = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("windows", "<i4")])
@@ -97,6 +98,18 @@ def _not_first(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (p["doc"] != p["doc"][head]) | (p["start"] != p["start"][head])
 
 
+def _runs(anchor: np.ndarray, size: np.ndarray, most: int) -> Iterator[slice]:
+    """Runs of whole anchors (sorted) of about ``most`` bytes, for indexes that stay in cache."""
+    first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]) if len(anchor) else np.zeros(0, np.int64)
+    if not len(first):
+        return
+    total = np.cumsum(np.add.reduceat(size, first))
+    cut = np.flatnonzero(np.r_[True, total[1:] // most != total[:-1] // most])
+    edges = np.r_[first[cut], len(anchor)]
+    for s, e in zip(edges[:-1], edges[1:]):
+        yield slice(int(s), int(e))
+
+
 def _by_content(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Segments in the order of (anchor, content, position), and which are the first of theirs."""
     p = p[np.lexsort((p["start"], p["doc"], p["content"], p["anchor"]))]
@@ -197,15 +210,20 @@ def removed_spans(documents: DataFrame, store: Store | None = None) -> DataFrame
         body = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, np.uint8) for x in table["body"].to_pylist())])
         size = head["windows"].astype(np.int64) + LENGTH - 1
         start = np.cumsum(size) - size
-        order = np.lexsort((head["start"], head["doc"]))
-        n = size[order]
-        offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
-        text = body[np.repeat(start[order] - offsets[:-1], n) + np.arange(n.sum())]
-        again = RunLengthIndex(text, offsets).repeats(LENGTH)
-        seg = np.searchsorted(offsets, again, side="right") - 1
-        h = head[order][seg]
-        place = h["start"] + (again - offsets[seg])
-        span = np.rec.fromarrays([h["doc"], place, np.ones(len(h), np.int32)], dtype=_SPAN)
+        spans = [np.zeros(0, _SPAN)]
+        by_anchor = np.argsort(head["anchor"], kind="stable")
+        for part in _runs(head["anchor"][by_anchor], size[by_anchor], INDEX_BYTES):
+            mine = by_anchor[part]
+            order = mine[np.lexsort((head["start"][mine], head["doc"][mine]))]
+            n = size[order]
+            offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+            text = body[np.repeat(start[order] - offsets[:-1], n) + np.arange(n.sum())]
+            again = RunLengthIndex(text, offsets).repeats(LENGTH)
+            seg = np.searchsorted(offsets, again, side="right") - 1
+            h = head[order[seg]]
+            spans.append(np.rec.fromarrays([h["doc"], h["start"] + (again - offsets[seg]), np.ones(len(h), np.int32)], dtype=_SPAN))
+        span = np.concatenate(spans)
+        span = span[np.lexsort((span["start"], span["doc"]))]
         joined = np.r_[True, (span["doc"][1:] != span["doc"][:-1]) | (span["start"][1:] != span["start"][:-1] + 1)] if len(span) else np.zeros(0, bool)
         runs = np.flatnonzero(joined)
         span = np.rec.fromarrays([span["doc"][runs], span["start"][runs], np.diff(np.r_[runs, len(span)]).astype(np.int32)], dtype=_SPAN)

@@ -20,12 +20,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytesops as B
-from .graph import without
-from .store import Store
+from .store import text_batches
 
 MAX_WINDOWS = 2_000_000
 _BITS = 20
@@ -131,13 +131,7 @@ def _merge(spans: list) -> np.ndarray:
 def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Per document: ``n_words``, ``hits`` (int64 pairs of hit word spans, merged; null if none)
     and ``items`` (ids of the benchmark items with a window in it)."""
-    windows = benchmark_windows(benchmark, n)
-    pieces: list[dict[bytes, set[str]]] = [{}]
-    for row in windows.toLocalIterator():
-        if len(pieces[-1]) >= max_windows:
-            pieces.append({})
-        pieces[-1][row.window.encode()] = set(row.items) or {None}
-    passes = [_scan_pass(documents, p) for p in pieces]
+    passes = [_scan_pass(documents, p) for p in _pieces_of(benchmark, n, max_windows)]
     if len(passes) == 1:
         return passes[0]
     both = passes[0]
@@ -158,22 +152,56 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def _pieces_of(benchmark: DataFrame, n: int, max_windows: int) -> list[dict[bytes, set]]:
+    """The distinct windows in tables of at most ``max_windows``."""
+    text_batches(benchmark.sparkSession)
+    pieces: list[dict[bytes, set]] = [{}]
+    for row in benchmark_windows(benchmark, n).toLocalIterator():
+        if len(pieces[-1]) >= max_windows:
+            pieces.append({})
+        pieces[-1][row.window.encode()] = set(row.items) or {None}
+    return pieces
+
+
+def _hits(shared):
+    """A column function: the merged hit word spans of a text, null if it has none."""
+
+    def hits(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table = WindowSet(shared.value)
+        for texts in parts:
+            out: list = []
+            for lo, hi, buf, offs in B.slices(pa.array(texts, pa.string(), from_pandas=True)):
+                spans: list[list] = [[] for _ in range(hi - lo)]
+                for r, at, k, _ in table.scan(buf, offs):
+                    if at >= 0:
+                        spans[r].append((at, at + k))
+                out += [_merge(x).tobytes() if x else None for x in spans]
+            yield pd.Series(out, dtype=object)
+
+    return F.pandas_udf(hits, "binary")
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 10, mode: str = "documents", max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Documents without benchmark passages, in their own columns.
 
     ``mode="documents"`` drops documents with a hit; ``mode="spans"`` keeps them and cuts the hit
     word spans (from the first byte of the first word to the last byte of the last) out of the text.
+    Each row is decided where it is read, so nothing is joined or shuffled.
     """
-    spans = contamination(documents, benchmark, n, max_windows).where("hits is not null").select(F.col("doc_id").alias("_id"), "hits")
+    spark = documents.sparkSession
+    found = [_hits(spark.sparkContext.broadcast(w))(F.col("text").cast("string")) for w in _pieces_of(benchmark, n, max_windows)]
     if mode == "documents":
-        return without(documents, Store(documents.sparkSession).write(spans.select(F.col("_id").alias("doc")).distinct()))
+        for f in found:
+            documents = documents.where(f.isNull())
+        return documents
 
-    @F.pandas_udf("string")
-    def cut(text, hits):
-        return text.combine(hits, lambda t, h: t if h is None or t is None else _cut(t, np.frombuffer(h, np.int64).reshape(-1, 2)))
+    def cut(text: pd.Series, *hits: pd.Series) -> pd.Series:
+        rows = zip(text, *hits)
+        return pd.Series([t if t is None or all(h is None for h in hs) else _cut(t, _merge([tuple(p) for h in hs if h is not None for p in np.frombuffer(h, np.int64).reshape(-1, 2)])) for t, *hs in rows], dtype=object)
 
     cols = documents.columns
-    return documents.join(spans, documents.doc_id == spans._id, "left").withColumn("text", cut("text", "hits")).select(*cols)
+    marked = documents.withColumns({f"__hf_hits{k}": f for k, f in enumerate(found)})
+    return marked.withColumn("text", F.pandas_udf(cut, "string")("text", *(f"__hf_hits{k}" for k in range(len(found))))).select(*cols)
 
 
 def _cut(text: str, spans: np.ndarray) -> str:

@@ -191,11 +191,11 @@ def sized(side: DataFrame, rows: int, few: int = FEW) -> DataFrame:
 
 def only(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """Documents whose ``doc_id`` is in ``ids`` (column ``doc``, distinct)."""
-    side = sized(ids.select(F.col("doc").alias("_doc")), ids.count())
-    return documents.join(side, documents.doc_id == F.col("_doc"), "left_semi")
+    side = sized(ids.select(F.col("doc").alias("__hf_doc")), ids.count())
+    return documents.join(side, documents.doc_id == F.col("__hf_doc"), "left_semi")
 
 
 def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """Documents whose ``doc_id`` is not in ``ids`` (column ``doc``, distinct)."""
-    side = sized(ids.select(F.col("doc").alias("_doc")), ids.count())
-    return documents.join(side, documents.doc_id == F.col("_doc"), "left_anti")
+    side = sized(ids.select(F.col("doc").alias("__hf_doc")), ids.count())
+    return documents.join(side, documents.doc_id == F.col("__hf_doc"), "left_anti")

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytesops as B
+from .store import text_batches
 
 TRAIN_DOCS, TRAIN_WINDOWS = 3000, 4
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 8, (2, 3, 4, 5)
@@ -141,6 +142,7 @@ def identify(documents: DataFrame, model: ByteCNN | None) -> DataFrame:
     slim = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     if model is None:
         return slim.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    text_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     id_type = dict(slim.dtypes)["doc_id"]
 
@@ -166,7 +168,7 @@ def identify(documents: DataFrame, model: ByteCNN | None) -> DataFrame:
 
 
 def held_out(fold: int, of: int):
-    return F.crc32(F.col("doc_id").cast("string")) % of == fold
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of == fold, F.lit(False))
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,8 @@ a task in the shuffle.  Only lines in candidate groups ship their word sets.
 
 Defined cases: lines without a word are never removed and have no links; null and empty texts have
 no removable lines; rows that repeat a doc_id share its positions and decisions, so a repeated row
-does not remove itself; extra columns are ignored.
+does not remove itself; rows without a doc_id have no place in the order, lose nothing and remove
+nothing; extra columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -92,7 +93,7 @@ def later_than_first(p: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _scan(batches, piece):
     for b in batches:
-        ids = b.column("doc_id").fill_null(-1).to_numpy()
+        ids = b.column("doc_id").to_numpy()
         for lo, hi, buf, offs in B.slices(b.column("text")):
             line, token, line_doc, line_no = line_words(buf, offs)
             piece(ids[lo:hi], line, token, line_doc, line_no, buf, offs)
@@ -225,7 +226,7 @@ def decisions(documents: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFram
     stand first in the document), without documents that have neither; and for each row
     ``doc_id, class_id`` (smallest id with the same text), ``n_lines``."""
     spark, store = documents.sparkSession, Store(documents.sparkSession)
-    slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = 4 * partitions(spark)
     counted = store.write(_count_pass(slim, buckets))
     shared = spark.sparkContext.broadcast(rarity(_sketch(counted)))
@@ -326,22 +327,24 @@ def decisions(documents: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFram
             yield pa.RecordBatch.from_arrays([pa.array(t[c].copy()) for c in ("doc", "h", "lines")], ["doc", "h", "n_lines"])
 
     every = counted.where("bucket = -2").mapInArrow(texts, "doc long, h long, n_lines long")
-    first = store.write(every.groupBy("h").agg(F.min(F.when(F.col("doc") >= 0, F.col("doc"))).alias("class_id")))
+    first = store.write(every.groupBy("h").agg(F.min("doc").alias("class_id")))
     return out, every.join(first, "h").select(F.col("doc").alias("doc_id"), "class_id", "n_lines")
 
 
 def line_report(documents: DataFrame) -> DataFrame:
     """``doc_id, class_id, n_lines, n_removed, n_links``."""
     found, rows = decisions(documents)
-    out = rows.join(found, "doc_id", "left")
-    return out.select(F.when(F.col("doc_id") >= 0, F.col("doc_id")).alias("doc_id"), "class_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = rows.join(found, "doc_id", "left").select("doc_id", "class_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    none, text = F.lit(0).cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    nameless = documents.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.when(text == "", 0).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("n_lines"), none.alias("n_removed"), none.alias("n_links"))
+    return out.unionByName(nameless)
 
 
 def dedup_lines(documents: DataFrame, drop_emptied: bool = True) -> DataFrame:
     """Documents without their removed lines, in their own columns; with ``drop_emptied`` a
     document that loses its last word goes as a whole."""
-    found = decisions(documents)[0].where("size(gone) > 0").select(F.col("doc_id").alias("_doc"), "gone")
-    found = sized(found, found.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0])
+    found = decisions(documents)[0].where("size(gone) > 0").select(F.col("doc_id").alias("__hf_doc"), F.col("gone").alias("__hf_gone"))
+    found = sized(found, found.agg(F.coalesce(F.sum(F.size("__hf_gone")), F.lit(0))).first()[0])
 
     def rewrite(text: pd.Series, gone: pd.Series) -> pd.Series:
         out = []
@@ -355,11 +358,11 @@ def dedup_lines(documents: DataFrame, drop_emptied: bool = True) -> DataFrame:
 
     cut = F.pandas_udf(rewrite, "string")
     cols = documents.columns
-    rows = documents.join(found, F.coalesce(documents.doc_id.cast("long"), F.lit(-1)) == F.col("_doc"), "left").withColumn("text", cut("text", "gone"))
+    rows = documents.join(found, documents.doc_id == F.col("__hf_doc"), "left").withColumn("text", cut("text", "__hf_gone"))
     if "n_chars" in cols:
-        rows = rows.withColumn("n_chars", F.when(F.col("gone").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(dict(documents.dtypes)["n_chars"]))
+        rows = rows.withColumn("n_chars", F.when(F.col("__hf_gone").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(dict(documents.dtypes)["n_chars"]))
     if drop_emptied:
-        rows = rows.where(F.col("gone").isNull() | F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"))
+        rows = rows.where(F.col("__hf_gone").isNull() | F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"))
     return rows.select(*cols)
 
 

@@ -79,9 +79,9 @@ def mix(docs: DataFrame, weights: dict = WEIGHTS, num: int = NUM, den: int = DEN
     spark, levels = docs.sparkSession, list(LEVELS)
     store = Store(spark)
     keyed = docs.withColumn("domain", F.coalesce(domain(F.col("source")), F.lit("(null)"))).withColumn("n_tokens", token_count(F.col("text")))
-    leaf = {f"_{x}": F.coalesce(F.col(x), F.lit("(null)")) for x in levels}
+    leaf = {f"__hf_{x}": F.coalesce(F.col(x), F.lit("(null)")) for x in levels}
     keyed = keyed.withColumns(leaf)
-    slim = store.write(keyed.where("n_tokens > 0").select("doc_id", *(F.col(f"_{x}").alias(x) for x in levels), "n_tokens"))
+    slim = store.write(keyed.where("n_tokens > 0").select("doc_id", *(F.col(f"__hf_{x}").alias(x) for x in levels), "n_tokens"))
     stats = slim.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"))
     total = F.expr(f"cast(sum(tokens) over (partition by 0) * {num} div {den} as long)")
     plan = budgets(stats.withColumn("all", total), F.col("all"), weights, max_epochs).select(*levels, "tokens", "budget")
@@ -95,12 +95,12 @@ def mix(docs: DataFrame, weights: dict = WEIGHTS, num: int = NUM, den: int = DEN
     upto = Window.partitionBy(*levels).orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = store.write(within.withColumn("c", F.col("s0") + F.sum("n").over(upto)).where("c <= prefix").select(*levels, "doc_id").distinct())
     side = lambda t, tag: t.select(*(F.col(c).alias(f"{tag}{c}") for c in t.columns))
-    on = lambda tag: [F.col(f"_{x}") == F.col(f"{tag}{x}") for x in levels]
-    out = keyed.where("n_tokens > 0").join(side(plan, "_p_"), on("_p_")).join(side(ends, "_e_"), on("_e_"), "left")
-    out = out.join(side(edge, "_b_"), [*on("_b_"), F.col("doc_id").eqNullSafe(F.col("_b_doc_id"))], "left")
-    bucket = F.substring(_ordering(F.col("doc_id"), F.col("_p_epoch"), seed), 1, HEX)
-    extra = (bucket < F.col("_e_last")) | F.coalesce(F.col("_b_domain").isNotNull(), F.lit(False))
-    out = out.withColumn("copies", (F.col("_p_epoch") + F.when(extra, 1).otherwise(0)).cast("long")).where("copies > 0")
+    on = lambda tag: [F.col(f"__hf_{x}") == F.col(f"{tag}{x}") for x in levels]
+    out = keyed.where("n_tokens > 0").join(side(plan, "__hf_p_"), on("__hf_p_")).join(side(ends, "__hf_e_"), on("__hf_e_"), "left")
+    out = out.join(side(edge, "__hf_b_"), [*on("__hf_b_"), F.col("doc_id").eqNullSafe(F.col("__hf_b_doc_id"))], "left")
+    bucket = F.substring(_ordering(F.col("doc_id"), F.col("__hf_p_epoch"), seed), 1, HEX)
+    extra = (bucket < F.col("__hf_e_last")) | F.coalesce(F.col("__hf_b_domain").isNotNull(), F.lit(False))
+    out = out.withColumn("copies", (F.col("__hf_p_epoch") + F.when(extra, 1).otherwise(0)).cast("long")).where("copies > 0")
     return out.select(*[c for c in docs.columns if c not in ("domain", "n_tokens", "copies")], "domain", "n_tokens", "copies")
 
 

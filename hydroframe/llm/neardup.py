@@ -18,7 +18,8 @@ a bucket once, so groups of exact copies weigh no more than one document a task.
 packed into one blob for each task and bucket.
 
 Defined cases: null texts and texts without a word are alone in their class; a text of one to
-four words is one shingle; repeated ids are kept as they are; extra columns are ignored.
+four words is one shingle; rows that repeat an id stay or go together; a null id never names a class
+unless all of it are null, and its row is never removed; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ M = BANDS * ROWS
 _ENTRY = np.dtype([("key", "<i8"), ("node", "<i8")])
 _MEMBER = np.dtype([("doc", "<i8"), ("node", "<i8"), ("words", "<i8")])
 _SEED = np.uint64(0x5851F42D4C957F2D)
+_NO_ID = (1 << 63) - 1  # stands for a null doc_id, behind all others
 
 
 def multiset(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +90,7 @@ def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int,
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """n x BANDS keys."""
-    parts = sig.reshape(len(sig), -1, ROWS)
+    parts = sig.reshape(len(sig), sig.shape[1] // ROWS, ROWS)
     acc = np.zeros(parts.shape[:2], dtype=np.uint64) + np.arange(1, parts.shape[1] + 1, dtype=np.uint64) * _SEED
     for j in range(ROWS):
         acc = B.splitmix(acc * B.PRIME + parts[:, :, j])
@@ -110,6 +112,12 @@ def expand(element: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.unique(B.splitmix(np.repeat(element, weight) * B.PRIME + j.astype(np.uint64)))
 
 
+def _distinct(e: np.ndarray) -> np.ndarray:
+    """Entries in the order of (key, node), each once."""
+    e = e[np.lexsort((e["node"], e["key"]))]
+    return e[np.r_[True, (e["key"][1:] != e["key"][:-1]) | (e["node"][1:] != e["node"][:-1])]] if len(e) else e
+
+
 def _bags(batch_text):
     """(first row, bags, rows) of pieces of a batch, fewer than 2**15 documents each."""
     for lo, hi, buf, offs in B.slices(batch_text):
@@ -128,9 +136,17 @@ def near_duplicates(documents: DataFrame, num: int = 4, den: int = 5) -> DataFra
     buckets = 4 * partitions(spark)
 
     def sign(batches):
+        entries, members = [], []
+
+        def flush():
+            e = _distinct(np.concatenate([np.zeros(0, _ENTRY), *entries]))
+            m = np.concatenate([np.zeros(0, _MEMBER), *members])
+            entries.clear()
+            members.clear()
+            return blob_batch([*pack(e["key"] % buckets, e), (-1, m.tobytes())])
+
         for b in batches:
-            ids = b.column("doc_id").fill_null(-1).to_numpy()
-            entries, members = [], []
+            ids = b.column("doc_id").fill_null(_NO_ID).to_numpy()
             for lo, n, (row, element, weight) in _bags(b.column("text")):
                 node = node_ids(row, element, weight, n)
                 members.append(np.rec.fromarrays([ids[lo : lo + n], node, np.bincount(row, weights=weight, minlength=n).astype(np.int64)], dtype=_MEMBER))
@@ -142,14 +158,14 @@ def near_duplicates(documents: DataFrame, num: int = 4, den: int = 5) -> DataFra
                 mine = keep[row]
                 keys = band_keys(signatures(number[row[mine]], element[mine], weight[mine], int(keep.sum())))
                 entries.append(np.rec.fromarrays([keys.ravel(), np.repeat(node[keep], BANDS)], dtype=_ENTRY))
-            e = np.unique(np.concatenate([np.zeros(0, _ENTRY), *entries]))
-            m = np.concatenate([np.zeros(0, _MEMBER), *members])
-            yield blob_batch([*pack(e["key"] % buckets, e), (-1, m.tobytes())])
+            if sum(map(len, entries)) > 1 << 20:
+                yield flush()
+        yield flush()
 
     signed = store.write(slim.mapInArrow(sign, BLOBS))
 
     def chain(table: pa.Table) -> pa.Table:
-        e = np.unique(unpack(table, _ENTRY))
+        e = _distinct(unpack(table, _ENTRY))
         next_ = e["key"][1:] == e["key"][:-1]
         a, b = e["node"][:-1][next_], e["node"][1:][next_]
         nodes, root = label_min(a, b)
@@ -187,7 +203,8 @@ def near_duplicates(documents: DataFrame, num: int = 4, den: int = 5) -> DataFra
     of_node = store.write(groups.join(store.write(named), "comp").join(degree, "node").select("node", "class", "links"))
     own = store.write(firsts.join(of_node, "node", "left").select("node", F.coalesce("class", "doc").alias("class"), F.coalesce("links", F.lit(0)).cast("long").alias("links")))
     out = store.write(members).join(own, "node", "left")
-    return out.select(F.when(F.col("doc") >= 0, F.col("doc")).alias("doc_id"), F.coalesce("class", F.when(F.col("doc") >= 0, F.col("doc"))).alias("class_id"), F.col("words").alias("n_words"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    known = lambda c: F.when(c != _NO_ID, c)
+    return out.select(known(F.col("doc")).alias("doc_id"), known(F.coalesce("class", "doc")).alias("class_id"), F.col("words").alias("n_words"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ class Store:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        text_batches(spark)
         self.root = f"{shared_dir(spark)}/hydroframe-{uuid.uuid4().hex}"
         self.made = 0
 
@@ -42,5 +43,16 @@ class Store:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows of text in an Arrow batch: some MB, where Spark's 10000 rows may be hundreds.
+TEXT_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session for rows that hold texts."""
+    if not 0 < int(spark.conf.get(_ROWS)) <= TEXT_ROWS:
+        spark.conf.set(_ROWS, str(TEXT_ROWS))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -21,8 +21,8 @@ shuffled.  Segment rows are 32 bytes for each 38 bytes of text, packed into blob
 group sends one row a task and segment, whatever its size.
 
 Defined cases: null text counts as empty; texts under ``LENGTH`` bytes have no string and keep all;
-rows that repeat a doc_id share its positions, so a repeated row does not mark itself; extra
-columns are ignored.
+rows that repeat a doc_id share its positions, so a repeated row does not mark itself; rows without a
+doc_id have no place in the order and stay whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -133,21 +133,28 @@ def removed_spans(documents: DataFrame, store: Store | None = None) -> DataFrame
     """``doc, spans`` (int64 pairs of byte positions) of the documents that lose bytes."""
     spark = documents.sparkSession
     store = store or Store(spark)
-    slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = 4 * partitions(spark)
 
     def cut(batches):
+        found: list[np.ndarray] = []
+
+        def flush():
+            p, first = _by_content(np.concatenate([np.zeros(0, _SEGMENT), *found]))
+            found.clear()
+            again = _spans(p[_not_first(p, first)])
+            p = p[first]
+            rows = pack((B.splitmix(p["anchor"]) % np.uint64(buckets)).astype(np.int64), p)
+            return blob_batch([*rows, *((-1 - k, x) for k, x in pack(again["doc"] % buckets, again))])
+
         for b in batches:
-            ids = b.column("doc_id").fill_null(-1).to_numpy()
-            found = [np.zeros(0, _SEGMENT)]
+            ids = b.column("doc_id").to_numpy()
             for lo, hi, buf, offs, base in _pieces(b.column("text")):
                 anchor, content, doc, start, windows = segments(buf, offs)
                 found.append(np.rec.fromarrays([anchor, content, ids[lo:hi][doc], start + base, windows.astype(np.int32)], dtype=_SEGMENT))
-            p, first = _by_content(np.concatenate(found))
-            again = _spans(p[_not_first(p, first)])
-            p = p[first]
-            rows = pack((B.splitmix(p["anchor"]) % np.uint64(buckets)).astype(np.int64), p)
-            yield blob_batch([*rows, *((-1 - k, x) for k, x in pack(again["doc"] % buckets, again))])
+            if sum(map(len, found)) > 1 << 20:
+                yield flush()
+        yield flush()
 
     def meet(table: pa.Table) -> pa.Table:
         """Spans of later equal segments (kind 0) and requests for contents (kind 1), by document."""
@@ -263,8 +270,7 @@ def suffix_dedup(documents: DataFrame) -> DataFrame:
     raw = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     raw = raw.withColumn("n_bytes", F.octet_length("text").cast("long"))
     ids = spans.select("doc")
-    null_safe = raw.withColumnRenamed("doc_id", "id").withColumn("doc_id", F.coalesce("id", F.lit(-1)))
-    whole = without(null_safe, ids).select(F.col("id").alias("doc_id"), "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lit(None).cast("binary").alias("kept"), F.sha2("text", 256).alias("kept_sha256"))
+    whole = without(raw, ids).select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lit(None).cast("binary").alias("kept"), F.sha2("text", 256).alias("kept_sha256"))
 
     def strip(batches):
         for b in batches:
@@ -276,9 +282,9 @@ def suffix_dedup(documents: DataFrame) -> DataFrame:
                 count.append(len(s) // 16)
                 kept.append(left)
                 sha.append(hashlib.sha256(left).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    part = only(null_safe, ids).join(spans, F.col("doc_id") == F.col("doc")).select("id", "text", "n_bytes", "spans")
+    part = only(raw, ids).join(spans, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "n_bytes", "spans")
     part = part.mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     return whole.unionByName(part)
 

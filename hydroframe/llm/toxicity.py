@@ -32,6 +32,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .store import text_batches
+
 SAMPLE = 2500
 #: Fixed word lists of the grammar.
 THREATS = frozenset("attack beat burn destroy erschlagen frapper golpear hurt kill matar murder schlagen shoot stab strangle tuer töten".split())
@@ -229,6 +231,7 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Gram
 
 def score(documents: DataFrame, grammar: Grammar, name: str = "score") -> DataFrame:
     """``documents`` with a score (0 to 1) in the column ``name``."""
+    text_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(grammar)
 
     def toxic(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -240,7 +243,7 @@ def score(documents: DataFrame, grammar: Grammar, name: str = "score") -> DataFr
 
 
 def held_out(fold: int = 0, of: int = 5):
-    return F.crc32(F.col("doc_id").cast("string")) % of == fold
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of == fold, F.lit(False))
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ Host, path and rules are native expressions; the automaton runs on Arrow batches
 urls that no rule decides.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and no rule; null has
-no terms and is allowed; extra columns are ignored; repeated rows are judged alike.
+no terms and is allowed; repeated rows are judged alike; extra columns are kept, but for those named
+like the result's, which are replaced.
 """
 
 from __future__ import annotations
@@ -77,9 +78,9 @@ def judge(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_limit: i
         verdict = F.when(F.col("rule") == r[0] + r[1], r[2]) if verdict is None else verdict.when(F.col("rule") == r[0] + r[1], r[2])
     judged = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
     judged = judged.withColumn("rule", rule if rule is not None else F.lit(None).cast("string"))
-    judged = judged.withColumn("_t", terms(F.when(F.col("rule").isNull(), F.col(url))))
+    judged = judged.withColumn("__hf_t", terms(F.when(F.col("rule").isNull(), F.col(url))))
     method = F.when((F.col("strict_hits") > 0) | (F.col("soft_weight") >= soft_limit), "block").otherwise("allow")
-    judged = judged.withColumn("strict_hits", F.col("_t.strict_hits")).withColumn("soft_weight", F.col("_t.soft_weight")).drop("_t")
+    judged = judged.withColumn("strict_hits", F.col("__hf_t.strict_hits")).withColumn("soft_weight", F.col("__hf_t.soft_weight")).drop("__hf_t")
     return judged.withColumn("verdict", F.coalesce(verdict, method) if verdict is not None else method)
 
 

@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the toxicity grammar scores TOXIC_FROM or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out())
     grammar = toxicity.learn(docs, labels)
-    return toxicity.score(docs, grammar, "_score").where(F.col("_score") < TOXIC_FROM).select(*docs.columns)
+    return toxicity.score(docs, grammar, "__hf_score").where(F.col("__hf_score") < TOXIC_FROM).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytesops as B
-from .store import text_batches
+from .store import Store, text_batches
 
 MAX_WINDOWS = 2_000_000
 _BITS = 20
@@ -188,20 +188,23 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 10, mode:
     word spans (from the first byte of the first word to the last byte of the last) out of the text.
     Each row is decided where it is read, so nothing is joined or shuffled.
     """
-    spark = documents.sparkSession
-    found = [_hits(spark.sparkContext.broadcast(w))(F.col("text").cast("string")) for w in _pieces_of(benchmark, n, max_windows)]
+    spark, pieces = documents.sparkSession, _pieces_of(benchmark, n, max_windows)
+    store, cols, names = Store(spark), documents.columns, []
+    for k, windows in enumerate(pieces):
+        # Several passes are written one by one, so that a task holds one window table at a time.
+        hit = _hits(spark.sparkContext.broadcast(windows))(F.col("text").cast("string"))
+        names.append(f"__hf_hits{k}")
+        documents = documents.where(hit.isNull()) if mode == "documents" else documents.withColumn(names[-1], hit)
+        if len(pieces) > 1:
+            documents = store.write(documents)
     if mode == "documents":
-        for f in found:
-            documents = documents.where(f.isNull())
         return documents
 
     def cut(text: pd.Series, *hits: pd.Series) -> pd.Series:
         rows = zip(text, *hits)
         return pd.Series([t if t is None or all(h is None for h in hs) else _cut(t, _merge([tuple(p) for h in hs if h is not None for p in np.frombuffer(h, np.int64).reshape(-1, 2)])) for t, *hs in rows], dtype=object)
 
-    cols = documents.columns
-    marked = documents.withColumns({f"__hf_hits{k}": f for k, f in enumerate(found)})
-    return marked.withColumn("text", F.pandas_udf(cut, "string")("text", *(f"__hf_hits{k}" for k in range(len(found))))).select(*cols)
+    return documents.withColumn("text", F.pandas_udf(cut, "string")("text", *names)).select(*cols)
 
 
 def _cut(text: str, spans: np.ndarray) -> str:

@@ -24,8 +24,9 @@ nothing; extra columns are kept as they are.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -346,24 +347,34 @@ def dedup_lines(documents: DataFrame, drop_emptied: bool = True) -> DataFrame:
     found = decisions(documents)[0].where("size(gone) > 0").select(F.col("doc_id").alias("__hf_doc"), F.col("gone").alias("__hf_gone"))
     found = sized(found, found.agg(F.coalesce(F.sum(F.size("__hf_gone")), F.lit(0))).first()[0])
 
-    def rewrite(text: pd.Series, gone: pd.Series) -> pd.Series:
-        out = []
-        for t, g in zip(text, gone):
-            if t is None or g is None:
-                out.append(t)
-                continue
-            dead = set(g)
-            out.append("\n".join(x for k, x in enumerate(t.split("\n")) if k not in dead))
-        return pd.Series(out, dtype=object)
-
-    cut = F.pandas_udf(rewrite, "string")
-    cols = documents.columns
-    rows = documents.join(found, documents.doc_id == F.col("__hf_doc"), "left").withColumn("text", cut("text", "__hf_gone"))
-    if "n_chars" in cols:
-        rows = rows.withColumn("n_chars", F.when(F.col("__hf_gone").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(dict(documents.dtypes)["n_chars"]))
-    if drop_emptied:
-        rows = rows.where(F.col("__hf_gone").isNull() | F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"))
-    return rows.select(*cols)
+    cols, schema = documents.columns, documents.schema
+    has_word = re.compile(r"[0-9A-Za-z]|[^\x00-\x7F]")
+
+    def rewrite(batches):
+        for b in batches:
+            gone = b.column("__hf_gone")
+            out = [b.column(c) for c in cols]
+            if gone.null_count < len(gone):
+                texts, keep = b.column("text").to_pylist(), np.ones(len(gone), bool)
+                chars = b.column("n_chars").to_pylist() if "n_chars" in cols else None
+                for k, dead in enumerate(gone.to_pylist()):
+                    if dead is None:
+                        continue
+                    dead = set(dead)
+                    texts[k] = "\n".join(x for n, x in enumerate(texts[k].split("\n")) if n not in dead)
+                    keep[k] = not drop_emptied or bool(has_word.search(texts[k]))
+                    if chars is not None:
+                        chars[k] = len(texts[k])
+                out[cols.index("text")] = pa.array(texts, b.column("text").type)
+                if chars is not None:
+                    out[cols.index("n_chars")] = pa.array(chars, b.column("n_chars").type)
+                yield pa.RecordBatch.from_arrays(out, cols).filter(pa.array(keep))
+            else:
+                yield pa.RecordBatch.from_arrays(out, cols)
+
+    # One pass in Arrow, so that a task needs one Python worker and no second copy of the texts.
+    rows = documents.join(found, documents.doc_id == F.col("__hf_doc"), "left").drop("__hf_doc")
+    return rows.mapInArrow(rewrite, schema)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from .bytesops import splitmix
 from .store import Store, partitions
 
-BLOCK = 512
+BLOCK = 256
 _CELLS = 1 << 24
 
 

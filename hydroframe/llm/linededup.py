@@ -328,7 +328,9 @@ def decisions(documents: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFram
             yield pa.RecordBatch.from_arrays([pa.array(t[c].copy()) for c in ("doc", "h", "lines")], ["doc", "h", "n_lines"])
 
     every = counted.where("bucket = -2").mapInArrow(texts, "doc long, h long, n_lines long")
+    every = store.write(every)
     first = store.write(every.groupBy("h").agg(F.min("doc").alias("class_id")))
+    store.drop(counted, coarse, firsts, lists, linked)
     return out, every.join(first, "h").select(F.col("doc").alias("doc_id"), "class_id", "n_lines")
 
 

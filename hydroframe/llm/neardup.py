@@ -202,7 +202,9 @@ def near_duplicates(documents: DataFrame, num: int = 4, den: int = 5) -> DataFra
     named = firsts.join(groups, "node").groupBy("comp").agg(F.min("doc").alias("class"))
     of_node = store.write(groups.join(store.write(named), "comp").join(degree, "node").select("node", "class", "links"))
     own = store.write(firsts.join(of_node, "node", "left").select("node", F.coalesce("class", "doc").alias("class"), F.coalesce("links", F.lit(0)).cast("long").alias("links")))
-    out = store.write(members).join(own, "node", "left")
+    own, members = store.write(own), store.write(members)
+    store.drop(signed, coarse, firsts, picked, found, groups, of_node)
+    out = members.join(own, "node", "left")
     known = lambda c: F.when(c != _NO_ID, c)
     return out.select(known(F.col("doc")).alias("doc_id"), known(F.coalesce("class", "doc")).alias("class_id"), F.col("words").alias("n_words"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 

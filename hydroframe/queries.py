@@ -416,15 +416,46 @@ def wav_to_archive(spark, d):
     return convert.read(spark, third, "frame_index").select("rec_id", "frame_idx", F.col("n_samples").cast("long").alias("n_samples"), F.col("chunk_length").cast("long").alias("payload_bytes"))
 
 
-@query("sud_scan", _with("disc", "SELECT rec_id, idx, v FROM f"))
-def sud_scan(spark, d):
-    """Recorder files built in memory from coded frames, then scanned and decoded."""
+_SUD_TEXT = '<CFG ID="4" FTYPE="wav" CODEC="3"><FS> 48000 </FS><NBITS> 16 </NBITS><NCHS> 1 </NCHS></CFG><CFG ID="3" FTYPE="X3V2"><BLKLEN> 20 </BLKLEN></CFG>'
+_SUD_TEXT += " " * (len(_SUD_TEXT) % 2)
+
+
+def _recorder_files(spark, d):
+    """Recorder files built in memory from coded frames."""
     build = F.udf(lambda parts: b"".join(formats.sud_record(formats.kernel.swap_pairs(bytes(p.payload)), p.n_samples) for p in parts), "binary")
-    text = '<CFG ID="4" FTYPE="wav" CODEC="3"><FS> 48000 </FS><NBITS> 16 </NBITS><NCHS> 1 </NCHS></CFG><CFG ID="3" FTYPE="X3V2"><BLKLEN> 20 </BLKLEN></CFG>'
-    head = formats.sud_record(formats.kernel.swap_pairs((text + " " * (len(text) % 2)).encode()), 1)
+    head = formats.sud_record(formats.kernel.swap_pairs(_SUD_TEXT.encode()), 1)
     parts = F.array_sort(F.collect_list(F.struct("frame_idx", "n_samples", "payload")))
-    files = _coded(spark, d, "disc").groupBy("rec_id").agg(build(parts).alias("body")).select(F.concat(F.lit("/"), "rec_id", F.lit(".sud")).alias("path"), F.concat(F.lit(head), "body").alias("content"))
-    return frames.explode_frames(datasource.binary_table(files, "samples"), offset="sample_offset").select("rec_id", "idx", "v")
+    return _coded(spark, d, "disc").groupBy("rec_id").agg(build(parts).alias("body")).select(F.concat(F.lit("/"), "rec_id", F.lit(".sud")).alias("path"), F.concat(F.lit(head), "body").alias("content"))
+
+
+@query("sud_scan", _with("disc", "SELECT rec_id, idx, v FROM f"))
+def sud_scan(spark, d):
+    return frames.explode_frames(datasource.binary_table(_recorder_files(spark, d), "samples"), offset="sample_offset").select("rec_id", "idx", "v")
+
+
+@query("sud_records_scan", _with("disc", f"SELECT rec_id, 0 AS record_idx, true AS is_metadata, NULL AS n_samples, {len(_SUD_TEXT)} AS payload_length, '{_SUD_TEXT}' AS text FROM z GROUP BY rec_id UNION ALL SELECT rec_id, frame_idx + 1, false, n_samples, payload_bytes, NULL FROM z"))
+def sud_records_scan(spark, d):
+    rows = datasource.binary_table(_recorder_files(spark, d), "sud_records")
+    return rows.select("rec_id", "record_idx", "is_metadata", F.col("n_samples").cast("long").alias("n_samples"), F.col("payload_length").cast("long").alias("payload_length"), "text")
+
+
+@query("sud_index", _with("disc", f"SELECT rec_id, frame_idx, n_samples, payload_bytes, sample_offset, CAST(sample_offset * 1000000000 // 48000 AS BIGINT) AS time_ns, CAST({40 + len(_SUD_TEXT)} + byte_offset - {28 + XML_LEN} AS BIGINT) AS byte_offset FROM i"))
+def sud_index(spark, d):
+    """Audio records only, with running sample offsets and times from them."""
+    rows = datasource.binary_table(_recorder_files(spark, d), "frame_index")
+    return rows.select("rec_id", "frame_idx", F.col("n_samples").cast("long").alias("n_samples"), F.col("chunk_length").cast("long").alias("payload_bytes"), "sample_offset", "time_ns", "byte_offset")
+
+
+@query("sud_recordings", _with("disc", "SELECT rec_id, 48000 AS sample_rate, 1 AS channels, 16 AS bit_depth, count(*) AS frames, 'UNKNOWN' AS device_id, 20 AS block_len FROM f GROUP BY rec_id"))
+def sud_recordings(spark, d):
+    return datasource.binary_table(_recorder_files(spark, d), "recordings").select("rec_id", "sample_rate", "channels", "bit_depth", "frames", "device_id", "block_len")
+
+
+@query("pcm_bytes", _with("ev", "SELECT rec_id, frame_idx, upper(string_agg(lpad(to_hex(v & 255), 2, '0') || lpad(to_hex((v >> 8) & 255), 2, '0'), '' ORDER BY idx)) AS bytes FROM f GROUP BY rec_id, frame_idx"))
+def pcm_bytes(spark, d):
+    """Packed frames as little-endian 16-bit PCM."""
+    le = F.pandas_udf(lambda x: x.map(lambda v: v.astype("<i2").tobytes()), "binary")
+    return frames.pack_frames(_sig(spark, d, "ev")).select("rec_id", "frame_idx", F.hex(le("pcm")).alias("bytes"))
 
 
 @query("size_report", _with("disc", f"SELECT 'archive' AS container, count(*) AS files, CAST(sum(b) AS BIGINT) AS file_bytes, CAST(sum(44 + 2 * n) AS BIGINT) AS wav_bytes, sum(b) / sum(44 + 2 * n) AS ratio FROM (SELECT rec_id, sum(payload_bytes + 20) + {28 + XML_LEN} AS b, sum(n_samples) AS n FROM z GROUP BY rec_id)"))

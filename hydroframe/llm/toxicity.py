@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .store import text_batches
 
-SAMPLE = 2500
+SAMPLE = 2000
 #: Fixed word lists of the grammar.
 THREATS = frozenset("attack beat burn destroy erschlagen frapper golpear hurt kill matar murder schlagen shoot stab strangle tuer töten".split())
 TARGETS = frozenset("du er ella elle es he her him ihr il it she sie that them they this tu tú usted ustedes vos vous you your".split())
@@ -167,9 +167,12 @@ def learn_stems(toxic: list[list[str]], clean: list[list[str]], precision: float
     a beginning is the number of its distinct neighbours (word before, word after) if that is less
     than the number of documents.
     """
-    tox, cln = (Counter(p for words in docs for p in {p for w in set(words) for p in _beginnings(w)}) for docs in (toxic, clean))
     base = len(toxic) / max(1, len(toxic) + len(clean))
+    tox = Counter(p for words in toxic for p in {p for w in set(words) for p in _beginnings(w)})
     limit = math.log(max(2, len(tox)) / level)
+    least = max(3, limit / -math.log(base))  # even without a clean document fewer would not do
+    tox = Counter({p: n for p, n in tox.items() if n >= least})
+    cln = Counter(p for words in clean for p in {p for w in set(words) for p in _beginnings(w) if p in tox})
 
     def telling(k: int, against: int) -> bool:
         if k < 3 or k / (k + against) < precision:
@@ -222,8 +225,10 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Gram
         y += [label] * len(got)
     if not any(y) or all(y):
         return Grammar()
-    lists = [_WORD.findall(t.lower()) for t in texts]
+    pool: dict[str, str] = {}  # one object for each word, whose occurrences are many
+    lists = [[pool.setdefault(w, w) for w in _WORD.findall(t.lower())] for t in texts]
     stems = learn_stems([s for s, v in zip(lists, y) if v], [s for s, v in zip(lists, y) if not v])
+    del lists, pool
     matcher = Grammar(stems).matcher()
     weights, bias = fit_weights([matcher.outputs(t) for t in texts], np.array(y, dtype=float))
     return Grammar(stems, weights, bias)

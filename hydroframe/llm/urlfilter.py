@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 STRICT = ("casino", "cheap-pills", "free-money", "malware", "porn", "spam-farm", "warez", "xxx")
-#: Soft terms and their weights; a url is blocked from SOFT_LIMIT on.
-SOFT = {"adult": 1, "ads": 1, "bonus": 1, "click": 1, "download": 1, "feed": 1, "loan": 1, "promo": 1, "ref": 1, "replica": 1, "utm_source": 1, "win": 1}
+#: Soft terms and their weights; distinct ones whose weights reach SOFT_LIMIT block a url.
+SOFT = {"adult": 1, "bet": 1, "bonus": 1, "clickbait": 1, "coupon": 1, "farm": 1, "hookup": 1, "jackpot": 1, "loan": 1, "pills": 1, "promo": 1, "replica": 1, "spam": 1, "viagra": 2}
 SOFT_LIMIT = 2
 
 

@@ -97,13 +97,13 @@ def test_neighbours(spark):
 
 
 def test_urls(spark):
-    urls = [None, "", "no scheme", "http://", "HTTP://A.Net/x?y#z", "x://h#f", "http://b.example.com/de/1", "http://example.net/en/2", "http://q.org/fr/", "http://ok.com/Casino!", "http://ok.com/xcasino", "http://ok.com/?promo=1&ref=2"]
+    urls = [None, "", "no scheme", "http://", "HTTP://A.Net/x?y#z", "x://h#f", "http://b.example.com/de/1", "http://example.net/en/2", "http://q.org/fr/", "http://ok.com/Casino!", "http://ok.com/xcasino", "http://ok.com/?promo=1&bonus=2", "http://ok.com/?promo=1&promo=2"]
     df = spark.createDataFrame([(k, u, "v") for k, u in enumerate(urls)], "page_id long, url string, verdict string").withColumn("host", F.lit(1)).withColumn("terms", F.lit(2))
     out = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows_of(urlfilter.judge(df))}
     assert out[0] == out[1] == out[2] == out[3] == ("", "", None, "allow")
     assert out[4] == ("a.net", "/x", "net/", "block") and out[5] == ("h", "", None, "allow")
     assert out[6][2:] == ("example.com/de/", "block") and out[7][2:] == ("example.net/en/", "allow") and out[8][2:] == ("org/fr/", "allow")
-    assert out[9][3] == "block" and out[10][3] == "allow" and out[11][3] == "block"
+    assert out[9][3] == "block" and out[10][3] == "allow" and out[11][3] == "block" and out[12][3] == "allow"
     assert urlfilter.judge(df.limit(0)).count() == 0
 
 

@@ -16,7 +16,6 @@ id is null mark words but name no item; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .bytesops import splitmix
 from .store import Store, partitions
 
 BLOCK = 256

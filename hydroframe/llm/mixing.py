@@ -9,9 +9,9 @@ whose order is a hash seeded by seed and epoch.
 
 Scale: built-in functions only.  Documents meet the leaf table (one row a leaf, written once, so
 the planner sees its true size and broadcasts only a small one) in a map-side join and are never
-shuffled with their texts.  The prefix is found in two steps: tokens by (leaf, hash bucket), then
-the one bucket of each leaf in which the prefix ends is ordered exactly.  No leaf, however large,
-is sorted whole.
+shuffled with their texts.  The prefix is found by descent: tokens by hash bucket (256 a leaf), then
+by the 256 parts of the one bucket in which the prefix ends, and so on; what is left, one part in
+16 million of a leaf, is ordered exactly.  No leaf, however large, is sorted whole.
 
 Defined cases: null levels count as ``(null)``; weights that are not listed are 1; documents
 without a token (null, empty, blank) are never selected; rows that repeat an id within a leaf are
@@ -29,7 +29,8 @@ from .store import Store
 LEVELS = ("domain", "lang", "source")
 WEIGHTS = {"domain": {"web": 60, "curated": 40}, "lang": {"de": 20, "en": 50, "es": 10, "fr": 20}, "source": {}}
 WEB = tuple(f"src{i}" for i in range(10))
-MAX_EPOCHS, SEED, HEX = 4, 17, 3
+#: DIGITS: hexadecimal digits of a document's hash that are resolved by sums before any sorting.
+MAX_EPOCHS, SEED, DIGITS = 4, 17, 6
 #: The budget, as a share of the corpus's tokens.
 NUM, DEN = 6, 10
 BLANK = " \\t\\n\\r\\f"
@@ -86,19 +87,23 @@ def mix(docs: DataFrame, weights: dict = WEIGHTS, num: int = NUM, den: int = DEN
     total = F.expr(f"cast(sum(tokens) over (partition by 0) * {num} div {den} as long)")
     plan = budgets(stats.withColumn("all", total), F.col("all"), weights, max_epochs).select(*levels, "tokens", "budget")
     plan = store.write(plan.withColumn("epoch", F.expr("budget div tokens")).withColumn("prefix", F.expr("budget % tokens")))
-    ranked = slim.join(plan, levels).withColumn("h", _ordering(F.col("doc_id"), F.col("epoch"), seed)).withColumn("bucket", F.substring("h", 1, HEX))
-    sums = ranked.groupBy(*levels, "prefix", "bucket").agg(F.sum("n_tokens").alias("s"))
+    ranked = slim.join(plan, levels).withColumn("h", _ordering(F.col("doc_id"), F.col("epoch"), seed))
     run = Window.partitionBy(*levels).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ends = sums.withColumn("s0", F.coalesce(F.sum("s").over(run), F.lit(0))).where("s0 <= prefix and prefix < s0 + s")
-    ends = store.write(ends.select(*levels, F.col("bucket").alias("last"), "s0"))
-    within = ranked.join(ends, levels).where("bucket = last").groupBy(*levels, "prefix", "s0", "h", "doc_id").agg(F.sum("n_tokens").alias("n"))
+    ends = plan.select(*levels, F.lit("").alias("last"), F.lit(0).cast("long").alias("s0"))
+    for depth in range(1, DIGITS // 2 + 1):
+        # Two more digits of the one bucket in which the prefix ends: at most 256 sums a leaf.
+        inside = ranked.join(ends, levels).where(F.col("h").startswith(F.col("last"))).withColumn("bucket", F.substring("h", 1, 2 * depth))
+        sums = inside.groupBy(*levels, "prefix", "s0", "bucket").agg(F.sum("n_tokens").alias("s"))
+        sums = sums.withColumn("s1", (F.col("s0") + F.coalesce(F.sum("s").over(run), F.lit(0))).cast("long")).where("s1 <= prefix and prefix < s1 + s")
+        ends = store.write(sums.select(*levels, F.col("bucket").alias("last"), F.col("s1").alias("s0")))
+    within = ranked.join(ends, levels).where(F.col("h").startswith(F.col("last"))).groupBy(*levels, "prefix", "s0", "h", "doc_id").agg(F.sum("n_tokens").alias("n"))
     upto = Window.partitionBy(*levels).orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = store.write(within.withColumn("c", F.col("s0") + F.sum("n").over(upto)).where("c <= prefix").select(*levels, "doc_id").distinct())
     side = lambda t, tag: t.select(*(F.col(c).alias(f"{tag}{c}") for c in t.columns))
     on = lambda tag: [F.col(f"__hf_{x}") == F.col(f"{tag}{x}") for x in levels]
     out = keyed.where("n_tokens > 0").join(side(plan, "__hf_p_"), on("__hf_p_")).join(side(ends, "__hf_e_"), on("__hf_e_"), "left")
     out = out.join(side(edge, "__hf_b_"), [*on("__hf_b_"), F.col("doc_id").eqNullSafe(F.col("__hf_b_doc_id"))], "left")
-    bucket = F.substring(_ordering(F.col("doc_id"), F.col("__hf_p_epoch"), seed), 1, HEX)
+    bucket = F.substring(_ordering(F.col("doc_id"), F.col("__hf_p_epoch"), seed), 1, DIGITS)
     extra = (bucket < F.col("__hf_e_last")) | F.coalesce(F.col("__hf_b_domain").isNotNull(), F.lit(False))
     out = out.withColumn("copies", (F.col("__hf_p_epoch") + F.when(extra, 1).otherwise(0)).cast("long")).where("copies > 0")
     return out.select(*[c for c in docs.columns if c not in ("domain", "n_tokens", "copies")], "domain", "n_tokens", "copies")

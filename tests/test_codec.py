@@ -7,6 +7,7 @@ from hydroframe.functions import kernel
 from hydroframe.functions.params import CodecParams, FormatError
 from hydroframe.sources import formats
 
+#: A published coded block and its checks.
 RICE1_PAYLOAD = bytes.fromhex(
     "f276b18214d0040458183020698604fcc2f8aa7fa10afaadbc9d8d13c966ea05a36394c9f4884eb306c9db8f7080b38b6b14885f6c2faa5aaef42946d912434b4fd6eb24a848c63d1ab87172b568b45ba17cb2485f67d91b6500"
 )

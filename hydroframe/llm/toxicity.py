@@ -8,7 +8,9 @@ output symbol has a weight, and a document's score is the logistic of the weight
 The insult lexicon and the weights are learned from a bounded sample of labelled documents
 (``SAMPLE`` of each label, by hash order).  Insult stems are words or word beginnings that occur
 in toxic documents more often than chance allows (a Chernoff bound, corrected for the number of
-candidates).  Threats, targets, negations and verbs of report are fixed lists.
+candidates).  Weak stems also stand in clean documents by chance, but only toxic ones repeat them; they
+are kept if they explain toxic documents without other insults, and count from their second match on,
+later in long texts.  Threats, targets, negations and verbs of report are fixed lists.
 
 Scale: scoring is one pass on Arrow batches without a shuffle; an automaton finds the stems at
 once, and only clauses with a hit are tokenised.  The lexicon and weights are some kB.
@@ -40,9 +42,11 @@ THREATS = frozenset("attack beat burn destroy erschlagen frapper golpear hurt ki
 TARGETS = frozenset("du er ella elle es he her him ihr il it she sie that them they this tu tú usted ustedes vos vous you your".split())
 NEGATIONS = frozenset("aint jamais kein keine never nicht nie no not nunca pas sans sin without".split())
 REPORTS = frozenset("called claimed disait dice dijo quoted sagt sagte said says écrit wrote".split())
-SYMBOLS = "ITGNRO"
-#: Outputs: plain, targeted, negated and reported insults; plain, negated and reported threats.
-OUTPUTS = ("I", "J", "i", "q", "T", "t", "p")
+SYMBOLS = "IWTGNRO"
+#: Outputs: plain, targeted, negated and reported insults; weak ones; plain, negated and reported threats.
+OUTPUTS = ("I", "J", "i", "q", "W", "T", "t", "p")
+#: Bytes of text that excuse one weak match more.
+WEAK_SPAN = 4000
 _WORD = re.compile(r"[^\W\d_]+")
 _BREAK = re.compile(r"[.!?;\n]")
 
@@ -91,8 +95,8 @@ def latched(opener: str, rewrite: dict[str, str], alphabet: str) -> Transducer:
 
 
 def clause_grammar() -> Transducer:
-    negation = windowed("N", 2, {"I": "i", "T": "t"}, SYMBOLS)
-    report = latched("R", {"I": "q", "T": "p"}, SYMBOLS + "it")
+    negation = windowed("N", 2, {"I": "i", "W": "O", "T": "t"}, SYMBOLS)
+    report = latched("R", {"I": "q", "W": "O", "T": "p"}, SYMBOLS + "it")
     target = windowed("G", 3, {"I": "J"}, SYMBOLS + "itqp")
     return compose(compose(negation, report, SYMBOLS), target, SYMBOLS)
 
@@ -100,16 +104,17 @@ def clause_grammar() -> Transducer:
 @dataclass
 class Grammar:
     stems: frozenset[str] = frozenset()
+    weak: frozenset[str] = frozenset()
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -3.0
 
     def matcher(self):
         found = ahocorasick.Automaton()
-        for s in self.stems | THREATS:
+        for s in self.stems | self.weak | THREATS:
             found.add_word(s.strip(), len(s.strip()))
         if len(found):
             found.make_automaton()
-        return Matcher(self, found, clause_grammar(), sorted({len(s) for s in self.stems}))
+        return Matcher(self, found, clause_grammar(), sorted({len(s) for s in self.stems | self.weak}))
 
 
 @dataclass
@@ -120,8 +125,11 @@ class Matcher:
     lengths: list[int]
 
     def symbol(self, word: str) -> str:
-        if any((word + " ")[:n] in self.grammar.stems for n in self.lengths if n <= len(word) + 1):
+        starts = [(word + " ")[:n] for n in self.lengths if n <= len(word) + 1]
+        if any(s in self.grammar.stems for s in starts):
             return "I"
+        if any(s in self.grammar.weak for s in starts):
+            return "W"
         return "T" if word in THREATS else "N" if word in NEGATIONS else "R" if word in REPORTS else "G" if word in TARGETS else "O"
 
     def outputs(self, text: str | None) -> Counter:
@@ -143,7 +151,9 @@ class Matcher:
             done = k
             clause = low[breaks[k - 1] + 1 if k else 0 : breaks[k] if k < len(breaks) else len(low)]
             out.update(s for s in self.fst.run(map(self.symbol, _WORD.findall(clause))) if s in OUTPUTS)
-        return out
+        if "W" in out:
+            out["W"] = max(0, out["W"] - 1 - len(text) // WEAK_SPAN)
+        return +out
 
     def score(self, text: str | None) -> float:
         z = self.grammar.bias + sum(self.grammar.weights.get(s, 0.0) * strength(n) for s, n in self.outputs(text).items())
@@ -160,19 +170,32 @@ def _beginnings(word: str):
     return ((word + " ")[:n] for n in range(3, len(word) + 2))
 
 
-def learn_stems(toxic: list[list[str]], clean: list[list[str]], precision: float = 0.97, level: float = 0.01) -> frozenset[str]:
-    """Word beginnings that chance does not put into toxic documents (given as lists of words).
+def learn_stems(toxic: list[list[str]], clean: list[list[str]], precision: float = 0.97, level: float = 0.01, least: int = 1) -> frozenset[str]:
+    """Word beginnings that chance does not put into toxic documents (given as lists of words),
+    ``least`` times or more.
 
     Copies of one toxic document would make any of its rare words look telling, so the support of
     a beginning is the number of its distinct neighbours (word before, word after) if that is less
     than the number of documents.
     """
+
+    def documents(docs, among=None) -> Counter:
+        found: Counter = Counter()
+        for words in docs:
+            if least == 1:
+                found.update({p for w in set(words) for p in _beginnings(w) if among is None or p in among})
+            else:
+                here = Counter(p for w in words for p in _beginnings(w) if among is None or p in among)
+                spare = sum(len(w) + 1 for w in words) // WEAK_SPAN
+                found.update(p for p, n in here.items() if n >= least + spare)
+        return found
+
     base = len(toxic) / max(1, len(toxic) + len(clean))
-    tox = Counter(p for words in toxic for p in {p for w in set(words) for p in _beginnings(w)})
+    tox = documents(toxic)
     limit = math.log(max(2, len(tox)) / level)
-    least = max(3, limit / -math.log(base))  # even without a clean document fewer would not do
-    tox = Counter({p: n for p, n in tox.items() if n >= least})
-    cln = Counter(p for words in clean for p in {p for w in set(words) for p in _beginnings(w) if p in tox})
+    few = max(3, limit / -math.log(base))  # even without a clean document fewer would not do
+    tox = Counter({p: n for p, n in tox.items() if n >= few})
+    cln = documents(clean, tox)
 
     def telling(k: int, against: int) -> bool:
         if k < 3 or k / (k + against) < precision:
@@ -227,11 +250,19 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Gram
         return Grammar()
     pool: dict[str, str] = {}  # one object for each word, whose occurrences are many
     lists = [[pool.setdefault(w, w) for w in _WORD.findall(t.lower())] for t in texts]
-    stems = learn_stems([s for s, v in zip(lists, y) if v], [s for s, v in zip(lists, y) if not v])
-    del lists, pool
-    matcher = Grammar(stems).matcher()
+    toxic, clean = ([s for s, v in zip(lists, y) if v == label] for label in (1, 0))
+    strong = learn_stems(toxic, clean)
+    left = [words for words in toxic if not any(p in strong for w in set(words) for p in _beginnings(w))]
+    often = learn_stems(toxic, clean, precision=0.9, least=2) if left else frozenset()
+    needed = Counter(p for words in left for p in {p for w in set(words) for p in _beginnings(w) if p in often})
+    often = frozenset(p for p in often if needed[p] >= 3)
+    # A weak stem takes the place of strong ones that are parts of it.
+    weak = frozenset(w for w in often if not any(w.startswith(s) for s in strong))
+    stems = frozenset(s for s in strong if not any(s.startswith(w) for w in weak))
+    del lists, pool, toxic, clean
+    matcher = Grammar(stems, weak).matcher()
     weights, bias = fit_weights([matcher.outputs(t) for t in texts], np.array(y, dtype=float))
-    return Grammar(stems, weights, bias)
+    return Grammar(stems, weak, weights, bias)
 
 
 def score(documents: DataFrame, grammar: Grammar, name: str = "score") -> DataFrame:

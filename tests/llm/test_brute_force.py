@@ -237,7 +237,7 @@ def test_toxicity_held_out(spark):
     out = toxicity.op5_toxicity(spark, f"{SF}/../sf0.1").join(labels, "doc_id").where("held_out").collect()
     right = [r.toxic == r.predicted for r in out]
     found = [r.predicted for r in out if r.toxic]
-    assert sum(right) / len(right) > 0.95 and sum(found) / len(found) > 0.75
+    assert sum(right) / len(right) > 0.97 and sum(found) / len(found) > 0.85
 
 
 def test_transducers_compose():
@@ -245,7 +245,10 @@ def test_transducers_compose():
     run = lambda s: "".join(fst.run(s))
     assert run("OIO") == "OIO" and run("NI") == "Ni" and run("NOI") == "NOi" and run("NOOI") == "NOOI"
     assert run("ROI") == "ROq" and run("GOI") == "GOJ" and run("GNI") == "GNi" and run("NT") == "Nt" and run("RT") == "Rp"
-    g = toxicity.Grammar(frozenset({"idiot"}), {"I": 5.0}, -3.0).matcher()
+    assert run("WNWRW") == "WNORO"
+    weak = toxicity.Grammar(frozenset(), frozenset({"dunce"}), {"W": 9.0}, -3.0).matcher()
+    assert weak.score("a dunce") < 0.1 and weak.score("a dunce. Two dunces") > 0.9 and weak.score("a dunce. Two dunces" + " x" * 3000) < 0.1
+    g = toxicity.Grammar(frozenset({"idiot"}), frozenset(), {"I": 5.0}, -3.0).matcher()
     assert g.score("You fool. An IDIOT here") > 0.8 and g.score("not an idiot") < 0.1 and g.score("xidiot") < 0.1
 
 

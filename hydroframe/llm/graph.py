@@ -112,7 +112,7 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int
     return left[i], right[j]
 
 
-def verified_links(members: DataFrame, labels: DataFrame, store: Store, num: int = 4, den: int = 5, block: int = BLOCK) -> DataFrame:
+def verified_links(members: DataFrame, labels: DataFrame, store: Store, num: int = 4, den: int = 5, block: int = BLOCK, groups: int = 0) -> DataFrame:
     """Exact links within groups.
 
     ``members``: ``node, elements`` (uint64, sorted, distinct) and ``doc, line`` (a position);
@@ -126,7 +126,7 @@ def verified_links(members: DataFrame, labels: DataFrame, store: Store, num: int
     rows = members.join(sized, "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.withColumn("lo", F.least("b", "other")).withColumn("hi", F.greatest("b", "other"))
-    deal = F.pmod(F.xxhash64("comp", "lo", "hi"), F.lit(4 * partitions(spark))).cast("int")
+    deal = F.pmod(F.xxhash64("comp", "lo", "hi"), F.lit(groups or 4 * partitions(spark))).cast("int")
 
     def link(table: pa.Table) -> pa.Table:
         col = lambda n: table[n].to_numpy()

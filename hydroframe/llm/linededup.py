@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import bytesops as B
 from .graph import BLOBS, blob_batch, by_bucket, components, label_min, only, pack, sized, unpack, verified_links
-from .store import Store, partitions
+from .store import Store, buckets_for
 
 TOKEN_BITS, SKETCH_BITS, RANGES = 44, 23, 64
 HOT = 50_000
@@ -228,7 +228,7 @@ def decisions(documents: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFram
     ``doc_id, class_id`` (smallest id with the same text), ``n_lines``."""
     spark, store = documents.sparkSession, Store(documents.sparkSession)
     slim = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = 4 * partitions(spark)
+    buckets = buckets_for(slim)
     counted = store.write(_count_pass(slim, buckets))
     shared = spark.sparkContext.broadcast(rarity(_sketch(counted)))
 
@@ -287,7 +287,7 @@ def decisions(documents: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFram
     lists = store.write(wanted)
     held = only(slim, lists.select("doc")).join(lists.withColumnRenamed("doc", "doc_id"), "doc_id").mapInArrow(sets, "node long, doc long, line int, elements binary")
     held = held.dropDuplicates(["node"])
-    linked = verified_links(held, coarse, store).groupBy("node").agg(F.sum("links").alias("links"), F.min(F.struct("doc", "line")).alias("first"))
+    linked = verified_links(held, coarse, store, groups=buckets).groupBy("node").agg(F.sum("links").alias("links"), F.min(F.struct("doc", "line")).alias("first"))
     linked = store.write(linked.select(F.pmod("node", F.lit(buckets)).cast("int").alias("bucket"), "node", "links", F.col("first.doc").alias("doc"), F.col("first.line").alias("line")))
 
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import bytesops as B
 from .graph import BLOBS, blob_batch, by_bucket, components, label_min, only, pack, unpack, verified_links, without
-from .store import Store, partitions
+from .store import Store, buckets_for
 
 BANDS, ROWS = 32, 5
 M = BANDS * ROWS
@@ -133,7 +133,7 @@ def near_duplicates(documents: DataFrame, num: int = 4, den: int = 5) -> DataFra
     counts shingles; n_links is the number of different multisets linked with the document's."""
     spark, store = documents.sparkSession, Store(documents.sparkSession)
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = 4 * partitions(spark)
+    buckets = buckets_for(slim)
 
     def sign(batches):
         entries, members = [], []
@@ -196,7 +196,7 @@ def near_duplicates(documents: DataFrame, num: int = 4, den: int = 5) -> DataFra
 
     held = only(slim, picked.select("doc").distinct()).mapInArrow(sets, "node long, elements binary").dropDuplicates(["node"])
     held = held.join(picked, "node").withColumn("line", F.lit(0))
-    found = store.write(verified_links(held, coarse, store, num, den))
+    found = store.write(verified_links(held, coarse, store, num, den, groups=buckets))
     groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), store)
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = firsts.join(groups, "node").groupBy("comp").agg(F.min("doc").alias("class"))

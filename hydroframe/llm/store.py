@@ -45,6 +45,7 @@ class Store:
 
 #: Rows of text in an Arrow batch: some MB, where Spark's 10000 rows may be hundreds.
 TEXT_ROWS = 1000
+GROUP_BYTES = 64 << 20
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -56,3 +57,11 @@ def text_batches(spark: SparkSession) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def buckets_for(df: DataFrame) -> int:
+    """Groups to deal packed records into: four for each shuffle partition, and up to 64 if the planner
+    takes the input for more than ``GROUP_BYTES`` a group."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = partitions(df.sparkSession)
+    return max(4 * n, min(64 * n, size // GROUP_BYTES))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import bytesops as B
 from .graph import BLOBS, blob_batch, by_bucket, only, pack, unpack, without
 from .rindex import RunLengthIndex
-from .store import Store, partitions
+from .store import Store, buckets_for
 
 LENGTH, GRAM = 100, 16
 INDEX_BYTES = 1 << 19
@@ -134,7 +134,7 @@ def removed_spans(documents: DataFrame, store: Store | None = None) -> DataFrame
     spark = documents.sparkSession
     store = store or Store(spark)
     slim = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = 4 * partitions(spark)
+    buckets = buckets_for(slim)
 
     def cut(batches):
         found: list[np.ndarray] = []

@@ -315,3 +315,15 @@ def test_pipeline(spark, tmp_path, docs):
             assert at.columns == df.columns
             assert {(r.doc_id, r.text) for r in at.collect()} == set(state), name
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {r.doc_id for r in at.collect()}
+
+
+def test_native_plans(spark, docs):
+    """Mixing and chat formatting run no Python on the executors and never shuffle a text."""
+    from hydroframe.llm import chat
+
+    df, _ = docs
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    mixed = plan(mixing.mix(spark.read.parquet(f"{SF}/documents.parquet")))
+    talks = plan(chat.rotate(spark.read.parquet(f"{SF}/conversations.parquet")))
+    assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", mixed + talks)
+    assert "Exchange hashpartitioning" not in mixed

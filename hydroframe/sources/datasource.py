@@ -3,7 +3,7 @@
 ``spark.read.format("hydro").option("table", T).load(path)`` with T one of ``recordings,
 frame_index, coded, samples, sud_records``.  Containers are told by content.  Files are read by
 seeking, in partitions of about ``PART_BYTES`` of payload, so a long recording is decoded by many
-tasks.  The options ``start`` and ``length`` name a sample range, and only frames that it touches
+tasks and many short ones by one.  The options ``start`` and ``length`` name a sample range, and only frames that it touches
 are read; with the option ``pushdown`` the same follows from filters on ``sample_offset`` and
 ``last_idx``.
 
@@ -31,6 +31,8 @@ from ..functions.params import RECORD_HEADER, FormatError
 from . import formats
 
 PART_BYTES = 32 << 20
+#: What opening a file costs, as bytes read.
+OPEN_BYTES = 64 << 10
 _FRAME = "frame_idx INT, source_id INT, channels INT, n_samples INT, sample_offset BIGINT, last_idx BIGINT, byte_offset BIGINT, chunk_length INT, time_ns BIGINT, payload_crc INT"
 SCHEMAS = {
     "recordings": "rec_id STRING, container STRING, sample_rate INT, channels INT, bit_depth INT, frames BIGINT, device_id STRING, block_len INT, rice_orders ARRAY<INT>, xml STRING, status STRING",
@@ -69,12 +71,33 @@ def frame_values(f: formats.Frame) -> tuple:
 
 
 @dataclass
-class FilePart(InputPartition):
+class FilePart:
     path: str
     low: int
     high: int
 
 
+@dataclass
+class FileGroup(InputPartition):
+    """Parts of files that one task reads: small files share a task."""
+
+    parts: list[FilePart]
+
+
+def grouped(parts: list[FilePart], sizes: list[int]) -> list[FileGroup]:
+    """Parts in order, in groups of PART_BYTES, or less if that gives fewer than 32 groups."""
+    weights = [n + OPEN_BYTES for n in sizes]
+    most = max(1 << 20, min(PART_BYTES, sum(weights) // 32))
+    out, filled = [], 0
+    for p, w in zip(parts, weights):
+        if not out or filled + w > most:
+            out.append(FileGroup([]))
+            filled = 0
+        out[-1].parts.append(p)
+        filled += w
+    return out
+
+
 def table_rows(name: str, table: str, f, size: int, low: int = 0, high: int = 1 << 62, first: int = 0, end: int = 1 << 62, verify: bool = False) -> Iterator[tuple]:
     """Rows of a table for one open file: of frames whose payload starts in [low, high) and whose
     samples touch [first, end)."""
@@ -110,22 +133,23 @@ class HydroReader(DataSourceReader):
             self.first, self.end = (start, start + length) if start >= 0 and length > 0 else (1 << 62, 0)
 
     def partitions(self):
-        out = []
+        parts, sizes = [], []
         for p in list_files(self.path):
             size = os.path.getsize(p)
             step = PART_BYTES if self.table in ("coded", "samples") else max(size, 1)
-            out += [FilePart(p, lo, lo + step) for lo in range(0, max(size, 1), step)]
-        return out or [FilePart("", 0, 0)]
-
-    def read(self, part: FilePart):
-        if not part.path:
-            return
-        with open(part.path, "rb") as f:
-            try:
-                yield from table_rows(rec_id(part.path), self.table, f, os.path.getsize(part.path), part.low, part.high if part.high < os.path.getsize(part.path) else 1 << 62, self.first, self.end, self.verify)
-            except FormatError:
-                if not self.permissive:
-                    raise
+            for lo in range(0, max(size, 1), step):
+                parts.append(FilePart(p, lo, lo + step if lo + step < size else 1 << 62))
+                sizes.append(min(step, size - lo))
+        return grouped(parts, sizes) or [FileGroup([])]
+
+    def read(self, group: FileGroup):
+        for part in group.parts:
+            with open(part.path, "rb") as f:
+                try:
+                    yield from table_rows(rec_id(part.path), self.table, f, os.path.getsize(part.path), part.low, part.high, self.first, self.end, self.verify)
+                except FormatError:
+                    if not self.permissive:
+                        raise
 
 
 class PushingReader(HydroReader):

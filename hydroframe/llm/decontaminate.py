@@ -5,13 +5,15 @@ words (an item of fewer words, but not none, is one window of all of them).  Tra
 are scanned window by window; a hash found in the set is verified word for word against the
 benchmark before it counts.
 
-Scale: documents are read once and nothing of them is shuffled.  The window table is broadcast
-in pieces of at most ``max_windows`` windows, so what one pass ships has a fixed bound; a larger
-benchmark takes several passes whose partial hits are merged by document.
+Scale: the window table is broadcast in pieces of at most ``max_windows`` windows, so what one pass
+ships has a fixed bound.  With one piece documents are read once and nothing of them is shuffled; a
+larger benchmark takes several passes over one written copy of the ids and texts, whose rows are
+numbered, and only their partial hits are shuffled, to be merged by row.
 
 Defined cases: null or empty text has no words and no hits; null benchmark texts and items
 without a word give no window; repeated items count once by ``item_id``; windows of an item whose
-id is null mark words but name no item; extra columns are ignored.
+id is null mark words but name no item; rows that repeat a doc_id, or have none, are judged one by
+one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,13 +95,14 @@ def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
 
 
 def _scan_pass(documents: DataFrame, windows: dict[bytes, set[str]]) -> DataFrame:
+    """One row per row of ``documents`` (``doc_id, text`` and, with several passes, ``row``)."""
     shared = documents.sparkSession.sparkContext.broadcast(windows)
-    schema = "doc_id long, n_words long, hits binary, items array<string>"
+    keys = [c for c in documents.columns if c != "text"]
+    schema = ", ".join([*(f"{c} long" for c in keys), "n_words long, hits binary, items array<string>"])
 
     def scan(batches):
         table = WindowSet(shared.value)
         for b in batches:
-            ids = b.column("doc_id")
             for lo, hi, buf, offs in B.slices(b.column("text")):
                 words = np.zeros(hi - lo, np.int64)
                 hits: list[list] = [[] for _ in range(hi - lo)]
@@ -111,9 +114,9 @@ def _scan_pass(documents: DataFrame, windows: dict[bytes, set[str]]) -> DataFram
                         hits[r].append((at, at + k))
                         items[r].update(x for x in names if x is not None)
                 blobs = [_merge(x).tobytes() if x else None for x in hits]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(words), pa.array(blobs, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["doc_id", "n_words", "hits", "items"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in keys), pa.array(words), pa.array(blobs, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], [*keys, "n_words", "hits", "items"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, schema)
+    return documents.mapInArrow(scan, schema)
 
 
 def _merge(spans: list) -> np.ndarray:
@@ -128,16 +131,20 @@ def _merge(spans: list) -> np.ndarray:
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """Per document: ``n_words``, ``hits`` (int64 pairs of hit word spans, merged; null if none)
+    """Per row: ``doc_id``, ``n_words``, ``hits`` (int64 pairs of hit word spans, merged; null if none)
     and ``items`` (ids of the benchmark items with a window in it)."""
-    passes = [_scan_pass(documents, p) for p in _pieces_of(benchmark, n, max_windows)]
-    if len(passes) == 1:
-        return passes[0]
+    slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    pieces = _pieces_of(benchmark, n, max_windows)
+    if len(pieces) == 1:
+        return _scan_pass(slim, pieces[0])
+    # Numbered once and written, so that every pass reads the same numbers.
+    slim = Store(documents.sparkSession).write(slim.withColumn("row", F.monotonically_increasing_id()))
+    passes = [_scan_pass(slim, p) for p in pieces]
     both = passes[0]
     for p in passes[1:]:
         both = both.unionByName(p)
     joined = F.pandas_udf(lambda s: s.map(lambda xs: _merge([tuple(p) for x in xs for p in np.frombuffer(x, np.int64).reshape(-1, 2)]).tobytes() if len(xs) else None), "binary")
-    return both.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("hits").alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).select("doc_id", "n_words", joined("h").alias("hits"), "items")
+    return both.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("hits").alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).select("doc_id", "n_words", joined("h").alias("hits"), "items")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -117,3 +117,17 @@ def test_chat(spark):
     assert text == "<|im_start|>user name=unknown\n<|im_end|>\n" + 2 * "<|im_start|>assistant\nhi<|im_end|>\n" + "<|im_start|>user name=bot\nyo<|im_end|>\n"
     assert [text[s.train_start : s.train_end] for s in whole[1, "user"]["train_spans"]] == ["hi<|im_end|>"] * 2
     assert chat.rotate(df.limit(0)).count() == 0
+
+
+def test_decontamination_in_passes(spark, odd_docs, bench):
+    df, rows = odd_docs
+    more = [(7, "another line here and there", "en", "src1", 3), (None, "another line here", "en", "src1", 3), (None, "one two three four five six seven eight", "en", "src1", 3)]
+    df = df.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long").select("doc_id", "text"))
+
+    def judged(**kw):
+        return sorted(map(repr, decontaminate.digest(decontaminate.contamination(df, bench, **kw)).collect()))
+
+    whole = judged()
+    assert len(decontaminate._pieces_of(bench, 10, 1)) == 2 and len(whole) == len(rows) + len(more)
+    assert judged(max_windows=1) == whole
+    assert sorted(r.n_hit for r in decontaminate.digest(decontaminate.contamination(df, bench, max_windows=1)).where("contaminated").collect()) == [3, 3, 7, 10, 10]

@@ -99,15 +99,17 @@ class RunLengthIndex:
         at = np.maximum.accumulate(np.where(sampled >= 0, np.arange(self.n), 0))
         return sampled[at] - (np.arange(self.n) - at)
 
-    def repeats(self, length: int) -> np.ndarray:
-        """Text positions whose next ``length`` bytes also start at an earlier position."""
+    def repeats(self, length: int, place: np.ndarray | None = None) -> np.ndarray:
+        """Text positions whose next ``length`` bytes also start at an earlier position, or at one of a
+        smaller ``place``."""
         if not self.n:
             return np.zeros(0, np.int64)
         agree = self.matching_statistics()[self.order] >= length
         agree[0] = False
         group = np.flatnonzero(~agree)
-        first = np.repeat(np.minimum.reduceat(self.order, group), np.diff(np.r_[group, self.n]))
-        return np.sort(self.order[self.order != first])
+        rank = self.order if place is None else place[self.order]
+        first = np.repeat(np.minimum.reduceat(rank, group), np.diff(np.r_[group, self.n]))
+        return np.sort(self.order[rank != first])
 
     def count(self, pattern: bytes) -> int:
         """Occurrences of a pattern (not empty), by backward search over the runs.

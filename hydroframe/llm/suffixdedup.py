@@ -21,8 +21,9 @@ shuffled.  Segment rows are 32 bytes for each 38 bytes of text, packed into blob
 group sends one row a task and segment, whatever its size.
 
 Defined cases: null text counts as empty; texts under ``LENGTH`` bytes have no string and keep all;
-rows that repeat a doc_id share its positions, so a repeated row does not mark itself; rows without a
-doc_id have no place in the order and stay whole; extra columns are ignored.
+rows that repeat a doc_id share its positions, so a repeated row does not mark itself (and what is
+marked at a position goes from all rows of that id); rows without a doc_id have no place in the order
+and stay whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -117,6 +118,32 @@ def _by_content(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p, first
 
 
+def _distinct(head: np.ndarray, body: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which segments to keep, so that rows of one doc_id give equal ones only once."""
+    key = lambda o: (head["windows"][o], head["start"][o], head["doc"][o], head["anchor"][o])
+    equal = lambda cols: np.logical_and.reduce([c[1:] == c[:-1] for c in cols])
+    keep = np.ones(len(head), dtype=bool)
+    if not equal(key(np.lexsort(key(slice(None))))).any():
+        return keep
+    content = B.span_hash(B.prefix_hash(body), start, start + size)
+    order = np.lexsort((content, *key(slice(None))))
+    keep[order[1:]] = ~equal((content[order], *key(order)))
+    return keep
+
+
+def _places(head: np.ndarray, offsets: np.ndarray) -> np.ndarray | None:
+    """The rank of each byte's (document, position), where rows of one doc_id overlap; else None."""
+    doc, start, windows = head["doc"], head["start"], head["windows"]
+    if not ((doc[1:] == doc[:-1]) & (start[1:] < start[:-1] + windows[:-1])).any():
+        return None
+    size = np.diff(offsets)
+    d, at = np.repeat(doc, size), np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])
+    order = np.lexsort((at, d))
+    place = np.zeros(len(order), dtype=np.int64)
+    place[order[1:]] = np.cumsum((d[order][1:] != d[order][:-1]) | (at[order][1:] != at[order][:-1]))
+    return place
+
+
 def _spans(p: np.ndarray) -> np.ndarray:
     return np.rec.fromarrays([p["doc"], p["start"], p["windows"]], dtype=_SPAN)
 
@@ -217,6 +244,8 @@ def removed_spans(documents: DataFrame, store: Store | None = None) -> DataFrame
         body = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, np.uint8) for x in table["body"].to_pylist())])
         size = head["windows"].astype(np.int64) + LENGTH - 1
         start = np.cumsum(size) - size
+        keep = _distinct(head, body, start, size)
+        head, size, start = head[keep], size[keep], start[keep]
         spans = [np.zeros(0, _SPAN)]
         by_anchor = np.argsort(head["anchor"], kind="stable")
         for part in _runs(head["anchor"][by_anchor], size[by_anchor], INDEX_BYTES):
@@ -225,7 +254,7 @@ def removed_spans(documents: DataFrame, store: Store | None = None) -> DataFrame
             n = size[order]
             offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
             text = body[np.repeat(start[order] - offsets[:-1], n) + np.arange(n.sum())]
-            again = RunLengthIndex(text, offsets).repeats(LENGTH)
+            again = RunLengthIndex(text, offsets).repeats(LENGTH, _places(head[order], offsets))
             seg = np.searchsorted(offsets, again, side="right") - 1
             h = head[order[seg]]
             spans.append(np.rec.fromarrays([h["doc"], h["start"] + (again - offsets[seg]), np.ones(len(h), np.int32)], dtype=_SPAN))

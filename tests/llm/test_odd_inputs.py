@@ -1,6 +1,7 @@
 """Every operator on nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -131,3 +132,25 @@ def test_decontamination_in_passes(spark, odd_docs, bench):
     assert len(decontaminate._pieces_of(bench, 10, 1)) == 2 and len(whole) == len(rows) + len(more)
     assert judged(max_windows=1) == whole
     assert sorted(r.n_hit for r in decontaminate.digest(decontaminate.contamination(df, bench, max_windows=1)).where("contaminated").collect()) == [3, 3, 7, 10, 10]
+
+
+def test_suffix_dedup_repeated_rows(spark):
+    rng = random.Random(11)
+    prose = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    rows = []
+    for k in range(10):
+        passage, repeated, begin = prose(300), prose(400), prose(400)
+        rows += [(10 * k, prose(300) + passage + prose(300))]
+        rows += 2 * [(10 * k + 1, prose(250) + passage + repeated)]  # the same row twice
+        rows += [(10 * k + 2, repeated[50:350] + prose(300))]
+        rows += [(10 * k + 3, begin + prose(200)), (10 * k + 3, begin + prose(150))]  # one id, two texts
+    first = {}
+    for i, t in rows:
+        for p in range(len(t) - 99):
+            first[t[p : p + 100]] = min(first.get(t[p : p + 100], (i, p)), (i, p))
+    want = []
+    for i, t in rows:
+        gone = {q for j, x in rows if j == i for p in range(len(x) - 99) if first[x[p : p + 100]] != (i, p) for q in range(p, p + 100)}
+        want.append((i, len(t), len([q for q in gone if q < len(t)])))
+    got = [(r.doc_id, r.n_bytes, r.n_removed) for r in suffixdedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(want) and all(300 <= n < 310 for i, _, n in want if i % 10 == 1) and not any(n for i, _, n in want if i % 10 == 3)

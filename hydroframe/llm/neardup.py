@@ -132,7 +132,7 @@ def near_duplicates(documents: DataFrame, num: int = 4, den: int = 5) -> DataFra
     """``doc_id, class_id, n_words, n_links``: the class is named by its smallest doc_id; n_words
     counts shingles; n_links is the number of different multisets linked with the document's."""
     spark, store = documents.sparkSession, Store(documents.sparkSession)
-    slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID).cast("long")).alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = buckets_for(slim)
 
     def sign(batches):
@@ -146,7 +146,7 @@ def near_duplicates(documents: DataFrame, num: int = 4, den: int = 5) -> DataFra
             return blob_batch([*pack(e["key"] % buckets, e), (-1, m.tobytes())])
 
         for b in batches:
-            ids = b.column("doc_id").fill_null(_NO_ID).to_numpy()
+            ids = b.column("doc_id").to_numpy()
             for lo, n, (row, element, weight) in _bags(b.column("text")):
                 node = node_ids(row, element, weight, n)
                 members.append(np.rec.fromarrays([ids[lo : lo + n], node, np.bincount(row, weights=weight, minlength=n).astype(np.int64)], dtype=_MEMBER))

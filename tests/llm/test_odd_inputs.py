@@ -154,3 +154,12 @@ def test_suffix_dedup_repeated_rows(spark):
         want.append((i, len(t), len([q for q in gone if q < len(t)])))
     got = [(r.doc_id, r.n_bytes, r.n_removed) for r in suffixdedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got) == sorted(want) and all(300 <= n < 310 for i, _, n in want if i % 10 == 1) and not any(n for i, _, n in want if i % 10 == 3)
+
+
+def test_near_duplicates_without_id(spark):
+    words = [f"w{k}" for k in range(200)]
+    near = lambda n: " ".join([*words[:-n], *(f"z{k}" for k in range(n))] if n else words)
+    begun = " ".join([*(f"y{k}" for k in range(16)), *words[16:]])
+    rows = [(1, near(16)), (None, near(0)), (2, begun), (3, "quite another text with words of its own")]  # 1 and 2 meet only through the null row
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.class_id, r.n_links) for r in out) == [("1", 1, 1), ("2", 1, 1), ("3", 3, 0), ("None", 1, 2)]

@@ -5,10 +5,13 @@ words (an item of fewer words, but not none, is one window of all of them).  Tra
 are scanned window by window; a hash found in the set is verified word for word against the
 benchmark before it counts.
 
-Scale: the window table is broadcast in pieces of at most ``max_windows`` windows, so what one pass
-ships has a fixed bound.  With one piece documents are read once and nothing of them is shuffled; a
-larger benchmark takes several passes over one written copy of the ids and texts, whose rows are
-numbered, and only their partial hits are shuffled, to be merged by row.
+Scale: the benchmark goes to the executors as its normalised texts, in pieces of at most
+``max_windows`` windows (a longer item is cut into parts that share ``n - 1`` words); a window is a
+place in such a text, so a piece is about as large as its words.  The driver holds one piece at a
+time, and each worker process builds the piece's hash table once.  With one piece documents are read
+once and nothing of them is shuffled; a larger benchmark takes several passes over one written copy
+of the ids and texts, whose rows are numbered.  Each pass writes its hits before the next piece is
+sent, and only hits are shuffled, to be merged by row.
 
 Defined cases: null or empty text has no words and no hits; null benchmark texts and items
 without a word give no window; repeated items count once by ``item_id``; windows of an item whose
@@ -18,6 +21,7 @@ one; extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,92 +37,129 @@ _BITS = 20
 
 
 class WindowSet:
-    """Windows of one word count each: sorted hashes, their words and their items."""
-
-    def __init__(self, windows: dict[bytes, set[str]]):
-        by_len: dict[int, dict[int, list[tuple[bytes, set[str]]]]] = {}
-        for text, items in windows.items():
-            parts = text.split(b" ")
-            h = self._hash(parts)
-            by_len.setdefault(len(parts), {}).setdefault(h, []).append((text, items))
+    """The windows of a piece: ``items`` of (words joined by blanks, item id or None)."""
+
+    def __init__(self, items: list[tuple[bytes, str | None]], n: int):
+        self.n, self.names = n, [name for _, name in items]
+        self.text = np.frombuffer(b"".join(t for t, _ in items), dtype=np.uint8)
+        offs = np.concatenate([[0], np.cumsum([len(t) for t, _ in items])]).astype(np.int64)
+        _, self.start, self.end, h, first = B.words(self.text, offs)
+        count = np.diff(first)
+        self.item = np.repeat(np.arange(len(count)), count)
         self.tables = {}
-        for n, found in by_len.items():
-            keys = np.array(sorted(found), dtype=np.uint64)
+        for k in sorted({min(n, int(c)) for c in count if c}):
+            w = B.window_hash(h, k)
+            # Windows of n words of the longer items; a shorter item is one window of all its words.
+            at = np.flatnonzero((self.item[: len(w)] == self.item[k - 1 : k - 1 + len(w)]) & ((count[self.item[: len(w)]] == k) | (k == n)))
+            at = at[np.argsort(w[at], kind="stable")]
             seen = np.zeros(1 << _BITS, dtype=bool)
-            seen[(keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-            self.tables[n] = (keys, seen, found)
+            seen[(w[at] >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+            self.tables[k] = (w[at], at, seen)
 
-    @staticmethod
-    def _hash(parts: list[bytes]) -> int:
-        h = np.array([B.fingerprint([p]) for p in parts], dtype=np.uint64)
-        return int(B.window_hash(h, len(parts))[0])
-
-    def scan(self, buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, int, set[str]]]:
-        """(document row, first word, words, items) of every verified window, and counts first."""
+    def scan(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of each document row; and, for every verified window, its document row, first word,
+        words and item row (an array of four columns)."""
         low, start, end, h, first = B.words(buf, offs)
         count = np.diff(first)
-        yield from ((int(r), -1, int(c), ()) for r, c in enumerate(count))
-        if not len(h):
-            return
         doc = np.repeat(np.arange(len(count)), count)
-        for n, (keys, seen, found) in self.tables.items():
-            w = B.window_hash(h, n)
-            maybe = np.flatnonzero(seen[(w >> np.uint64(64 - _BITS)).astype(np.int64)])
-            maybe = maybe[doc[maybe] == doc[maybe + n - 1]]
-            at = np.minimum(np.searchsorted(keys, w[maybe]), len(keys) - 1)
-            for i, k in zip(maybe[keys[at] == w[maybe]].tolist(), at[keys[at] == w[maybe]].tolist()):
-                text = b" ".join(low[start[i + j] : end[i + j]].tobytes() for j in range(n))
-                for have, items in found[int(keys[k])]:
-                    if have == text:
-                        yield int(doc[i]), i - int(first[doc[i]]), n, items
-
-
-def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
-    """One row per distinct window: its words joined by blanks, and its item ids as strings."""
-
-    def cut(batches):
+        found = [np.zeros((0, 4), np.int64)]
+        for k, (keys, places, seen) in self.tables.items():
+            w = B.window_hash(h, k)
+            at = np.flatnonzero(seen[(w >> np.uint64(64 - _BITS)).astype(np.int64)])
+            at = at[doc[at] == doc[at + k - 1]]
+            lo, hi = (np.searchsorted(keys, w[at], side=x) for x in ("left", "right"))
+            many = hi - lo
+            i = np.repeat(at, many)
+            j = places[np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+            for d in range(k):  # word for word
+                same = end[i + d] - start[i + d] == self.end[j + d] - self.start[j + d]
+                i, j = i[same], j[same]
+                same = _equal(low, start[i + d], self.text, self.start[j + d], end[i + d] - start[i + d])
+                i, j = i[same], j[same]
+            found.append(np.stack([doc[i], i - first[doc[i]], np.full(len(i), k), self.item[j]], axis=1))
+        return count, np.concatenate(found)
+
+
+def _equal(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of the spans a[at:at+size] and b[bt:bt+size] are equal."""
+    out = np.ones(len(at), dtype=bool)
+    if len(at):
+        row = np.repeat(np.arange(len(at)), size)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        out[row[a[at[row] + step] != b[bt[row] + step]]] = False
+    return out
+
+
+_HELD: dict = {}
+
+
+def _window_set(shared, name: str, n: int) -> WindowSet:
+    """The table of a broadcast piece, built once in a worker process (the last piece is kept)."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = WindowSet(shared.value, n)
+    return _HELD[name]
+
+
+def _pieces(benchmark: DataFrame, n: int, max_windows: int) -> Iterator[list[tuple[bytes, str | None]]]:
+    """Normalised items in pieces of at most ``max_windows`` windows; at least one piece."""
+    text_batches(benchmark.sparkSession)
+
+    def normal(batches):
         for b in batches:
-            texts, ids = b.column("text").to_pylist(), b.column("item_id").to_pylist()
-            out_w, out_i = [], []
-            for t, i in zip(texts, ids):
+            out: dict[str, list] = {"words": [], "item": [], "windows": []}
+            for t, i in zip(b.column("text").to_pylist(), b.column("item_id").to_pylist()):
                 raw = np.frombuffer((t or "").encode(), dtype=np.uint8)
                 low = B.LOWER[raw]
                 s, e = B.word_spans(low, np.array([0, len(raw)]))
-                words = [low[x:y].tobytes().decode() for x, y in zip(s, e)]
-                for k in range(max(len(words) - n + 1, 1 if words else 0)):
-                    out_w.append(" ".join(words[k : k + n]))
-                    out_i.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(out_w, pa.string()), pa.array(out_i, pa.string())], ["window", "item"])
-
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, "window string, item string")
-    return rows.groupBy("window").agg(F.collect_set("item").alias("items"))
-
-
-def _scan_pass(documents: DataFrame, windows: dict[bytes, set[str]]) -> DataFrame:
+                for k in range(0, max(len(s) - n + 1, min(len(s), 1)), max_windows):
+                    part = slice(k, k + max_windows + n - 1)
+                    out["words"].append(b" ".join(low[x:y].tobytes() for x, y in zip(s[part], e[part])))
+                    out["item"].append(i)
+                    out["windows"].append(max(1, len(s[part]) - n + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(out["words"], pa.binary()), pa.array(out["item"], pa.string()), pa.array(out["windows"], pa.int64())], list(out))
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    piece, held = [], 0
+    for row in items.mapInArrow(normal, "words binary, item string, windows long").toLocalIterator():
+        if piece and held + row.windows > max_windows:
+            yield piece
+            piece, held = [], 0
+        piece.append((bytes(row["words"]), row["item"]))
+        held += row.windows
+    yield piece
+
+
+def _scan_pass(documents: DataFrame, shared, n: int) -> DataFrame:
     """One row per row of ``documents`` (``doc_id, text`` and, with several passes, ``row``)."""
-    shared = documents.sparkSession.sparkContext.broadcast(windows)
-    keys = [c for c in documents.columns if c != "text"]
+    keys, name = [c for c in documents.columns if c != "text"], uuid.uuid4().hex
     schema = ", ".join([*(f"{c} long" for c in keys), "n_words long, hits binary, items array<string>"])
 
     def scan(batches):
-        table = WindowSet(shared.value)
+        table = _window_set(shared, name, n)
         for b in batches:
             for lo, hi, buf, offs in B.slices(b.column("text")):
-                words = np.zeros(hi - lo, np.int64)
-                hits: list[list] = [[] for _ in range(hi - lo)]
-                items: list[set] = [set() for _ in range(hi - lo)]
-                for r, at, k, names in table.scan(buf, offs):
-                    if at < 0:
-                        words[r] = k
-                    else:
-                        hits[r].append((at, at + k))
-                        items[r].update(x for x in names if x is not None)
-                blobs = [_merge(x).tobytes() if x else None for x in hits]
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in keys), pa.array(words), pa.array(blobs, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], [*keys, "n_words", "hits", "items"])
+                count, found = table.scan(buf, offs)
+                blobs, items = _by_row(found, hi - lo)
+                names = [sorted({table.names[i] for i in x} - {None}) for x in items]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in keys), pa.array(count), pa.array(blobs, pa.binary()), pa.array(names, pa.list_(pa.string()))], [*keys, "n_words", "hits", "items"])
 
     return documents.mapInArrow(scan, schema)
 
 
+def _by_row(found: np.ndarray, n: int) -> tuple[list[bytes | None], list]:
+    """Merged hit spans and item rows of each of ``n`` document rows."""
+    blobs: list[bytes | None] = [None] * n
+    items: list = [()] * n
+    found = found[np.argsort(found[:, 0], kind="stable")]
+    cut = np.flatnonzero(np.r_[True, found[1:, 0] != found[:-1, 0], True]) if len(found) else np.zeros(1, np.int64)
+    for s, e in zip(cut[:-1], cut[1:]):
+        r = int(found[s, 0])
+        blobs[r] = _merge(list(zip(found[s:e, 1].tolist(), (found[s:e, 1] + found[s:e, 2]).tolist()))).tobytes()
+        items[r] = np.unique(found[s:e, 3]).tolist()
+    return blobs, items
+
+
 def _merge(spans: list) -> np.ndarray:
     """Disjoint sorted word spans, as int64 pairs."""
     out: list[list[int]] = []
@@ -133,18 +174,27 @@ def _merge(spans: list) -> np.ndarray:
 def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Per row: ``doc_id``, ``n_words``, ``hits`` (int64 pairs of hit word spans, merged; null if none)
     and ``items`` (ids of the benchmark items with a window in it)."""
+    spark, pieces = documents.sparkSession, _pieces(benchmark, n, max_windows)
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = _pieces_of(benchmark, n, max_windows)
-    if len(pieces) == 1:
-        return _scan_pass(slim, pieces[0])
+    piece, more = next(pieces), next(pieces, None)
+    if more is None:
+        return _scan_pass(slim, spark.sparkContext.broadcast(piece), n)
     # Numbered once and written, so that every pass reads the same numbers.
-    slim = Store(documents.sparkSession).write(slim.withColumn("row", F.monotonically_increasing_id()))
-    passes = [_scan_pass(slim, p) for p in pieces]
-    both = passes[0]
-    for p in passes[1:]:
-        both = both.unionByName(p)
-    joined = F.pandas_udf(lambda s: s.map(lambda xs: _merge([tuple(p) for x in xs for p in np.frombuffer(x, np.int64).reshape(-1, 2)]).tobytes() if len(xs) else None), "binary")
-    return both.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("hits").alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).select("doc_id", "n_words", joined("h").alias("hits"), "items")
+    store = Store(spark)
+    slim = store.write(slim.withColumn("row", F.monotonically_increasing_id()))
+    rows = hits = None
+    while piece is not None:
+        found = store.write(_scan_pass(slim, store.share(piece), n))
+        store.release()
+        rows = found.select("row", "doc_id", "n_words") if rows is None else rows
+        part = found.where("hits is not null").select("row", "hits", "items")
+        hits = part if hits is None else hits.unionByName(part)
+        piece, more = more, next(pieces, None)
+    store.drop(slim)
+    joined = F.pandas_udf(lambda s: s.map(lambda xs: _merge([tuple(p) for x in xs for p in np.frombuffer(x, np.int64).reshape(-1, 2)]).tobytes()), "binary")
+    hits = hits.groupBy("row").agg(F.collect_list("hits").alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    none = F.array().cast("array<string>")
+    return rows.join(hits.select("row", joined("h").alias("hits"), "items"), "row", "left").select("doc_id", "n_words", "hits", F.coalesce("items", none).alias("items"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -158,30 +208,16 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def _pieces_of(benchmark: DataFrame, n: int, max_windows: int) -> list[dict[bytes, set]]:
-    """The distinct windows in tables of at most ``max_windows``."""
-    text_batches(benchmark.sparkSession)
-    pieces: list[dict[bytes, set]] = [{}]
-    for row in benchmark_windows(benchmark, n).toLocalIterator():
-        if len(pieces[-1]) >= max_windows:
-            pieces.append({})
-        pieces[-1][row.window.encode()] = set(row.items) or {None}
-    return pieces
-
-
-def _hits(shared):
+def _hits(shared, n: int):
     """A column function: the merged hit word spans of a text, null if it has none."""
+    name = uuid.uuid4().hex
 
     def hits(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = WindowSet(shared.value)
+        table = _window_set(shared, name, n)
         for texts in parts:
             out: list = []
             for lo, hi, buf, offs in B.slices(pa.array(texts, pa.string(), from_pandas=True)):
-                spans: list[list] = [[] for _ in range(hi - lo)]
-                for r, at, k, _ in table.scan(buf, offs):
-                    if at >= 0:
-                        spans[r].append((at, at + k))
-                out += [_merge(x).tobytes() if x else None for x in spans]
+                out += _by_row(table.scan(buf, offs)[1], hi - lo)[0]
             yield pd.Series(out, dtype=object)
 
     return F.pandas_udf(hits, "binary")
@@ -194,15 +230,21 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 10, mode:
     word spans (from the first byte of the first word to the last byte of the last) out of the text.
     Each row is decided where it is read, so nothing is joined or shuffled.
     """
-    spark, pieces = documents.sparkSession, _pieces_of(benchmark, n, max_windows)
+    spark, pieces = documents.sparkSession, _pieces(benchmark, n, max_windows)
     store, cols, names = Store(spark), documents.columns, []
-    for k, windows in enumerate(pieces):
+    piece, more = next(pieces), next(pieces, None)
+    several, made = more is not None, []
+    while piece is not None:
         # Several passes are written one by one, so that a task holds one window table at a time.
-        hit = _hits(spark.sparkContext.broadcast(windows))(F.col("text").cast("string"))
-        names.append(f"__hf_hits{k}")
+        hit = _hits(store.share(piece), n)(F.col("text").cast("string"))
+        names.append(f"__hf_hits{len(names)}")
         documents = documents.where(hit.isNull()) if mode == "documents" else documents.withColumn(names[-1], hit)
-        if len(pieces) > 1:
+        if several:
             documents = store.write(documents)
+            store.release()
+            store.drop(*made)
+            made = [documents]
+        piece, more = more, next(pieces, None)
     if mode == "documents":
         return documents
 

@@ -3,7 +3,7 @@
 Both work on tables only.  ``components`` contracts a link table: every label hooks to its smallest
 neighbour, chains are shortened by pointer jumping, links between labels that are still different
 go to the next round.  A round at least halves the number of labels that have links, and the
-tables shrink with it.  Tables are written between steps, so a lost executor costs one step, and
+tables shrink with it; once they are few, one task settles the rest.  Tables are written between steps, so a lost executor costs one step, and
 both sides of each join are read from files, so a hub's rows can be split among tasks.
 
 ``verified_links`` compares the sets of the nodes of a group exactly.  A group of more than
@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 from .store import Store, partitions
 
 BLOCK = 256
+#: Links that one task settles (3 MB); longer tables are contracted by joins until so few are left.
+SMALL = 200_000
 _CELLS = 1 << 24
 
 
@@ -45,28 +47,52 @@ def label_min(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x, y = x[open_], y[open_]
 
 
-def components(links: DataFrame, store: Store) -> DataFrame:
+def _settled(links: DataFrame) -> DataFrame:
+    """``l, p`` (the smallest node of its component) of at most SMALL links, in one task."""
+
+    def settle(batches):
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x in batches:
+            a.append(x.column("a").to_numpy())
+            b.append(x.column("b").to_numpy())
+        node, root = label_min(np.concatenate(a), np.concatenate(b))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["l", "p"])
+
+    return links.coalesce(1).mapInArrow(settle, "l long, p long")
+
+
+def components(links: DataFrame, store: Store, small: int = SMALL) -> DataFrame:
     """``node, comp`` (the smallest node of its component) from ``a, b`` (long) links."""
-    live = store.write(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    label = store.write(live.select(F.col("a").alias("node")).union(live.select("b")).distinct().withColumn("comp", F.col("node")))
-    while live.limit(1).count():
-        both = live.union(live.select("b", "a")).toDF("l", "n")
-        hook = store.write(both.groupBy("l").agg(F.min("n").alias("n")).select("l", F.least("l", "n").alias("p")))
-        while True:
-            up = hook.select(F.col("l").alias("p"), F.col("p").alias("q"))
-            jump = store.write(hook.join(up, "p").select("l", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
-            store.drop(hook)
-            hook, moved = jump, jump.where("moved").limit(1).count()
-            if not moved:
-                break
+    live, label = store.write(links.where("a <> b").select("a", "b")), None
+    while n := live.count():
+        if n <= small:
+            hook = store.write(_settled(live))
+        else:
+            both = live.union(live.select("b", "a")).toDF("l", "n")
+            hook = store.write(both.groupBy("l").agg(F.min("n").alias("n")).select("l", F.least("l", "n").alias("p")))
+            while True:
+                up = hook.select(F.col("l").alias("p"), F.col("p").alias("q"))
+                jump = store.write(hook.join(up, "p").select("l", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
+                store.drop(hook)
+                hook, moved = jump, jump.where("moved").limit(1).count()
+                if not moved:
+                    break
         to = hook.select("l", "p")
-        new_label = store.write(label.join(to, label.comp == to.l, "left").select("node", F.coalesce("p", "comp").alias("comp")))
+        if label is None:
+            new_label = to.toDF("node", "comp")
+            new_label._hydroframe_path = hook._hydroframe_path
+        else:
+            new_label = store.write(label.join(to, label.comp == to.l, "left").select("node", F.coalesce("p", "comp").alias("comp")))
+            store.drop(label, hook)
+        label = new_label
+        if n <= small:
+            break
         pa_, pb = to.toDF("a", "pa"), to.toDF("b", "pb")
         new_live = store.write(live.join(pa_, "a").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
-        store.drop(hook, label, live)
-        label, live = new_label, new_live
+        store.drop(live)
+        live = new_live
     store.drop(live)
-    return label
+    return label if label is not None else live.toDF("node", "comp").limit(0)
 
 
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -115,13 +141,13 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int
 def verified_links(members: DataFrame, labels: DataFrame, store: Store, num: int = 4, den: int = 5, block: int = BLOCK, groups: int = 0) -> DataFrame:
     """Exact links within groups.
 
-    ``members``: ``node, elements`` (uint64, sorted, distinct) and ``doc, line`` (a position);
-    ``labels``: ``node, comp``.  Returns ``node, links, doc, line, root``: the number of linked nodes, the
+    ``members``: ``node, elements`` (uint64, sorted, distinct) and ``doc, tx, line`` (a position);
+    ``labels``: ``node, comp``.  Returns ``node, links, doc, tx, line, root``: the number of linked nodes, the
     earliest position among them and the smallest node linked within the task; one row for each
     node and task that found links.
     """
     spark = members.sparkSession
-    sizes = store.write(labels.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("nb")))
+    sizes = labels.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
     sized = labels.join(sizes, "comp").withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb").cast("long")).cast("int"))
     rows = members.join(sized, "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
@@ -130,7 +156,7 @@ def verified_links(members: DataFrame, labels: DataFrame, store: Store, num: int
 
     def link(table: pa.Table) -> pa.Table:
         col = lambda n: table[n].to_numpy()
-        node, comp, lo, hi, b, doc, line = (col(n) for n in ("node", "comp", "lo", "hi", "b", "doc", "line"))
+        node, comp, lo, hi, b, doc, tx, line = (col(n) for n in ("node", "comp", "lo", "hi", "b", "doc", "tx", "line"))
         sets = [np.frombuffer(x, dtype=np.uint64) for x in table["elements"].to_pylist()]
         order = np.lexsort((node, hi, lo, comp))
         cut = np.flatnonzero(np.r_[True, (comp[order][1:] != comp[order][:-1]) | (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1]), True])
@@ -146,15 +172,16 @@ def verified_links(members: DataFrame, labels: DataFrame, store: Store, num: int
         i, j = np.concatenate(ax), np.concatenate(bx)
         a, z = np.concatenate([i, j]), np.concatenate([j, i])
         if not len(a):
-            return pa.table({n: pa.array([], t) for n, t in (("node", pa.int64()), ("links", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()), ("root", pa.int64()))})
+            return pa.table({n: pa.array([], pa.int32() if n == "line" else pa.int64()) for n in ("node", "links", "doc", "tx", "line", "root")})
         names, root = label_min(node[i], node[j])
-        order = np.lexsort((line[z], doc[z], node[a]))
+        order = np.lexsort((line[z], tx[z], doc[z], node[a]))
         a, z = a[order], z[order]
         first = np.flatnonzero(np.r_[True, node[a][1:] != node[a][:-1]])
         count = np.diff(np.r_[first, len(a)])
-        return pa.table({"node": node[a[first]], "links": count, "doc": doc[z[first]], "line": line[z[first]].astype(np.int32), "root": root[np.searchsorted(names, node[a[first]])]})
+        return pa.table({"node": node[a[first]], "links": count, "doc": doc[z[first]], "tx": tx[z[first]], "line": line[z[first]].astype(np.int32), "root": root[np.searchsorted(names, node[a[first]])]})
 
-    return rows.withColumn("deal", deal).select("deal", "node", "comp", "lo", "hi", "b", "doc", "line", "elements").groupBy("deal").applyInArrow(link, "node long, links long, doc long, line int, root long")
+    rows = rows.withColumn("deal", deal).select("deal", "node", "comp", "lo", "hi", "b", "doc", "tx", "line", "elements")
+    return rows.groupBy("deal").applyInArrow(link, "node long, links long, doc long, tx long, line int, root long")
 
 
 def pack(key_bucket: np.ndarray, records: np.ndarray) -> list[tuple[int, bytes]]:

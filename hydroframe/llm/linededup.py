@@ -4,27 +4,35 @@ A line is the set of its words (A-Z lower-cased).  Words are ordered by rarity;
 Jaccard 4/5 or more share a word among the first ``n - ceil(4n/5) + 1`` of both, so lines meet at
 those prefix words only.  Length, position and parity filters drop most meetings (each of 192 bits
 is the parity of the words hashed to it, so two lines' parities differ in no more bits than their
-words do, and no true pair is dropped); what is left is verified on the whole word sets.  A line goes if the same set, or a linked one, stands earlier (smaller doc_id,
-then smaller line number); all is judged on the input.
+words do, and no true pair is dropped); what is left is verified on the whole word sets.  A line goes
+if the same set, or a linked one, stands earlier (smaller doc_id, then smaller line number); all is
+judged on the input.
+
+Words are 64-bit hashes where two lines are compared, and a word set is known by 128 bits
+(``node`` from the first, ``check`` from a second hash of each word); each distinct set in a
+candidate group gets a number of its own before links are verified.
 
 Rarity comes from word counts over all documents in a table of 2**``SKETCH_BITS`` hashed counters,
-a fixed size at any scale.  Any order gives exact results; the counters only shorten the lists.  A
-counter of 1 proves that a word stands in one line only, and its row is dropped; a counter above
-``HOT`` tells that a word's lines must be dealt out as pairs of blocks.
+kept as logarithmic classes: a fixed size at any scale.  Any order gives exact results; the counters
+only shorten the lists.  A counter of 1 proves that a word stands in one line only, and its row is
+dropped.  The prefix rows of each cell are then counted too; lines of a cell with more than ``HOT``
+rows are dealt out as pairs of blocks, as many blocks as the count asks for.
 
 Scale: the main passes ship packed records, not text.  A task keeps one position for each distinct
 line and settles its other copies at once, so a line that makes up a third of the input is one row
 a task in the shuffle.  Only lines in candidate groups ship their word sets.
 
 Defined cases: lines without a word are never removed and have no links; null and empty texts have
-no removable lines; rows that repeat a doc_id share its positions and decisions, so a repeated row
-does not remove itself; rows without a doc_id have no place in the order, lose nothing and remove
-nothing; extra columns are kept as they are.
+no removable lines; a row is known by its doc_id and its text (a 64-bit hash ``tx``): repeated rows
+share positions and decisions, so a repeated row does not remove itself, while rows of one doc_id
+with other texts are documents of their own, in the order of ``tx``; rows without a doc_id have no
+place in the order, lose nothing and remove nothing; extra columns are kept as they are.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -34,20 +42,22 @@ from . import bytesops as B
 from .graph import BLOBS, blob_batch, by_bucket, components, label_min, only, pack, sized, unpack, verified_links
 from .store import Store, buckets_for
 
-TOKEN_BITS, SKETCH_BITS, RANGES = 44, 23, 64
+SKETCH_BITS, RANGES = 23, 64
 HOT = 50_000
+_STEPS = 6  # classes for each doubling of a count
 _LINES = 1 << 13
-_PLACE = np.dtype([("node", "<i8"), ("doc", "<i8"), ("line", "<i4")])
-_GONE = np.dtype([("doc", "<i8"), ("line", "<i4")])
+_CELL_SHIFT = np.uint64(64 - SKETCH_BITS)
+_WIDTH = (1 << SKETCH_BITS) // RANGES
+_PLACE = np.dtype([("node", "<i8"), ("check", "<i8"), ("doc", "<i8"), ("tx", "<i8"), ("line", "<i4")])
+_GONE = np.dtype([("doc", "<i8"), ("tx", "<i8"), ("line", "<i4")])
 _CELL = np.dtype([("cell", "<u4"), ("n", "<u4")])
-_TEXT = np.dtype([("doc", "<i8"), ("h", "<i8"), ("lines", "<i8")])
 _ENTRY = np.dtype([("token", "<u8"), ("node", "<i8"), ("bits0", "<u8"), ("bits1", "<u8"), ("bits2", "<u8"), ("size", "<i4"), ("pos", "<i4")])
 
 
-def line_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each word of a slice: its line's number in the slice and its 44-bit token; for each line
+def line_words(buf: np.ndarray, offs: np.ndarray):
+    """For each word of a slice: its line's number in the slice and its two hashes; for each line
     of the slice: its document row and its number in the document."""
-    low, start, _, h, _ = B.words(buf, offs)
+    _, start, _, h, h2, _ = B.wide_words(buf, offs)
     breaks = np.flatnonzero(buf == 10)
     doc_of_break = np.searchsorted(offs, breaks, side="right") - 1
     n_docs = len(offs) - 1
@@ -55,17 +65,25 @@ def line_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     line_doc = np.repeat(np.arange(n_docs), count)
     line_no = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     word_doc = np.searchsorted(offs, start, side="right") - 1
-    return np.searchsorted(breaks, start) + word_doc, h >> np.uint64(64 - TOKEN_BITS), line_doc, line_no
+    return np.searchsorted(breaks, start) + word_doc, h, h2, line_doc, line_no
 
 
 def rarity(counts: np.ndarray) -> np.ndarray:
-    """Counts in 128 logarithmic classes; class 0 is a count of at most one."""
-    table = np.minimum(127, np.floor(8 * np.log2(np.maximum(np.arange(65536), 1)))).astype(np.uint8)
-    return table[counts]
+    """Counts in logarithmic classes; class 0 is a count of at most one."""
+    return np.minimum(255, np.floor(_STEPS * np.log2(np.maximum(counts, 1.0)))).astype(np.uint8)
+
+
+def at_most(classes: np.ndarray) -> np.ndarray:
+    """The largest count of each class."""
+    return 2.0 ** ((classes.astype(np.float64) + 1) / _STEPS)
+
+
+def cells(token: np.ndarray) -> np.ndarray:
+    return (token >> _CELL_SHIFT).astype(np.uint32)
 
 
-def line_sets(line: np.ndarray, token: np.ndarray, classes: np.ndarray | None):
-    """(line, class, token) of the distinct words of each line, rarest first, in pieces of lines."""
+def line_sets(line: np.ndarray, token: np.ndarray, second: np.ndarray, classes: np.ndarray | None):
+    """(line, class, token, second hash) of the distinct words of each line, rarest first, in pieces of lines."""
     if not len(line):
         return
     for lo in range(int(line[0]), int(line[-1]) + 1, _LINES):
@@ -73,66 +91,78 @@ def line_sets(line: np.ndarray, token: np.ndarray, classes: np.ndarray | None):
         if s == e:
             continue
         t = token[s:e]
-        c = classes[(t >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) if classes is not None else np.uint64(0)
-        key = np.sort(((line[s:e] - lo).astype(np.uint64) << np.uint64(51)) | (c << np.uint64(44)) | t)
-        key = key[np.r_[True, key[1:] != key[:-1]]]
-        yield (key >> np.uint64(51)).astype(np.int64) + lo, (key >> np.uint64(44)) & np.uint64(127), key & np.uint64((1 << 44) - 1)
+        group = (line[s:e] - lo) << 8
+        if classes is not None:
+            group = group | classes[cells(t)]
+        order = B.ordered(group, t, 21)
+        group, t = group[order], t[order]
+        new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (group[1:] != group[:-1])])
+        group = group[new]
+        yield (group >> 8) + lo, group & 255, t[new], second[s:e][order[new]]
+
+
+def set_ids(line: np.ndarray, token: np.ndarray, second: np.ndarray):
+    """(line, first word, node, check) of each line in order."""
+    first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+    node, check = (B.splitmix(np.add.reduceat(B.splitmix(t * B.PRIME + np.uint64(1)), first)).view(np.int64) for t in (token, second))
+    return line[first], first, node, check
 
 
-def set_ids(line: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, first word, hash of its word set) of each line in order."""
-    first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
-    sums = np.add.reduceat(B.splitmix(token * B.PRIME + np.uint64(1)), first)
-    return line[first], first, B.splitmix(sums).view(np.int64)
+def in_order(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places by word set and position, and which are the first of their set."""
+    order = np.argsort(p["node"])
+    node = p["node"][order]
+    tied = np.r_[node[1:] == node[:-1], False] if len(p) else np.zeros(0, bool)
+    tied |= np.r_[False, tied[:-1]] if len(p) else tied
+    t = order[tied]
+    order[tied] = t[np.lexsort((p["line"][t], p["tx"][t], p["doc"][t], p["check"][t], p["node"][t]))]
+    p = p[order]
+    return p, np.r_[True, (p["node"][1:] != p["node"][:-1]) | (p["check"][1:] != p["check"][:-1])] if len(p) else np.zeros(0, bool)
 
 
 def later_than_first(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Of positions sorted by set, those behind the first of their set (repeated rows share one)."""
+    """Of places in order, those behind the first of their set (repeated rows share one)."""
     head = np.maximum.accumulate(np.where(first, np.arange(len(p)), 0))
-    return (p["doc"] != p["doc"][head]) | (p["line"] != p["line"][head])
+    return (p["doc"] != p["doc"][head]) | (p["tx"] != p["tx"][head]) | (p["line"] != p["line"][head])
 
 
 def _scan(batches, piece):
     for b in batches:
-        ids = b.column("doc_id").to_numpy()
+        ids, tx = b.column("doc_id").to_numpy(), b.column("tx").to_numpy()
         for lo, hi, buf, offs in B.slices(b.column("text")):
-            line, token, line_doc, line_no = line_words(buf, offs)
-            piece(ids[lo:hi], line, token, line_doc, line_no, buf, offs)
+            piece(ids[lo:hi], tx[lo:hi], *line_words(buf, offs))
         yield b
 
 
+def _cell_rows(tokens: list[np.ndarray]) -> list[tuple[int, bytes]]:
+    """Counted cells, packed by range."""
+    cell, n = np.unique(np.concatenate([np.zeros(0, np.uint32), *tokens]), return_counts=True)
+    found = np.rec.fromarrays([cell, n.astype(np.uint32)], dtype=_CELL)
+    return pack((found["cell"] // np.uint32(_WIDTH)).astype(np.int64), found)
+
+
 def _count_pass(documents: DataFrame, buckets: int) -> DataFrame:
     """Blobs: word counters (buckets below RANGES), each task's first positions of word sets
-    (from RANGES on), positions that an earlier one in the same task settles (-1), and each
-    document's text hash and lines (-2)."""
+    (from RANGES on) and positions that an earlier one in the same task settles (-1)."""
 
     def run(batches):
-        tokens, places, texts = [], [], []
+        tokens, places = [], []
 
-        def piece(ids, line, token, line_doc, line_no, buf, offs):
-            lines = np.bincount(line_doc, minlength=len(ids)) * (np.diff(offs) > 0)
-            texts.append(np.rec.fromarrays([ids, B.span_hash(B.prefix_hash(buf), offs[:-1], offs[1:]).view(np.int64), lines], dtype=_TEXT))
-            tokens.append((token >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.uint32))
-            for ln, _, tk in line_sets(line, token, None):
-                which, _, node = set_ids(ln, tk)
-                places.append(np.rec.fromarrays([node, ids[line_doc[which]], line_no[which].astype(np.int32)], dtype=_PLACE))
+        def piece(ids, tx, line, token, second, line_doc, line_no):
+            tokens.append(cells(token))
+            for ln, _, tk, t2 in line_sets(line, token, second, None):
+                which, _, node, check = set_ids(ln, tk, t2)
+                places.append(np.rec.fromarrays([node, check, ids[line_doc[which]], tx[line_doc[which]], line_no[which].astype(np.int32)], dtype=_PLACE))
 
         def flush():
-            cell, n = np.unique(np.concatenate([np.zeros(0, np.uint32), *tokens]), return_counts=True)
-            cells = np.rec.fromarrays([cell, n.astype(np.uint32)], dtype=_CELL)
-            p = np.concatenate([np.zeros(0, _PLACE), *places])
-            p = p[np.lexsort((p["line"], p["doc"], p["node"]))]
-            first = np.r_[True, p["node"][1:] != p["node"][:-1]] if len(p) else np.zeros(0, bool)
-            later = later_than_first(p, first)
-            gone = np.rec.fromarrays([p["doc"][later], p["line"][later]], dtype=_GONE)
-            p = p[first]
+            rows = _cell_rows(tokens)
+            p, first = in_order(np.concatenate([np.zeros(0, _PLACE), *places]))
+            gone = p[later_than_first(p, first)]
+            gone = np.rec.fromarrays([gone[c] for c in _GONE.names], dtype=_GONE)
             tokens.clear()
             places.clear()
-            rows = pack((cells["cell"] >> np.uint32(SKETCH_BITS - 6)).astype(np.int64), cells)
-            rows += [(RANGES + k, x) for k, x in pack(p["node"] % buckets, p)]
-            rows += [(-1, gone.tobytes()), (-2, np.concatenate([np.zeros(0, _TEXT), *texts]).tobytes())]
-            texts.clear()
-            return blob_batch(rows)
+            p = p[first]
+            return blob_batch([*rows, *((RANGES + k, x) for k, x in pack(p["node"] % buckets, p)), (-1, gone.tobytes())])
 
         for _ in _scan(batches, piece):
             if sum(map(len, tokens)) > 1 << 23:
@@ -142,34 +172,45 @@ def _count_pass(documents: DataFrame, buckets: int) -> DataFrame:
     return documents.mapInArrow(run, BLOBS)
 
 
-def _sketch(blobs: DataFrame) -> np.ndarray:
-    """Counters of all documents, cut off at 65535 (16 MB at any scale)."""
-    width = 1 << (SKETCH_BITS - 6)
+def _classes(blobs: DataFrame, least: int = 0) -> list[tuple[int, bytes]]:
+    """Classes of the counters of all documents (those of at least ``least``; 0 for the others), packed
+    by range: at most 2**SKETCH_BITS bytes on the driver at any scale."""
 
     def add(table: pa.Table) -> pa.Table:
-        c = unpack(table, _CELL)
-        k = table["bucket"][0].as_py()
-        total = np.bincount(c["cell"].astype(np.int64) - k * width, weights=c["n"], minlength=width)
-        return pa.table({"bucket": pa.array([k], pa.int32()), "blob": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
-
-    out = np.zeros(1 << SKETCH_BITS, np.uint16)
-    for row in by_bucket(blobs.where(f"bucket between 0 and {RANGES - 1}"), add, BLOBS).toLocalIterator():
-        out[row.bucket * width : (row.bucket + 1) * width] = np.frombuffer(row.blob, np.uint16)
+        c, k = unpack(table, _CELL), table["bucket"][0].as_py()
+        total = np.bincount(c["cell"].astype(np.int64) - k * _WIDTH, weights=c["n"], minlength=_WIDTH)
+        blob = zlib.compress(np.where(total >= least, rarity(total), 0).astype(np.uint8).tobytes(), 1)
+        return pa.table({"bucket": pa.array([k], pa.int32()), "blob": pa.array([blob], pa.binary())})
+
+    rows = by_bucket(blobs.where(f"bucket between 0 and {RANGES - 1}"), add, BLOBS)
+    return [(r.bucket, bytes(r.blob)) for r in rows.toLocalIterator()]
+
+
+def class_table(packed: list[tuple[int, bytes]]) -> np.ndarray:
+    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for k, blob in packed:
+        out[k * _WIDTH : (k + 1) * _WIDTH] = np.frombuffer(zlib.decompress(blob), np.uint8)
     return out
 
 
-def prefix_entries(line, token, classes: np.ndarray) -> list[np.ndarray]:
-    """Index rows of the prefix words of each distinct line of a slice."""
-    out = []
-    for ln, cls, tk in line_sets(line, token, classes):
-        _, first, node = set_ids(ln, tk)
+def prefix_rows(line, token, second, classes: np.ndarray):
+    """(word set's first row, its words, its node; rows of the prefix words) of each piece of lines."""
+    for ln, cls, tk, t2 in line_sets(line, token, second, classes):
+        _, first, node, _ = set_ids(ln, tk, t2)
         size = np.diff(np.r_[first, len(ln)])
-        bit, word = np.uint64(1) << (tk & np.uint64(63)), (tk >> np.uint64(6)) % np.uint64(3)
-        bits = [np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), first) for w in range(3)]
         once = np.zeros(len(first), bool)
         once[np.unique(node, return_index=True)[1]] = True
         pos = np.arange(len(ln)) - np.repeat(first, size)
         take = np.flatnonzero((pos < np.repeat(np.where(once, size - (4 * size + 4) // 5 + 1, 0), size)) & (cls > 0))
+        yield tk, first, size, node, pos, take
+
+
+def prefix_entries(line, token, second, classes: np.ndarray) -> list[np.ndarray]:
+    """Index rows of the prefix words of each distinct line of a slice."""
+    out = []
+    for tk, first, size, node, pos, take in prefix_rows(line, token, second, classes):
+        bit, word = np.uint64(1) << (tk & np.uint64(63)), (tk >> np.uint64(6)) % np.uint64(3)
+        bits = [np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), first) for w in range(3)]
         of = np.repeat(np.arange(len(first)), size)[take]
         e = np.empty(len(take), dtype=_ENTRY)
         for name, v in (("token", tk[take]), ("node", node[of]), ("bits0", bits[0][of]), ("bits1", bits[1][of]), ("bits2", bits[2][of]), ("size", size[of]), ("pos", pos[take])):
@@ -178,20 +219,18 @@ def prefix_entries(line, token, classes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def spread(e: np.ndarray, classes: np.ndarray, hot: int = HOT) -> np.ndarray:
+def spread(e: np.ndarray, heavy: np.ndarray, hot: int = HOT) -> np.ndarray:
     """Index rows by the key at which they meet: the word, or for a hot word each pair of blocks that
-    the line's block takes part in."""
-    cls = classes[(e["token"] >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int64)]
-    most = np.where(cls < 127, 2.0 ** ((cls.astype(np.float64) + 1) / 8), 65536.0 * 16)
-    n = np.maximum(1, np.ceil(most / hot)).astype(np.int64)
+    the line's block takes part in.  ``heavy``: classes of the cells' prefix rows."""
+    n = np.maximum(1, np.ceil(at_most(heavy[cells(e["token"])]) / hot)).astype(np.int64)
     if len(e) and n.max() > 1:
         other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         e, blocks = np.repeat(e, n), np.repeat(n, n)
         own = (B.splitmix(e["node"].view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
-        part = np.where(blocks > 1, 1 + np.minimum(own, other) * (1 << 20) + np.maximum(own, other), 0)
+        part = np.where(blocks > 1, 1 + np.minimum(own, other) * (1 << 31) + np.maximum(own, other), 0)
     else:
         part = np.zeros(len(e), np.int64)
-    e["token"] = B.splitmix(e["token"] + part.astype(np.uint64) * B.PRIME)
+    e["token"] = B.splitmix(e["token"] + B.splitmix(part.astype(np.uint64)))
     return e
 
 
@@ -222,24 +261,57 @@ def meetings(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def decisions(documents: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, gone`` (sorted numbers of removed lines), ``n_links`` (links of the line sets that
-    stand first in the document), without documents that have neither; and for each row
-    ``doc_id, class_id`` (smallest id with the same text), ``n_lines``."""
+def _heavy(slim: DataFrame, shared) -> DataFrame:
+    """Blobs of the cells' prefix rows."""
+
+    def run(batches):
+        classes, tokens = class_table(shared.value), []
+
+        def piece(ids, tx, line, token, second, *_):
+            tokens.extend(cells(tk[take]) for tk, _, _, _, _, take in prefix_rows(line, token, second, classes))
+
+        for _ in _scan(batches, piece):
+            if sum(map(len, tokens)) > 1 << 23:
+                yield blob_batch(_cell_rows(tokens))
+                tokens.clear()
+        yield blob_batch(_cell_rows(tokens))
+
+    return slim.mapInArrow(run, BLOBS)
+
+
+def _found_at(node: np.ndarray, check: np.ndarray, by_node: np.ndarray, by_check: np.ndarray) -> np.ndarray:
+    """Where each (node, check) stands in the sorted (by_node, by_check); -1 if it does not."""
+    at = np.searchsorted(by_node, node)
+    while True:
+        inside = np.minimum(at, len(by_node) - 1)
+        same = (at < len(by_node)) & (by_node[inside] == node) if len(by_node) else np.zeros(len(node), bool)
+        other = same & (by_check[inside] != check) if len(by_node) else same
+        if not other.any():
+            return np.where(same, at, -1)
+        at = at + other
+
+
+def decisions(documents: DataFrame, hot: int = HOT) -> DataFrame:
+    """``doc_id, tx, gone`` (sorted numbers of removed lines), ``n_links`` (links of the line sets that
+    stand first in the document), without documents that have neither."""
     spark, store = documents.sparkSession, Store(documents.sparkSession)
-    slim = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = _slim(documents)
     buckets = buckets_for(slim)
     counted = store.write(_count_pass(slim, buckets))
-    shared = spark.sparkContext.broadcast(rarity(_sketch(counted)))
+    packed = _classes(counted)
+    shared = store.share(packed)
+    # Without a word of more than ``hot`` occurrences no cell can have that many prefix rows.
+    many = any(at_most(np.frombuffer(zlib.decompress(x), np.uint8)).max() > hot for _, x in packed)
+    heavy = store.share(_classes(_heavy(slim, shared), hot) if many else [])
 
     def index(batches):
-        classes, rows = shared.value, []
+        classes, weight, rows = class_table(shared.value), class_table(heavy.value), []
 
-        def piece(ids, line, token, *_):
-            rows.extend(prefix_entries(line, token, classes))
+        def piece(ids, tx, line, token, second, *_):
+            rows.extend(prefix_entries(line, token, second, classes))
 
         def flush():
-            e = spread(np.concatenate([np.zeros(0, _ENTRY), *rows]), classes, hot)
+            e = spread(np.concatenate([np.zeros(0, _ENTRY), *rows]), weight, hot)
             rows.clear()
             return blob_batch(pack((e["token"] % np.uint64(buckets)).astype(np.int64), e))
 
@@ -253,100 +325,98 @@ def decisions(documents: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFram
         return pa.table({"a": root[nodes != root], "b": nodes[nodes != root]})
 
     coarse = components(by_bucket(slim.mapInArrow(index, BLOBS), meet, "a long, b long"), store)
+    store.release()
     places = counted.where(f"bucket >= {RANGES}").withColumn("bucket", F.col("bucket") - RANGES)
     asked = coarse.select(F.pmod("node", F.lit(buckets)).cast("int").alias("bucket"), "node")
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
         p = unpack(left, _PLACE)
-        p = p[np.isin(p["node"], right["node"].to_numpy())]
-        p = p[np.lexsort((p["line"], p["doc"], p["node"]))]
-        p = p[np.r_[True, p["node"][1:] != p["node"][:-1]]] if len(p) else p
-        return pa.table({c: np.ascontiguousarray(p[c]) for c in ("node", "doc", "line")})
+        p, first = in_order(p[np.isin(p["node"], right["node"].to_numpy())])
+        return pa.table({c: np.ascontiguousarray(p[c][first]) for c in _PLACE.names})
 
-    firsts = store.write(places.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(place, "node long, doc long, line int"))
-    wanted = firsts.groupBy("doc").agg(F.collect_list("line").alias("lines"))
+    firsts = places.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(place, "node long, check long, doc long, tx long, line int")
+    firsts = store.write(firsts.withColumn("id", F.monotonically_increasing_id()))
+    lists = store.write(firsts.groupBy("doc", "tx").agg(F.collect_list("line").alias("lines")))
 
     def sets(batches):
         for b in batches:
-            ids = b.column("doc_id").to_pylist()
-            want = b.column("lines").to_pylist()
-            out = {k: [] for k in ("node", "doc", "line", "elements")}
+            want = [set(x) for x in b.column("lines").to_pylist()]
+            out: dict[str, list] = {"node": [], "check": [], "elements": []}
             for lo, hi, buf, offs in B.slices(b.column("text")):
-                line, token, line_doc, line_no = line_words(buf, offs)
-                asked_here = [set(x) for x in want[lo:hi]]
-                for ln, _, tk in line_sets(line, token, None):
-                    which, first, node = set_ids(ln, tk)
+                line, token, second, line_doc, line_no = line_words(buf, offs)
+                for ln, _, tk, t2 in line_sets(line, token, second, None):
+                    which, first, node, check = set_ids(ln, tk, t2)
                     last = np.r_[first[1:], len(tk)]
                     for k, w in enumerate(which):
-                        d, no = int(line_doc[w]), int(line_no[w])
-                        if no in asked_here[d]:
-                            for c, v in zip(out, (int(node[k]), ids[lo + d], no, tk[first[k] : last[k]].tobytes())):
-                                out[c].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["node"], pa.int64()), pa.array(out["doc"], pa.int64()), pa.array(out["line"], pa.int32()), pa.array(out["elements"], pa.binary())], list(out))
-
-    lists = store.write(wanted)
-    held = only(slim, lists.select("doc")).join(lists.withColumnRenamed("doc", "doc_id"), "doc_id").mapInArrow(sets, "node long, doc long, line int, elements binary")
-    held = held.dropDuplicates(["node"])
-    linked = verified_links(held, coarse, store, groups=buckets).groupBy("node").agg(F.sum("links").alias("links"), F.min(F.struct("doc", "line")).alias("first"))
-    linked = store.write(linked.select(F.pmod("node", F.lit(buckets)).cast("int").alias("bucket"), "node", "links", F.col("first.doc").alias("doc"), F.col("first.line").alias("line")))
+                        if int(line_no[w]) in want[lo + int(line_doc[w])]:
+                            out["node"].append(int(node[k]))
+                            out["check"].append(int(check[k]))
+                            out["elements"].append(tk[first[k] : last[k]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if c == "elements" else pa.int64()) for c, v in out.items()], list(out))
+
+    asking = lists.withColumnRenamed("doc", "doc_id")
+    held = only(slim, lists.select("doc").distinct()).join(asking, ["doc_id", "tx"]).select("text", "lines").mapInArrow(sets, "node long, check long, elements binary")
+    held = held.dropDuplicates(["node", "check"]).join(firsts, ["node", "check"]).select(F.col("id").alias("node"), "elements", "doc", "tx", "line")
+    labels = firsts.join(coarse, "node").select(F.col("id").alias("node"), "comp")
+    linked = verified_links(held, labels, store, groups=buckets).groupBy("node").agg(F.sum("links").alias("links"), F.min(F.struct("doc", "tx", "line")).alias("first"))
+    linked = linked.withColumnRenamed("node", "id").join(firsts.select("id", "node", "check"), "id")
+    linked = store.write(linked.select(F.pmod("node", F.lit(buckets)).cast("int").alias("bucket"), "node", "check", "links", "first.doc", "first.tx", "first.line"))
 
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
-        p = unpack(left, _PLACE)
-        p = p[np.lexsort((p["line"], p["doc"], p["node"]))]
-        first = np.r_[True, p["node"][1:] != p["node"][:-1]] if len(p) else np.zeros(0, bool)
-        node = right["node"].to_numpy()
-        order = np.argsort(node)
-        links, doc, line = (right[c].to_numpy()[order] for c in ("links", "doc", "line"))
-        at = np.searchsorted(node[order], p["node"])
-        hit = np.zeros(len(p), bool)
-        inside = at < len(node)
-        hit[inside] = node[order][at[inside]] == p["node"][inside]
-        at = np.where(hit, at, 0)
+        p, first = in_order(unpack(left, _PLACE))
+        cols = {c: right[c].to_numpy() for c in right.column_names if c != "bucket"}
+        order = np.lexsort((cols["check"], cols["node"]))
+        cols = {c: v[order] for c, v in cols.items()}
+        at = _found_at(p["node"], p["check"], cols["node"], cols["check"])
         earlier, n_links = np.zeros(len(p), bool), np.zeros(len(p), np.int64)
-        if hit.any():
-            d, ln = doc[at], line[at]
-            earlier = hit & first & ((d < p["doc"]) | ((d == p["doc"]) & (ln < p["line"])))
-            n_links = np.where(hit & first, links[at], 0)
+        use = np.flatnonzero((at >= 0) & first)
+        doc, tx, line, mine = (*(cols[c][at[use]] for c in ("doc", "tx", "line")), p[use])
+        earlier[use] = (doc < mine["doc"]) | ((doc == mine["doc"]) & ((tx < mine["tx"]) | ((tx == mine["tx"]) & (line < mine["line"]))))
+        n_links[use] = cols["links"][at[use]]
         gone = later_than_first(p, first) | earlier
         use = gone | (n_links > 0)
-        return pa.table({"doc": p["doc"][use].copy(), "line": np.where(gone, p["line"], -1)[use].astype(np.int32), "n": n_links[use]})
+        return pa.table({"doc": p["doc"][use].copy(), "tx": p["tx"][use].copy(), "line": np.where(gone, p["line"], -1)[use].astype(np.int32), "n": n_links[use]})
 
-    rows = places.groupBy("bucket").cogroup(linked.groupBy("bucket")).applyInArrow(settle, "doc long, line int, n long")
+    rows = places.groupBy("bucket").cogroup(linked.groupBy("bucket")).applyInArrow(settle, "doc long, tx long, line int, n long")
 
     def local(batches):
         for b in batches:
             g = unpack(pa.Table.from_batches([b]), _GONE)
-            yield pa.RecordBatch.from_arrays([pa.array(g["doc"].copy()), pa.array(g["line"].copy()), pa.array(np.zeros(len(g), np.int64))], ["doc", "line", "n"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(g[c].copy()) for c in _GONE.names), pa.array(np.zeros(len(g), np.int64))], ["doc", "tx", "line", "n"])
 
-    rows = rows.unionByName(counted.where("bucket = -1").mapInArrow(local, "doc long, line int, n long"))
-    out = rows.groupBy("doc").agg(F.array_sort(F.collect_set(F.when(F.col("line") >= 0, F.col("line")))).alias("gone"), F.sum("n").alias("n_links"))
-    out = store.write(out.select(F.col("doc").alias("doc_id"), "gone", "n_links"))
+    rows = rows.unionByName(counted.where("bucket = -1").mapInArrow(local, "doc long, tx long, line int, n long"))
+    out = rows.groupBy("doc", "tx").agg(F.array_sort(F.collect_set(F.when(F.col("line") >= 0, F.col("line")))).alias("gone"), F.sum("n").alias("n_links"))
+    out = store.write(out.select(F.col("doc").alias("doc_id"), "tx", "gone", "n_links"))
+    store.drop(counted, coarse, firsts, lists, linked)
+    return out
 
-    def texts(batches):
-        for b in batches:
-            t = unpack(pa.Table.from_batches([b]), _TEXT)
-            yield pa.RecordBatch.from_arrays([pa.array(t[c].copy()) for c in ("doc", "h", "lines")], ["doc", "h", "n_lines"])
 
-    every = counted.where("bucket = -2").mapInArrow(texts, "doc long, h long, n_lines long")
-    every = store.write(every)
-    first = store.write(every.groupBy("h").agg(F.min("doc").alias("class_id")))
-    store.drop(counted, coarse, firsts, lists, linked)
-    return out, every.join(first, "h").select(F.col("doc").alias("doc_id"), "class_id", "n_lines")
+def _slim(documents: DataFrame) -> DataFrame:
+    """``doc_id, text, tx`` of the rows that have an id."""
+    text = F.col("text").cast("string")
+    return documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tx"))
 
 
 def line_report(documents: DataFrame) -> DataFrame:
-    """``doc_id, class_id, n_lines, n_removed, n_links``."""
-    found, rows = decisions(documents)
-    out = rows.join(found, "doc_id", "left").select("doc_id", "class_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    none, text = F.lit(0).cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    nameless = documents.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.when(text == "", 0).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("n_lines"), none.alias("n_removed"), none.alias("n_links"))
+    """``doc_id, class_id`` (smallest id with the same text, by its MD5), ``n_lines, n_removed, n_links``
+    of each row."""
+    found, text = decisions(documents), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tx"), F.md5(text).alias("same"),
+        F.when(text == "", 0).otherwise(F.regexp_count(text, F.lit("\n")) + 1).cast("long").alias("n_lines"),
+    )
+    named, zero = rows.where("doc_id is not null"), F.lit(0).cast("long")
+    first = named.groupBy("same").agg(F.min("doc_id").alias("class_id"))
+    out = named.join(first, "same").join(found, ["doc_id", "tx"], "left")
+    out = out.select("doc_id", "class_id", "n_lines", F.coalesce(F.size("gone"), zero).cast("long").alias("n_removed"), F.coalesce("n_links", zero).cast("long").alias("n_links"))
+    nameless = rows.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), "n_lines", zero.alias("n_removed"), zero.alias("n_links"))
     return out.unionByName(nameless)
 
 
 def dedup_lines(documents: DataFrame, drop_emptied: bool = True) -> DataFrame:
     """Documents without their removed lines, in their own columns; with ``drop_emptied`` a
     document that loses its last word goes as a whole."""
-    found = decisions(documents)[0].where("size(gone) > 0").select(F.col("doc_id").alias("__hf_doc"), F.col("gone").alias("__hf_gone"))
+    found = decisions(documents).where("size(gone) > 0").select(F.col("doc_id").alias("__hf_doc"), F.col("tx").alias("__hf_tx"), F.col("gone").alias("__hf_gone"))
     found = sized(found, found.agg(F.coalesce(F.sum(F.size("__hf_gone")), F.lit(0))).first()[0])
 
     cols, schema = documents.columns, documents.schema
@@ -375,7 +445,8 @@ def dedup_lines(documents: DataFrame, drop_emptied: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(out, cols)
 
     # One pass in Arrow, so that a task needs one Python worker and no second copy of the texts.
-    rows = documents.join(found, documents.doc_id == F.col("__hf_doc"), "left").drop("__hf_doc")
+    same = (documents.doc_id == F.col("__hf_doc")) & (F.xxhash64(documents.text.cast("string")) == F.col("__hf_tx"))
+    rows = documents.join(found, same, "left").drop("__hf_doc", "__hf_tx")
     return rows.mapInArrow(rewrite, schema)
 
 

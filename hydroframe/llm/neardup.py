@@ -12,6 +12,10 @@ a signature costs about ``M log M`` points and one draw for each shingle.
 probability 3e-6); chains through the buckets give candidate groups, and within those the multiset
 overlap is verified exactly for all pairs.  Groups of links are the classes.
 
+Texts are told apart by 128 bits of hashes (``node`` and ``check``); candidate groups may be found by
+``node`` alone, since what is in them is compared shingle by shingle.  Each distinct multiset then
+gets a number of its own, and all links are between those numbers.
+
 Scale: texts are read twice and never shuffled, but for the representatives of candidate groups.
 Documents with the same multiset are one node from the first pass on, and a task sends a node to
 a bucket once, so groups of exact copies weigh no more than one document a task.  Bucket rows are
@@ -35,18 +39,17 @@ from .store import Store, buckets_for
 BANDS, ROWS = 32, 5
 M = BANDS * ROWS
 _ENTRY = np.dtype([("key", "<i8"), ("node", "<i8")])
-_MEMBER = np.dtype([("doc", "<i8"), ("node", "<i8"), ("words", "<i8")])
+_MEMBER = np.dtype([("doc", "<i8"), ("node", "<i8"), ("check", "<i8"), ("words", "<i8")])
 _SEED = np.uint64(0x5851F42D4C957F2D)
 _NO_ID = (1 << 63) - 1  # stands for a null doc_id, behind all others
 
 
-def multiset(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, 48-bit element, weight) of the distinct shingles, rows ascending (fewer than 2**16)."""
-    key = np.sort((row.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16)))
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    weight = np.diff(np.r_[first, len(key)])
-    key = key[first]
-    return (key >> np.uint64(48)).astype(np.int64), key & np.uint64((1 << 48) - 1), weight
+def multiset(row: np.ndarray, h: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, element, its second hash, weight) of the distinct shingles, rows ascending (fewer than 2**16)."""
+    order = B.ordered(row, h, 16)
+    row, h = row[order], h[order]
+    first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, np.int64)
+    return row[first], h[first], h2[order[first]], np.diff(np.r_[first, len(h)])
 
 
 def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, m: int = M) -> np.ndarray:
@@ -100,9 +103,9 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 def node_ids(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     """A hash of each row's multiset (0 for none)."""
     first = np.searchsorted(row, np.arange(n + 1))
-    mixed = B.splitmix(element * B.PRIME + weight.astype(np.uint64))
+    mixed = B.splitmix(element ^ B.splitmix(weight.astype(np.uint64) * B.PRIME))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
-    total = B.splitmix((sums[first[1:]] - sums[first[:-1]]) | np.uint64(1))
+    total = np.maximum(B.splitmix(sums[first[1:]] - sums[first[:-1]]), np.uint64(1))
     return np.where(first[1:] > first[:-1], total, np.uint64(0)).view(np.int64)
 
 
@@ -124,8 +127,7 @@ def _bags(batch_text):
         for at in range(0, hi - lo, 1 << 15):
             end = min(hi - lo, at + (1 << 15))
             piece = offs[at : end + 1]
-            row, h = B.shingles(buf[piece[0] : piece[-1]], piece - piece[0])
-            yield lo + at, end - at, multiset(row, h)
+            yield lo + at, end - at, multiset(*B.shingles(buf[piece[0] : piece[-1]], piece - piece[0]))
 
 
 def near_duplicates(documents: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
@@ -147,9 +149,9 @@ def near_duplicates(documents: DataFrame, num: int = 4, den: int = 5) -> DataFra
 
         for b in batches:
             ids = b.column("doc_id").to_numpy()
-            for lo, n, (row, element, weight) in _bags(b.column("text")):
-                node = node_ids(row, element, weight, n)
-                members.append(np.rec.fromarrays([ids[lo : lo + n], node, np.bincount(row, weights=weight, minlength=n).astype(np.int64)], dtype=_MEMBER))
+            for lo, n, (row, element, second, weight) in _bags(b.column("text")):
+                node, check = node_ids(row, element, weight, n), node_ids(row, second, weight, n)
+                members.append(np.rec.fromarrays([ids[lo : lo + n], node, check, np.bincount(row, weights=weight, minlength=n).astype(np.int64)], dtype=_MEMBER))
                 once = np.unique(node, return_index=True)[1]
                 once = once[node[once] != 0]
                 keep = np.zeros(n, bool)
@@ -176,35 +178,35 @@ def near_duplicates(documents: DataFrame, num: int = 4, den: int = 5) -> DataFra
     def members_of(batches):
         for b in batches:
             m = unpack(pa.Table.from_batches([b]), _MEMBER)
-            yield pa.RecordBatch.from_arrays([pa.array(m["doc"].copy()), pa.array(m["node"].copy()), pa.array(m["words"].copy())], ["doc", "node", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(m[c].copy()) for c in _MEMBER.names], list(_MEMBER.names))
 
-    members = signed.where("bucket = -1").mapInArrow(members_of, "doc long, node long, words long")
-    firsts = store.write(members.where("node <> 0").groupBy("node").agg(F.min("doc").alias("doc")))
-    picked = store.write(firsts.join(coarse, "node").select("node", "doc"))
+    members = signed.where("bucket = -1").mapInArrow(members_of, "doc long, node long, check long, words long")
+    firsts = members.where("node <> 0").groupBy("node", "check").agg(F.min("doc").alias("doc"))
+    firsts = store.write(firsts.withColumn("id", F.monotonically_increasing_id()))
+    picked = store.write(firsts.join(coarse, "node"))
 
     def sets(batches):
         for b in batches:
-            out_n, out_s = [], []
-            for _, n, (row, element, weight) in _bags(b.column("text")):
-                node, first = node_ids(row, element, weight, n), np.searchsorted(row, np.arange(n + 1))
-                for k in range(n):
-                    if node[k]:
-                        s = slice(first[k], first[k + 1])
-                        out_n.append(int(node[k]))
-                        out_s.append(expand(element[s], weight[s]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out_n, pa.int64()), pa.array(out_s, pa.binary())], ["node", "elements"])
-
-    held = only(slim, picked.select("doc").distinct()).mapInArrow(sets, "node long, elements binary").dropDuplicates(["node"])
-    held = held.join(picked, "node").withColumn("line", F.lit(0))
-    found = store.write(verified_links(held, coarse, store, num, den, groups=buckets))
+            out = {"node": [], "check": [], "elements": []}
+            for _, n, (row, element, second, weight) in _bags(b.column("text")):
+                node, check, first = node_ids(row, element, weight, n), node_ids(row, second, weight, n), np.searchsorted(row, np.arange(n + 1))
+                for k in np.flatnonzero(node):
+                    s = slice(first[k], first[k + 1])
+                    out["node"].append(int(node[k]))
+                    out["check"].append(int(check[k]))
+                    out["elements"].append(expand(element[s], weight[s]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if c == "elements" else pa.int64()) for c, v in out.items()], list(out))
+
+    held = only(slim, picked.select("doc").distinct()).mapInArrow(sets, "node long, check long, elements binary").dropDuplicates(["node", "check"])
+    held = held.join(picked, ["node", "check"]).select(F.col("id").alias("node"), "elements", "doc", F.lit(0).cast("long").alias("tx"), F.lit(0).alias("line"))
+    found = store.write(verified_links(held, picked.select(F.col("id").alias("node"), "comp"), store, num, den, groups=buckets))
     groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), store)
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = firsts.join(groups, "node").groupBy("comp").agg(F.min("doc").alias("class"))
-    of_node = store.write(groups.join(store.write(named), "comp").join(degree, "node").select("node", "class", "links"))
-    own = store.write(firsts.join(of_node, "node", "left").select("node", F.coalesce("class", "doc").alias("class"), F.coalesce("links", F.lit(0)).cast("long").alias("links")))
-    own, members = store.write(own), store.write(members)
-    store.drop(signed, coarse, firsts, picked, found, groups, of_node)
-    out = members.join(own, "node", "left")
+    grouped = firsts.join(groups, firsts.id == groups.node).select("id", "doc", "comp")
+    of_node = grouped.join(grouped.groupBy("comp").agg(F.min("doc").alias("class")), "comp").join(degree, F.col("id") == degree.node).select("id", "class", "links")
+    own = store.write(firsts.join(of_node, "id", "left").select("node", "check", F.coalesce("class", "doc").alias("class"), F.coalesce("links", F.lit(0)).cast("long").alias("links")))
+    store.drop(coarse, firsts, picked, found, groups)
+    out = members.join(own, ["node", "check"], "left")
     known = lambda c: F.when(c != _NO_ID, c)
     return out.select(known(F.col("doc")).alias("doc_id"), known(F.coalesce("class", "doc")).alias("class_id"), F.col("words").alias("n_words"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 

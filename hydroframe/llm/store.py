@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,10 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests), a temporary folder."""
+    """``spark.checkpoint.dir`` of the session; where it is unset (tests), a temporary folder.  On a
+    cluster no local folder is shared, so there it must be set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="hydroframe-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -25,6 +31,7 @@ class Store:
         text_batches(spark)
         self.root = f"{shared_dir(spark)}/hydroframe-{uuid.uuid4().hex}"
         self.made = 0
+        self.shared: list = []
 
     def write(self, df: DataFrame) -> DataFrame:
         self.made += 1
@@ -34,13 +41,24 @@ class Store:
         out._hydroframe_path = path
         return out
 
+    def share(self, value):
+        """A broadcast of ``value``; ``release`` it once the tables that need it are written."""
+        self.shared.append(self.spark.sparkContext.broadcast(value))
+        return self.shared[-1]
+
+    def release(self) -> None:
+        """Destroys the broadcasts made by ``share``."""
+        while self.shared:
+            self.shared.pop().destroy()
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later plan reads."""
         jvm = self.spark._jvm
         conf = self.spark._jsc.hadoopConfiguration()
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._hydroframe_path)
-            path.getFileSystem(conf).delete(path, True)
+            if hasattr(t, "_hydroframe_path"):
+                path = jvm.org.apache.hadoop.fs.Path(t._hydroframe_path)
+                path.getFileSystem(conf).delete(path, True)
 
 
 #: Rows of text in an Arrow batch: some MB, where Spark's 10000 rows may be hundreds.

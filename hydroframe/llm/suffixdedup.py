@@ -5,25 +5,27 @@ earlier in the same document) is marked.  To let equal strings meet, each ``LENG
 owned by its anchor: its 16 bytes of the smallest hash (the leftmost, if tied).  Equal windows have
 equal anchors.  Neighbouring windows of one anchor form a segment.
 
-1. Segments (anchor hash, content hash, position) meet by anchor.  Of equal segments all but the
-   earliest are marked whole; those that a task can tell on its own do not leave it.
-2. Where an anchor has several different segments, the earliest copy of each is cut out of its
-   document and dealt by anchor.  Each task builds a run-length index (run-compressed
-   Burrows-Wheeler transform with sampled run ends) over its segments in position order, streams
-   their matching statistics, and marks the windows that an earlier segment holds.
+1. Segments meet by anchor.  Equal ones (by the anchor's 64 and the content's 96 bits of hashes) are
+   collapsed to the earliest and a list of the other positions; copies within a task do not leave it.
+2. Where an anchor stands at several positions, each distinct segment is cut out of its document
+   once.  Each task builds run-length indexes (run-compressed Burrows-Wheeler transform with sampled
+   run ends) over those strings, streams their matching statistics, and gets for every window the
+   earliest position among all strings.  A window is marked at each position of its string, copies
+   included, that is not that earliest one.
 3. Marks are merged by document and the remaining bytes are hashed or returned.
 
 The result is exact: an anchor depends on its window's bytes only, so no pair of equal windows is
-missed, and nothing is sampled.  (Segments are compared by 128 bits of hashes.)
+missed, and nothing is sampled.
 
-Scale: texts are read three times; of the texts only what holds marks or unresolved segments is
-shuffled.  Segment rows are 32 bytes for each 38 bytes of text, packed into blobs.  An exact copy
+Scale: texts are read three times; of the texts only distinct strings of repeated anchors are
+shuffled.  Segment rows are 41 bytes for each 38 bytes of text, packed into blobs.  An exact copy
 group sends one row a task and segment, whatever its size.
 
 Defined cases: null text counts as empty; texts under ``LENGTH`` bytes have no string and keep all;
-rows that repeat a doc_id share its positions, so a repeated row does not mark itself (and what is
-marked at a position goes from all rows of that id); rows without a doc_id have no place in the order
-and stay whole; extra columns are ignored.
+a position is (doc_id, start), so a repeated row does not mark itself, and bytes that rows of one
+doc_id have at the same place stay in all of them; a row is known by its doc_id and its text (a 64-bit
+hash ``tx``), and what is marked in one row stays in another text of the same id; rows without a
+doc_id have no place in the order and stay whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytesops as B
-from .graph import BLOBS, blob_batch, by_bucket, only, pack, unpack, without
+from .graph import BLOBS, blob_batch, by_bucket, only, pack, sized, unpack
 from .rindex import RunLengthIndex
 from .store import Store, buckets_for
 
@@ -44,9 +46,8 @@ LENGTH, GRAM = 100, 16
 INDEX_BYTES = 1 << 19
 _POSITION = np.uint64((1 << 24) - 1)
 _PIECE = 1 << 22
-_SEGMENT = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("windows", "<i4")])
-_SPAN = np.dtype([("doc", "<i8"), ("start", "<i8"), ("windows", "<i4")])
-_ASK = np.dtype([("doc", "<i8"), ("start", "<i8"), ("anchor", "<u8"), ("windows", "<i4")])
+_SEGMENT = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("more", "<u4"), ("doc", "<i8"), ("tx", "<i8"), ("start", "<u4"), ("windows", "u1")])
+_SPAN = np.dtype([("doc", "<i8"), ("tx", "<i8"), ("start", "<u4"), ("windows", "<u4")])
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -60,24 +61,24 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(anchor hash, content hash, document row, first window, windows) of a slice."""
+    """(anchor hash, content hash, more of it, document row, first window, windows) of a slice."""
     n = len(buf)
     if n < length:
         z = np.zeros(0, np.int64)
-        return z.view(np.uint64), z.view(np.uint64), z, z, z
-    prefix = B.prefix_hash(buf)
+        return z.view(np.uint64), z.view(np.uint64), z.view(np.uint64), z, z, z
+    eight = B.eights(buf)
     at = np.arange(n - GRAM + 1)
-    gram = B.span_hash(prefix, at, at + GRAM)
+    gram = B.splitmix(eight[: n - GRAM + 1] ^ B.splitmix(eight[8 : n - GRAM + 9] * B.PRIME + B.PRIME))
     owner = (sliding_min((gram & ~_POSITION) | at.astype(np.uint64), length - GRAM + 1) & _POSITION).astype(np.int64)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[: len(owner)]
     inside = np.arange(len(owner)) + length <= offs[1:][doc]
     change = (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(inside & np.r_[True, change])
     last = np.flatnonzero(inside & np.r_[change | ~inside[1:], True])
-    content = B.span_hash(prefix, first, last + length)
+    content, more = B.span_hashes(eight, buf, first, last + length)
     # The anchor's place in the segment tells apart equal bytes with different anchors.
     content = B.splitmix(content + (owner[first] - first).astype(np.uint64))
-    return gram[owner[first]], content, doc[first], first - offs[doc[first]], last - first + 1
+    return gram[owner[first]], content, more, doc[first], first - offs[doc[first]], last - first + 1
 
 
 def _pieces(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
@@ -95,10 +96,17 @@ def _pieces(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
 
 
 def _not_first(p: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Segments that stand behind the first of theirs."""
     head = np.maximum.accumulate(np.where(first, np.arange(len(p)), 0))
     return (p["doc"] != p["doc"][head]) | (p["start"] != p["start"][head])
 
 
+def _once(p: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which of the ordered segments are no repetition of the one before (of a repeated row)."""
+    same = np.logical_and.reduce([p[c][1:] == p[c][:-1] for c in ("doc", "tx", "start")]) if len(p) else first
+    return first | np.r_[True, ~same] if len(p) else first
+
+
 def _runs(anchor: np.ndarray, size: np.ndarray, most: int) -> Iterator[slice]:
     """Runs of whole anchors (sorted) of about ``most`` bytes, for indexes that stay in cache."""
     first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]) if len(anchor) else np.zeros(0, np.int64)
@@ -113,39 +121,41 @@ def _runs(anchor: np.ndarray, size: np.ndarray, most: int) -> Iterator[slice]:
 
 def _by_content(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Segments in the order of (anchor, content, position), and which are the first of theirs."""
-    p = p[np.lexsort((p["start"], p["doc"], p["content"], p["anchor"]))]
-    first = np.r_[True, (p["anchor"][1:] != p["anchor"][:-1]) | (p["content"][1:] != p["content"][:-1])] if len(p) else np.zeros(0, bool)
-    return p, first
-
-
-def _distinct(head: np.ndarray, body: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Which segments to keep, so that rows of one doc_id give equal ones only once."""
-    key = lambda o: (head["windows"][o], head["start"][o], head["doc"][o], head["anchor"][o])
-    equal = lambda cols: np.logical_and.reduce([c[1:] == c[:-1] for c in cols])
-    keep = np.ones(len(head), dtype=bool)
-    if not equal(key(np.lexsort(key(slice(None))))).any():
-        return keep
-    content = B.span_hash(B.prefix_hash(body), start, start + size)
-    order = np.lexsort((content, *key(slice(None))))
-    keep[order[1:]] = ~equal((content[order], *key(order)))
-    return keep
+    order = np.argsort(p["content"])
+    p = p[order[np.argsort(p["anchor"][order], kind="stable")]]
+    if not len(p):
+        return p, np.zeros(0, bool)
+    tied = np.r_[(p["anchor"][1:] == p["anchor"][:-1]) & (p["content"][1:] == p["content"][:-1]), False]
+    t = np.flatnonzero(tied | np.r_[False, tied[:-1]])
+    q = p[t]
+    p[t] = q[np.lexsort((q["tx"], q["start"], q["doc"], q["more"], q["content"], q["anchor"]))]
+    return p, np.r_[True, (p["anchor"][1:] != p["anchor"][:-1]) | (p["content"][1:] != p["content"][:-1]) | (p["more"][1:] != p["more"][:-1])]
 
 
 def _places(head: np.ndarray, offsets: np.ndarray) -> np.ndarray | None:
-    """The rank of each byte's (document, position), where rows of one doc_id overlap; else None."""
-    doc, start, windows = head["doc"], head["start"], head["windows"]
+    """The rank of each byte's position, where strings of one document overlap; else None."""
+    doc, start, windows = head["doc"], head["start"].astype(np.int64), head["windows"]
     if not ((doc[1:] == doc[:-1]) & (start[1:] < start[:-1] + windows[:-1])).any():
         return None
     size = np.diff(offsets)
-    d, at = np.repeat(doc, size), np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])
-    order = np.lexsort((at, d))
+    row, at = np.repeat(doc, size), np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])
+    order = np.lexsort((at, row))
     place = np.zeros(len(order), dtype=np.int64)
-    place[order[1:]] = np.cumsum((d[order][1:] != d[order][:-1]) | (at[order][1:] != at[order][:-1]))
+    place[order[1:]] = np.cumsum((row[order][1:] != row[order][:-1]) | (at[order][1:] != at[order][:-1]))
     return place
 
 
+def _copies_of(head: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(head, copy) pairs of equal content."""
+    both = np.concatenate([head, copies])
+    order = np.lexsort((np.arange(len(both)), both["more"], both["content"], both["anchor"]))
+    at = np.where(order < len(head), order, 0)
+    at = at[np.maximum.accumulate(np.where(order < len(head), np.arange(len(order)), 0))]
+    return at[order >= len(head)], order[order >= len(head)] - len(head)
+
+
 def _spans(p: np.ndarray) -> np.ndarray:
-    return np.rec.fromarrays([p["doc"], p["start"], p["windows"]], dtype=_SPAN)
+    return np.rec.fromarrays([p[c] for c in _SPAN.names], dtype=_SPAN)
 
 
 def _merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -156,11 +166,18 @@ def _merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.stack([start[new], reach[np.r_[np.flatnonzero(new)[1:] - 1, len(start) - 1]]], axis=1)
 
 
+def _groups(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Records ordered by (doc, tx), and where each such group begins, with the total."""
+    a = a[np.lexsort((a["start"], a["tx"], a["doc"]))]
+    return a, np.flatnonzero(np.r_[True, (a["doc"][1:] != a["doc"][:-1]) | (a["tx"][1:] != a["tx"][:-1]), True]) if len(a) else np.zeros(1, np.int64)
+
+
 def removed_spans(documents: DataFrame, store: Store | None = None) -> DataFrame:
-    """``doc, spans`` (int64 pairs of byte positions) of the documents that lose bytes."""
+    """``doc, tx, spans`` (int64 pairs of byte positions) of the documents that lose bytes."""
     spark = documents.sparkSession
     store = store or Store(spark)
-    slim = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    slim = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tx"))
     buckets = buckets_for(slim)
 
     def cut(batches):
@@ -169,60 +186,56 @@ def removed_spans(documents: DataFrame, store: Store | None = None) -> DataFrame
         def flush():
             p, first = _by_content(np.concatenate([np.zeros(0, _SEGMENT), *found]))
             found.clear()
-            again = _spans(p[_not_first(p, first)])
-            p = p[first]
+            later = _not_first(p, first)
+            again = _spans(p[later])
+            p = p[~later & _once(p, first)]
             rows = pack((B.splitmix(p["anchor"]) % np.uint64(buckets)).astype(np.int64), p)
             return blob_batch([*rows, *((-1 - k, x) for k, x in pack(again["doc"] % buckets, again))])
 
         for b in batches:
-            ids = b.column("doc_id").to_numpy()
+            ids, tx = b.column("doc_id").to_numpy(), b.column("tx").to_numpy()
             for lo, hi, buf, offs, base in _pieces(b.column("text")):
-                anchor, content, doc, start, windows = segments(buf, offs)
-                found.append(np.rec.fromarrays([anchor, content, ids[lo:hi][doc], start + base, windows.astype(np.int32)], dtype=_SEGMENT))
+                anchor, content, more, doc, start, windows = segments(buf, offs)
+                cols = [anchor, content, more >> np.uint64(32), ids[lo:hi][doc], tx[lo:hi][doc], start + base, windows]
+                found.append(np.rec.fromarrays([c.astype(_SEGMENT[k]) for k, c in enumerate(cols)], dtype=_SEGMENT))
             if sum(map(len, found)) > 1 << 20:
                 yield flush()
         yield flush()
 
     def meet(table: pa.Table) -> pa.Table:
-        """Spans of later equal segments (kind 0) and requests for contents (kind 1), by document."""
-        if table["bucket"][0].as_py() < 0:
-            k = -1 - table["bucket"][0].as_py()
-            return _kinds([(k, 0, x) for x in table["blob"].to_pylist()])
+        """Marked spans (kind 0) and requests for strings (kind 1), by document; the other positions
+        of those strings (kind 2), by anchor."""
+        k = table["bucket"][0].as_py()
+        if k < 0:
+            return _kinds([(-1 - k, 0, x) for x in table["blob"].to_pylist()])
         p, first = _by_content(unpack(table, _SEGMENT))
-        again = _spans(p[_not_first(p, first)])
-        p = p[first]
-        new = np.r_[True, p["anchor"][1:] != p["anchor"][:-1]] if len(p) else np.zeros(0, bool)
-        p = p[np.repeat(np.diff(np.r_[np.flatnonzero(new), len(p)]) > 1, np.diff(np.r_[np.flatnonzero(new), len(p)]))]
-        ask = np.rec.fromarrays([p["doc"], p["start"], p["anchor"], p["windows"]], dtype=_ASK)
-        return _kinds([*((k, 0, x) for k, x in pack(again["doc"] % buckets, again)), *((k, 1, x) for k, x in pack(ask["doc"] % buckets, ask))])
+        once = _once(p, first)
+        p, first = p[once], first[once]
+        new = np.flatnonzero(np.r_[True, p["anchor"][1:] != p["anchor"][:-1]]) if len(p) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[new, len(p)])
+        often = np.repeat(size > 1, size)
+        p, first = p[often], first[often]
+        return _kinds([*((j, 1, x) for j, x in pack(p["doc"][first] % buckets, p[first])), (k, 2, p[~first].tobytes())])
 
     met = store.write(by_bucket(slim.mapInArrow(cut, BLOBS), meet, "bucket int, kind int, blob binary"))
 
     def by_doc(table: pa.Table) -> pa.Table:
-        a = unpack(table, _ASK)
-        a = a[np.lexsort((a["start"], a["doc"]))]
-        new = np.flatnonzero(np.r_[True, a["doc"][1:] != a["doc"][:-1], True]) if len(a) else np.zeros(1, np.int64)
-        return pa.table({"doc": pa.array(a["doc"][new[:-1]].copy()), "asks": pa.array([a[s:e].tobytes() for s, e in zip(new[:-1], new[1:])], pa.binary())})
+        a, new = _groups(unpack(table, _SEGMENT))
+        asks = pa.array([a[s:e].tobytes() for s, e in zip(new[:-1], new[1:])], pa.binary())
+        return pa.table({"doc": pa.array(a["doc"][new[:-1]].copy()), "tx": pa.array(a["tx"][new[:-1]].copy()), "asks": asks})
 
-    asks = store.write(by_bucket(met.where("kind = 1").select("bucket", "blob"), by_doc, "doc long, asks binary"))
+    asks = store.write(by_bucket(met.where("kind = 1").select("bucket", "blob"), by_doc, "doc long, tx long, asks binary"))
 
     def contents(batches):
         for b in batches:
-            heads, bodies = [np.zeros(0, _ASK)], [np.zeros(0, np.uint8)]
+            heads, bodies = [np.zeros(0, _SEGMENT)], [np.zeros(0, np.uint8)]
             raw, offs = B.string_buffers(b.column("text"))
             for k, blob in enumerate(b.column("asks").to_pylist()):
-                a = np.frombuffer(blob, dtype=_ASK)
+                a = np.frombuffer(blob, dtype=_SEGMENT)
                 size = a["windows"].astype(np.int64) + LENGTH - 1
                 first = np.cumsum(size) - size
-                at = np.repeat(a["start"] - first, size) + np.arange(size.sum())
-                doc = raw[offs[k] : offs[k + 1]]
-                if len(at) and at.max() >= len(doc):  # another row of the same id
-                    fits = a["start"] + size <= len(doc)
-                    a, size = a[fits], size[fits]
-                    first = np.cumsum(size) - size
-                    at = np.repeat(a["start"] - first, size) + np.arange(size.sum())
                 heads.append(a)
-                bodies.append(doc[at])
+                bodies.append(raw[offs[k] + np.repeat(a["start"] - first, size) + np.arange(size.sum())])
             head, body = np.concatenate(heads), np.concatenate(bodies)
             size = head["windows"].astype(np.int64) + LENGTH - 1
             start = np.cumsum(size) - size
@@ -239,44 +252,59 @@ def removed_spans(documents: DataFrame, store: Store | None = None) -> DataFrame
                 out_t.append(body[at].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out_h, pa.binary()), pa.array(out_t, pa.binary())], ["bucket", "blob", "body"])
 
-    def resolve(table: pa.Table) -> pa.Table:
-        head = unpack(table, _ASK)
+    def resolve(table: pa.Table, others: pa.Table) -> pa.Table:
+        head, copies = unpack(table, _SEGMENT), unpack(others, _SEGMENT)
         body = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, np.uint8) for x in table["body"].to_pylist())])
         size = head["windows"].astype(np.int64) + LENGTH - 1
         start = np.cumsum(size) - size
-        keep = _distinct(head, body, start, size)
-        head, size, start = head[keep], size[keep], start[keep]
-        spans = [np.zeros(0, _SPAN)]
-        by_anchor = np.argsort(head["anchor"], kind="stable")
-        for part in _runs(head["anchor"][by_anchor], size[by_anchor], INDEX_BYTES):
-            mine = by_anchor[part]
-            order = mine[np.lexsort((head["start"][mine], head["doc"][mine]))]
-            n = size[order]
+        # Repeated rows of a document ask for the same string; it is taken once.
+        order = np.lexsort((head["start"], head["tx"], head["doc"], head["anchor"]))
+        same = np.logical_and.reduce([head[c][order][1:] == head[c][order][:-1] for c in ("anchor", "doc", "tx", "start")]) if len(head) else np.zeros(0, bool)
+        order = order[np.r_[True, ~same]] if len(head) else order
+        head, size, start = head[order], size[order], start[order]
+        spans, marked = [], np.zeros((2, 0), np.int64)
+        for part in _runs(head["anchor"], size, INDEX_BYTES):
+            mine = np.arange(part.start, part.stop)
+            mine = mine[np.lexsort((head["start"][mine], head["tx"][mine], head["doc"][mine]))]
+            h, n = head[mine], size[mine]
             offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
-            text = body[np.repeat(start[order] - offsets[:-1], n) + np.arange(n.sum())]
-            again = RunLengthIndex(text, offsets).repeats(LENGTH, _places(head[order], offsets))
-            seg = np.searchsorted(offsets, again, side="right") - 1
-            h = head[order[seg]]
-            spans.append(np.rec.fromarrays([h["doc"], h["start"] + (again - offsets[seg]), np.ones(len(h), np.int32)], dtype=_SPAN))
-        span = np.concatenate(spans)
-        span = span[np.lexsort((span["start"], span["doc"]))]
-        joined = np.r_[True, (span["doc"][1:] != span["doc"][:-1]) | (span["start"][1:] != span["start"][:-1] + 1)] if len(span) else np.zeros(0, bool)
-        runs = np.flatnonzero(joined)
-        span = np.rec.fromarrays([span["doc"][runs], span["start"][runs], np.diff(np.r_[runs, len(span)]).astype(np.int32)], dtype=_SPAN)
+            text = body[np.repeat(start[mine] - offsets[:-1], n) + np.arange(n.sum())]
+            place = _places(h, offsets)
+            at, best = RunLengthIndex(text, offsets).earliest(LENGTH, place)
+            again = at[(at if place is None else place[at]) != best]
+            k = np.searchsorted(offsets, again, side="right") - 1
+            spans.append(np.stack([mine[k], h["start"][k] + (again - offsets[k])]))
+        marked = np.concatenate([marked, *spans], axis=1)
+        marked = marked[:, np.argsort(marked[0], kind="stable")]
+        # A copy's windows stand at its string too, which is earlier, so none of them is the earliest;
+        # but a copy at the string's own position (in another row of the id) has the string's marks.
+        by_head, copy = _copies_of(head, copies)
+        tied = (head["doc"][by_head] == copies["doc"][copy]) & (head["start"][by_head] == copies["start"][copy])
+        lo, hi = (np.searchsorted(marked[0], by_head[tied], side=x) for x in ("left", "right"))
+        at = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange((hi - lo).sum())
+        own = np.concatenate([head[["doc", "tx"]][marked[0]], copies[["doc", "tx"]][np.repeat(copy[tied], hi - lo)]])
+        where = np.concatenate([marked[1], marked[1][at]])
+        spans = [np.rec.fromarrays([own["doc"], own["tx"], where.astype(np.uint32), np.ones(len(own), np.uint32)], dtype=_SPAN), _spans(copies[copy[~tied]])]
+        span, _ = _groups(np.concatenate(spans))
+        touch = (span["doc"][1:] == span["doc"][:-1]) & (span["tx"][1:] == span["tx"][:-1]) & (span["start"][1:] == span["start"][:-1] + span["windows"][:-1])
+        runs = np.flatnonzero(np.r_[True, ~touch]) if len(span) else np.zeros(0, np.int64)
+        n = np.add.reduceat(span["windows"].astype(np.int64), runs) if len(runs) else runs
+        span = np.rec.fromarrays([span["doc"][runs], span["tx"][runs], span["start"][runs], n.astype(np.uint32)], dtype=_SPAN)
         return _kinds([(k, 0, x) for k, x in pack(span["doc"] % buckets, span)])
 
-    held = only(slim, asks.select("doc")).join(asks.withColumnRenamed("doc", "doc_id"), "doc_id").select("text", "asks")
-    found = by_bucket(held.mapInArrow(contents, "bucket int, blob binary, body binary"), resolve, "bucket int, kind int, blob binary")
+    held = only(slim, asks.select("doc").distinct()).join(asks.withColumnRenamed("doc", "doc_id"), ["doc_id", "tx"]).select("text", "asks")
+    strings = held.mapInArrow(contents, "bucket int, blob binary, body binary")
+    others = met.where("kind = 2").select("bucket", "blob")
+    found = strings.groupBy("bucket").cogroup(others.groupBy("bucket")).applyInArrow(resolve, "bucket int, kind int, blob binary")
 
     def merge(table: pa.Table) -> pa.Table:
-        s = unpack(table, _SPAN)
-        s = s[np.argsort(s["doc"], kind="stable")]
-        new = np.flatnonzero(np.r_[True, s["doc"][1:] != s["doc"][:-1], True]) if len(s) else np.zeros(1, np.int64)
-        spans = [_merged(s["start"][a:b], s["start"][a:b] + s["windows"][a:b] + LENGTH - 1).tobytes() for a, b in zip(new[:-1], new[1:])]
-        return pa.table({"doc": pa.array(s["doc"][new[:-1]].copy()), "spans": pa.array(spans, pa.binary())})
+        s, new = _groups(unpack(table, _SPAN))
+        start = s["start"].astype(np.int64)
+        spans = [_merged(start[a:b], start[a:b] + s["windows"][a:b] + LENGTH - 1).tobytes() for a, b in zip(new[:-1], new[1:])]
+        return pa.table({"doc": pa.array(s["doc"][new[:-1]].copy()), "tx": pa.array(s["tx"][new[:-1]].copy()), "spans": pa.array(spans, pa.binary())})
 
     marks = met.where("kind = 0").select("bucket", "blob").unionByName(found.select("bucket", "blob"))
-    out = store.write(by_bucket(marks, merge, "doc long, spans binary"))
+    out = store.write(by_bucket(marks, merge, "doc long, tx long, spans binary"))
     store.drop(met, asks)
     return out
 
@@ -295,11 +323,12 @@ def _kept(raw: np.ndarray, spans: bytes) -> bytes:
 def suffix_dedup(documents: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes of those that lose any)
     and ``kept_sha256``."""
-    spans = removed_spans(documents)
-    raw = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    spans, text = removed_spans(documents), F.col("text").cast("string")
+    raw = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(text).alias("tx"))
     raw = raw.withColumn("n_bytes", F.octet_length("text").cast("long"))
-    ids = spans.select("doc")
-    whole = without(raw, ids).select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lit(None).cast("binary").alias("kept"), F.sha2("text", 256).alias("kept_sha256"))
+    side = sized(spans.withColumnRenamed("doc", "doc_id").select("doc_id", "tx"), spans.count())
+    none = F.lit(0).cast("long")
+    whole = raw.join(side, ["doc_id", "tx"], "left_anti").select("doc_id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.lit(None).cast("binary").alias("kept"), F.sha2("text", 256).alias("kept_sha256"))
 
     def strip(batches):
         for b in batches:
@@ -313,7 +342,7 @@ def suffix_dedup(documents: DataFrame) -> DataFrame:
                 sha.append(hashlib.sha256(left).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    part = only(raw, ids).join(spans, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "n_bytes", "spans")
+    part = raw.join(side, ["doc_id", "tx"], "left_semi").join(spans.withColumnRenamed("doc", "doc_id"), ["doc_id", "tx"]).select("doc_id", "text", "n_bytes", "spans")
     part = part.mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     return whole.unionByName(part)
 

@@ -94,7 +94,7 @@ def test_lines(docs):
 
 def test_hot_words_are_split(docs):
     df, rows = docs
-    found, _ = linededup.decisions(df, hot=1)
+    found = linededup.decisions(df, hot=1)
     gone, _ = brute_lines([(r[0], r[1]) for r in rows])
     assert {r.doc_id: set(r.gone) for r in found.collect() if r.gone} == {i: g for i, g in gone.items() if g}
 
@@ -124,9 +124,9 @@ def test_long_document_in_pieces(monkeypatch):
     monkeypatch.setattr(suffixdedup, "_PIECE", 500)
     covered = []
     for _, _, buf, offs, base in suffixdedup._pieces(pa.array([text])):
-        _, _, _, start, n = suffixdedup.segments(buf, offs)
+        *_, start, n = suffixdedup.segments(buf, offs)
         covered += [(s + base, s + base + k) for s, k in zip(start, n)]
-    assert sum(b - a for a, b in covered) == whole[4].sum() == len(text) - 99
+    assert sum(b - a for a, b in covered) == whole[5].sum() == len(text) - 99
     assert sorted(covered)[0][0] == 0 and all(x[1] == y[0] for x, y in zip(sorted(covered), sorted(covered)[1:]))
 
 
@@ -147,6 +147,29 @@ def test_index():
             assert index.count(p) == sum(s[i : i + len(p)] == p for s in strings for i in range(len(s)))
 
 
+def test_index_memory_follows_runs():
+    """Copies of one text add runs only where they differ, and the index holds nothing but runs."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(97, 123, 2000, dtype=np.uint8)
+    sizes = []
+    for copies in (4, 64):
+        text = np.tile(base, copies)
+        text[rng.integers(0, len(text), 20)] = 45
+        index = rindex.RunLengthIndex(text, np.arange(copies + 1) * 2000)
+        assert index.nbytes() < 60 * len(index.run_start) + 4096
+        sizes.append(index.nbytes())
+        seen, want = set(), []
+        for at in range(len(text)):
+            w = text[at : (at // 2000 + 1) * 2000][:50].tobytes()
+            if len(w) == 50 and w in seen:
+                want.append(at)
+            seen.add(w)
+        assert index.repeats(50).tolist() == want
+        whole = np.concatenate(list(index.matching_statistics(block=777)))
+        assert np.array_equal(whole, np.concatenate(list(index.matching_statistics()))) and len(whole) == len(text)
+    assert sizes[1] < 2 * sizes[0]
+
+
 def test_decontamination(spark, docs):
     df, rows = docs
     rng = random.Random(5)
@@ -189,7 +212,7 @@ def test_links_in_blocks(spark):
     rng = random.Random(6)
     sets = {k: sorted({rng.randrange(30) for _ in range(14)}) for k in range(40)}
     rows = [(k, np.array(v, dtype=np.uint64).tobytes(), k, 0) for k, v in sets.items()]
-    members = spark.createDataFrame([(k, bytearray(b), d, n) for k, b, d, n in rows], "node long, elements binary, doc long, line int")
+    members = spark.createDataFrame([(k, bytearray(b), d, 0, n) for k, b, d, n in rows], "node long, elements binary, doc long, tx long, line int")
     labels = spark.createDataFrame([(k, 0) for k in sets], "node long, comp long")
     want = {k: [z for z in sets if z != k and 9 * len(set(sets[k]) & set(sets[z])) >= 4 * (len(sets[k]) + len(sets[z]))] for k in sets}
     for block in (3, 512):

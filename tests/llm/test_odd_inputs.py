@@ -129,7 +129,7 @@ def test_decontamination_in_passes(spark, odd_docs, bench):
         return sorted(map(repr, decontaminate.digest(decontaminate.contamination(df, bench, **kw)).collect()))
 
     whole = judged()
-    assert len(decontaminate._pieces_of(bench, 10, 1)) == 2 and len(whole) == len(rows) + len(more)
+    assert len(list(decontaminate._pieces(bench, 10, 1))) > 1 and len(whole) == len(rows) + len(more)
     assert judged(max_windows=1) == whole
     assert sorted(r.n_hit for r in decontaminate.digest(decontaminate.contamination(df, bench, max_windows=1)).where("contaminated").collect()) == [3, 3, 7, 10, 10]
 
@@ -163,3 +163,29 @@ def test_near_duplicates_without_id(spark):
     rows = [(1, near(16)), (None, near(0)), (2, begun), (3, "quite another text with words of its own")]  # 1 and 2 meet only through the null row
     out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.class_id, r.n_links) for r in out) == [("1", 1, 1), ("2", 1, 1), ("3", 3, 0), ("None", 1, 2)]
+
+
+def test_hashes_do_not_collide(spark):
+    """Texts that differ in every byte, and words that agree in 44 bits of a weak hash, stay apart."""
+    flip = [0]
+    while len(flip) < 1024:
+        flip += [1 - x for x in flip]
+    one, other = "".join("ab"[x] for x in flip), "".join("ba"[x] for x in flip)
+    rows = [(1, one), (2, other), (3, "yafgatev"), (4, "jumsskxj"), (5, one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.class_id, r.n_removed) for r in linededup.line_report(df).collect()} == {1: (1, 0), 2: (2, 0), 3: (3, 0), 4: (4, 0), 5: (1, 1)}
+    assert {r.doc_id for r in linededup.dedup_lines(df).collect()} == {1, 2, 3, 4}
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(12)
+    x, y, z = ("".join(rng.choices("abcdefghij", k=300)) for _ in range(3))
+    rows = [(1, x), (5, x + y), (5, z + y + "tail")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffixdedup.suffix_dedup(df).collect())
+    assert out == [(1, 300, 0), (5, 600, 300), (5, 604, 0)]  # y stands at one place of id 5
+    a, b, c = ("\n".join(f"{k} line {n} has words of its own {k}{n}" for n in range(3)) for k in "abc")
+    df = spark.createDataFrame([(1, a), (5, a + "\n" + b), (5, c)], "doc_id long, text string")
+    assert sorted(r.text for r in linededup.dedup_lines(df).collect()) == sorted([a, b, c])
+    assert sorted((r.doc_id, r.n_lines, r.n_removed) for r in linededup.line_report(df).collect()) == [(1, 3, 0), (5, 3, 0), (5, 6, 3)]

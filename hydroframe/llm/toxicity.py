@@ -1,23 +1,32 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols (insult, threat, target, negation, report, other) and run through a composed
-transducer: one rewrites insults and threats under a negation, one those after a verb of report,
-one insults at a target.  What counts is the output of matched *clauses*, not single words: each
-output symbol has a weight, and a document's score is the logistic of the weighted counts.
-
-The insult lexicon and the weights are learned from a bounded sample of labelled documents
-(``SAMPLE`` of each label, by hash order).  Insult stems are words or word beginnings that occur
-in toxic documents more often than chance allows (a Chernoff bound, corrected for the number of
-candidates).  Weak stems also stand in clean documents by chance, but only toxic ones repeat them; they
-are kept if they explain toxic documents without other insults, and count from their second match on,
-later in long texts.  Threats, targets, negations and verbs of report are fixed lists.
+Transducers in four layers, each reading what the one below it writes:
+
+* Letters to symbols: a trie of insult stems, threat words, targets, negations and verbs of report
+  names each word's symbol (``Lexical``).
+* Words of a clause: the negation transducer rewrites insults and threats close behind a negation, the
+  insult transducer those next to a target, the threat transducer a target that a threat is aimed at,
+  and the report transducer whatever follows a verb of report.  They are composed to one (``compose``).
+* Matched clauses of a document: weak insults (stems that clean words also begin with) count only if
+  another match stands within ``SPAN`` characters; a longer gap forgets the match before it.
+* Weights: each output symbol has one, and a document's score is the logistic of the weighted counts.
+
+The insult stems and the weights are learned from a bounded sample of labelled documents
+(``SAMPLE`` of each label, by hash order, and of a longer text a window of ``SAMPLE_CHARS``).  Insult
+stems are words or word beginnings that occur in toxic documents more often than chance allows (a
+Chernoff bound, corrected for the number of candidates); weak stems do so only where they repeat
+within ``SPAN``, and are kept if they explain toxic documents without other insults.  Weights are
+fitted by ridge regression towards ``PRIOR``, so a pattern that the sample does not show keeps its
+prior weight.  The other words are parameters (``Lexicon``), which can be read from a table.
 
 Scale: scoring is one pass on Arrow batches without a shuffle; an automaton finds the stems at
 once, and only clauses with a hit are tokenised.  The lexicon and weights are some kB.
 
-Defined cases: null and empty texts get the score of a text without hits; documents labelled
-twice count by the higher label; null labels are not used; without toxic labels all scores are the
-base rate; extra columns are ignored.
+Defined cases: null and empty texts, and texts without a match, get the score of the bias alone;
+documents labelled twice count by the higher label; of rows that repeat an id the smallest text is
+learned from; ties of the sample order go to the smaller id; null labels are not used; without toxic
+or without clean labels nothing is learned and all scores are the base rate; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,21 +45,91 @@ from pyspark.sql import DataFrame, functions as F
 
 from .store import text_batches
 
-SAMPLE = 2000
+SAMPLE, SAMPLE_CHARS = 2000, 1 << 14
+#: Characters between two matched clauses beyond which they do not support each other.
+SPAN = 1000
 #: Fixed word lists of the grammar.
-THREATS = frozenset("attack beat burn destroy erschlagen frapper golpear hurt kill matar murder schlagen shoot stab strangle tuer töten".split())
-TARGETS = frozenset("du er ella elle es he her him ihr il it she sie that them they this tu tú usted ustedes vos vous you your".split())
-NEGATIONS = frozenset("aint jamais kein keine never nicht nie no not nunca pas sans sin without".split())
-REPORTS = frozenset("called claimed disait dice dijo quoted sagt sagte said says écrit wrote".split())
+THREATS = frozenset("""attack beat burn choke crush destroy hang hunt hurt kill murder poison punish shoot slap smash stab strangle torture
+    erschieße erschießen erschlagen hängen quälen schlage schlagen töte töten umbringen verbrennen verprügeln vergiften
+    brûler détruire étrangler frapper pendre poignarder torturer tuer
+    ahorcar atacar destruir estrangular golpear matar matarte quemar""".split())
+TARGETS = frozenset("du dich er ella elle elles euch he her him ihn ihr il ils it nous she sie te that them they this toi tu tú usted ustedes vos vous you your yourself".split())
+NEGATIONS = frozenset("ain aint aren aucun cannot didn doesn don isn jamais jamás kein keine keinen never nicht nie niemals no not nunca pas sans sin tampoco wasn weder without won".split())
+REPORTS = frozenset("""alleged called claimed claims dice dijo disait quoted reported reports said says shouted wrote yelled
+    behauptet behauptete rief sagt sagte schrieb affirme cria écrit affirma escribió gritó""".split())
 SYMBOLS = "IWTGNRO"
-#: Outputs: plain, targeted, negated and reported insults; weak ones; plain, negated and reported threats.
-OUTPUTS = ("I", "J", "i", "q", "W", "T", "t", "p")
-#: Bytes of text that excuse one weak match more.
-WEAK_SPAN = 4000
+#: Outputs: plain, targeted, negated and reported insults; weak ones; plain, aimed, negated and reported threats.
+OUTPUTS = ("I", "J", "i", "q", "W", "T", "U", "t", "p")
+#: Weights before any label is seen.
+PRIOR = {"I": 2.0, "J": 0.5, "W": 1.0, "T": 0.5, "U": 3.0}
 _WORD = re.compile(r"[^\W\d_]+")
 _BREAK = re.compile(r"[.!?;\n]")
 
 
+@dataclass(frozen=True)
+class Lexicon:
+    """The words of the grammar that are not learned."""
+
+    threats: frozenset[str] = THREATS
+    targets: frozenset[str] = TARGETS
+    negations: frozenset[str] = NEGATIONS
+    reports: frozenset[str] = REPORTS
+
+    @staticmethod
+    def read(table: DataFrame, most: int = 100_000) -> Lexicon:
+        """From ``word, kind`` (threat, target, negation or report), at most ``most`` rows."""
+        rows = table.where(F.col("word").isNotNull()).select(F.lower("word").alias("word"), "kind").distinct().limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"a lexicon has at most {most} words")
+        return Lexicon(*(frozenset(r["word"] for r in rows if r["kind"] == k) for k in ("threat", "target", "negation", "report")))
+
+
+class Lexical:
+    """A letter transducer: reads a word's letters and writes its symbol at the end.
+
+    ``words`` are matched whole; ``stems`` also as beginnings of words (a stem that ends in a blank is
+    matched whole).  A stem goes before a word, and the stem named first before the others.
+    """
+
+    def __init__(self, words: list[tuple[frozenset, str]], stems: list[tuple[frozenset, str]]):
+        self.next: list[dict[str, int]] = [{}]
+        self.ends: list[dict[str, int]] = [{}]  # symbol at the word's end, by rank
+        self.begun: list[dict[str, int]] = [{}]  # symbol from here on
+        self.known: dict[str, str] = {}
+        for rank, (entries, symbol) in enumerate(stems):
+            for x in entries:
+                (self.ends if x.endswith(" ") else self.begun)[self._node(x.rstrip(" "))].setdefault(symbol, rank)
+        for rank, (entries, symbol) in enumerate(words, len(stems)):
+            for x in entries:
+                self.ends[self._node(x)].setdefault(symbol, rank)
+
+    def _node(self, letters: str) -> int:
+        at = 0
+        for c in letters:
+            if c not in self.next[at]:
+                self.next[at][c] = len(self.next)
+                for table in (self.next, self.ends, self.begun):
+                    table.append({})
+            at = self.next[at][c]
+        return at
+
+    def read(self, word: str) -> str:
+        if word in self.known:
+            return self.known[word]
+        at, found = 0, {}
+        for c in word:
+            at = self.next[at].get(c, -1)
+            if at < 0:
+                break
+            found |= self.begun[at]
+        if at >= 0:
+            found |= self.ends[at]
+        if len(self.known) >= 1 << 16:
+            self.known.clear()
+        self.known[word] = min(found, key=found.get) if found else "O"
+        return self.known[word]
+
+
 @dataclass
 class Transducer:
     """Deterministic letter-to-letter transducer: (state, symbol) to (state, output)."""
@@ -94,11 +173,33 @@ def latched(opener: str, rewrite: dict[str, str], alphabet: str) -> Transducer:
     return Transducer({(state, s): (1, s) if s == opener else (state, rewrite.get(s, s) if state else s) for state in (0, 1) for s in alphabet})
 
 
+def aimed(opener: str, reach: int, closer: str, output: str, alphabet: str) -> Transducer:
+    """Writes ``output`` for a closer that stands at most ``reach`` words behind an opener."""
+    arcs = {}
+    for state in range(reach + 1):
+        for s in alphabet:
+            hit = s == closer and state
+            arcs[state, s] = (reach if s == opener else 0 if hit else max(state - 1, 0), output if hit else s)
+    return Transducer(arcs)
+
+
 def clause_grammar() -> Transducer:
+    """Negation, insult, threat and report transducers, composed."""
     negation = windowed("N", 2, {"I": "i", "W": "O", "T": "t"}, SYMBOLS)
-    report = latched("R", {"I": "q", "W": "O", "T": "p"}, SYMBOLS + "it")
-    target = windowed("G", 3, {"I": "J"}, SYMBOLS + "itqp")
-    return compose(compose(negation, report, SYMBOLS), target, SYMBOLS)
+    insult = compose(windowed("G", 3, {"I": "J"}, SYMBOLS + "it"), aimed("I", 2, "G", "J", SYMBOLS + "itJ"), SYMBOLS + "it")
+    threat = aimed("T", 3, "G", "U", SYMBOLS + "itJ")
+    report = latched("R", {"I": "q", "J": "q", "W": "O", "T": "p", "U": "p"}, SYMBOLS + "itJU")
+    return compose(compose(compose(negation, insult, SYMBOLS), threat, SYMBOLS), report, SYMBOLS)
+
+
+def document_grammar() -> Transducer:
+    """Matches of a document in order, "|" for a gap: weak ones pass only behind another match."""
+    arcs = {}
+    for state in (0, 1):
+        for s in OUTPUTS:
+            arcs[state, s] = (1 if s in "IJTUW" else state, "O" if s == "W" and not state else s)
+        arcs[state, "|"] = (0, "|")
+    return Transducer(arcs)
 
 
 @dataclass
@@ -107,56 +208,55 @@ class Grammar:
     weak: frozenset[str] = frozenset()
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -3.0
+    lexicon: Lexicon = Lexicon()
 
     def matcher(self):
         found = ahocorasick.Automaton()
-        for s in self.stems | self.weak | THREATS:
+        for s in self.stems | self.weak | self.lexicon.threats:
             found.add_word(s.strip(), len(s.strip()))
         if len(found):
             found.make_automaton()
-        return Matcher(self, found, clause_grammar(), sorted({len(s) for s in self.stems | self.weak}))
+        x = self.lexicon
+        words = [(x.threats, "T"), (x.negations, "N"), (x.reports, "R"), (x.targets, "G")]
+        return Matcher(self, found, Lexical(words, [(self.stems, "I"), (self.weak, "W")]), clause_grammar(), document_grammar())
 
 
 @dataclass
 class Matcher:
     grammar: Grammar
     automaton: ahocorasick.Automaton
-    fst: Transducer
-    lengths: list[int]
-
-    def symbol(self, word: str) -> str:
-        starts = [(word + " ")[:n] for n in self.lengths if n <= len(word) + 1]
-        if any(s in self.grammar.stems for s in starts):
-            return "I"
-        if any(s in self.grammar.weak for s in starts):
-            return "W"
-        return "T" if word in THREATS else "N" if word in NEGATIONS else "R" if word in REPORTS else "G" if word in TARGETS else "O"
+    lexical: Lexical
+    clause: Transducer
+    document: Transducer
 
     def outputs(self, text: str | None) -> Counter:
         """Output symbols of the matched clauses."""
-        out: Counter = Counter()
         if not text or not len(self.automaton):
-            return out
+            return Counter()
         low = text.lower()
         hits = [end - n + 1 for end, n in self.automaton.iter(low)]
         hits = [h for h in hits if h == 0 or not low[h - 1].isalpha()]
         if not hits:
-            return out
+            return Counter()
         breaks = [m.start() for m in _BREAK.finditer(low)]
-        done = -1
+        events: list[str] = []
+        done, last = -1, None
         for h in sorted(hits):
             k = bisect.bisect_left(breaks, h)
             if k == done:
                 continue
             done = k
-            clause = low[breaks[k - 1] + 1 if k else 0 : breaks[k] if k < len(breaks) else len(low)]
-            out.update(s for s in self.fst.run(map(self.symbol, _WORD.findall(clause))) if s in OUTPUTS)
-        if "W" in out:
-            out["W"] = max(0, out["W"] - 1 - len(text) // WEAK_SPAN)
-        return +out
+            start, end = breaks[k - 1] + 1 if k else 0, breaks[k] if k < len(breaks) else len(low)
+            out = [s for s in self.clause.run(map(self.lexical.read, _WORD.findall(low[start:end]))) if s in OUTPUTS]
+            if out:
+                if last is not None and start - last > SPAN:
+                    events.append("|")
+                events += out
+                last = end
+        return Counter(s for s in self.document.run(events) if s in OUTPUTS)
 
     def score(self, text: str | None) -> float:
-        z = self.grammar.bias + sum(self.grammar.weights.get(s, 0.0) * strength(n) for s, n in self.outputs(text).items())
+        z = self.grammar.bias + sum(self.grammar.weights.get(s, 0.0) * x for s, x in features(self.outputs(text)).items())
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -165,14 +265,33 @@ def strength(n: int) -> float:
     return 1 + math.log(n) if n else 0.0
 
 
+def features(counts: Counter) -> dict[str, float]:
+    """Strengths of the outputs; a targeted insult counts as a plain one and has a weight on top."""
+    return {s: strength(counts[s] + (counts["J"] if s == "I" else 0)) for s in OUTPUTS}
+
+
 def _beginnings(word: str):
     """Prefixes of three letters and more; the last one ends in a blank and is the whole word."""
     return ((word + " ")[:n] for n in range(3, len(word) + 2))
 
 
-def learn_stems(toxic: list[list[str]], clean: list[list[str]], precision: float = 0.97, level: float = 0.01, least: int = 1) -> frozenset[str]:
-    """Word beginnings that chance does not put into toxic documents (given as lists of words),
-    ``least`` times or more.
+def _near_twice(words: list[str], among) -> set[str]:
+    """Beginnings that stand twice within SPAN characters."""
+    last: dict[str, int] = {}
+    found, at = set(), 0
+    for w in words:
+        for p in _beginnings(w):
+            if among is None or p in among:
+                if at - last.get(p, -SPAN - 1) <= SPAN:
+                    found.add(p)
+                last[p] = at
+        at += len(w) + 1
+    return found
+
+
+def learn_stems(toxic: list[list[str]], clean: list[list[str]], precision: float = 0.97, level: float = 0.01, twice: bool = False) -> frozenset[str]:
+    """Word beginnings that chance does not put into toxic documents (given as lists of words), or
+    with ``twice`` does not put there twice within SPAN characters.
 
     Copies of one toxic document would make any of its rare words look telling, so the support of
     a beginning is the number of its distinct neighbours (word before, word after) if that is less
@@ -182,12 +301,7 @@ def learn_stems(toxic: list[list[str]], clean: list[list[str]], precision: float
     def documents(docs, among=None) -> Counter:
         found: Counter = Counter()
         for words in docs:
-            if least == 1:
-                found.update({p for w in set(words) for p in _beginnings(w) if among is None or p in among})
-            else:
-                here = Counter(p for w in words for p in _beginnings(w) if among is None or p in among)
-                spare = sum(len(w) + 1 for w in words) // WEAK_SPAN
-                found.update(p for p, n in here.items() if n >= least + spare)
+            found.update(_near_twice(words, among) if twice else {p for w in set(words) for p in _beginnings(w) if among is None or p in among})
         return found
 
     base = len(toxic) / max(1, len(toxic) + len(clean))
@@ -221,13 +335,14 @@ def learn_stems(toxic: list[list[str]], clean: list[list[str]], precision: float
 
 
 def fit_weights(counts: list[Counter], labels: np.ndarray, rounds: int = 400, ridge: float = 0.0005) -> tuple[dict[str, float], float]:
-    """Ridge logistic regression of the label on the strengths of the output counts."""
-    x = np.array([[strength(c[s]) for s in OUTPUTS] + [1.0] for c in counts])
-    w = np.zeros(x.shape[1])
+    """Ridge logistic regression of the label on the strengths of the output counts, towards PRIOR."""
+    x = np.array([[*features(c).values(), 1.0] for c in counts])
+    prior = np.array([*(PRIOR.get(s, 0.0) for s in OUTPUTS), 0.0])
+    w = prior.copy()
     penalty = np.diag([ridge] * len(OUTPUTS) + [1e-6])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - labels) / len(x) + penalty @ w
+        grad = x.T @ (p - labels) / len(x) + penalty @ (w - prior)
         h = (x * (p * (1 - p))[:, None]).T @ x / len(x) + penalty + 1e-9 * np.eye(len(w))
         step = np.linalg.solve(h, grad)
         w -= step
@@ -236,33 +351,37 @@ def fit_weights(counts: list[Counter], labels: np.ndarray, rounds: int = 400, ri
     return dict(zip(OUTPUTS, w[:-1].tolist())), float(w[-1])
 
 
-def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
+def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: Lexicon | None = None) -> Grammar:
     """A grammar from the ``doc_id, text`` of labelled documents (``doc_id, toxic``)."""
+    lexicon = lexicon or Lexicon()
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    over = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
+    window = F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id"), over + 1) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    slim = documents.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").select("doc_id", window.alias("text"))
     texts, y = [], []
     for label in (1, 0):
         picked = marks.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id")
-        rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.col("text").isNotNull()).select("text").toArrow()
+        rows = slim.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select("text").toArrow()
         got = sorted(rows["text"].to_pylist())
         texts += got
         y += [label] * len(got)
     if not any(y) or all(y):
-        return Grammar()
+        return Grammar(lexicon=lexicon)
     pool: dict[str, str] = {}  # one object for each word, whose occurrences are many
     lists = [[pool.setdefault(w, w) for w in _WORD.findall(t.lower())] for t in texts]
     toxic, clean = ([s for s, v in zip(lists, y) if v == label] for label in (1, 0))
     strong = learn_stems(toxic, clean)
     left = [words for words in toxic if not any(p in strong for w in set(words) for p in _beginnings(w))]
-    often = learn_stems(toxic, clean, precision=0.9, least=2) if left else frozenset()
-    needed = Counter(p for words in left for p in {p for w in set(words) for p in _beginnings(w) if p in often})
+    often = learn_stems(toxic, clean, precision=0.9, twice=True) if left else frozenset()
+    needed = Counter(p for words in left for p in _near_twice(words, often))
     often = frozenset(p for p in often if needed[p] >= 3)
     # A weak stem takes the place of strong ones that are parts of it.
     weak = frozenset(w for w in often if not any(w.startswith(s) for s in strong))
     stems = frozenset(s for s in strong if not any(s.startswith(w) for w in weak))
     del lists, pool, toxic, clean
-    matcher = Grammar(stems, weak).matcher()
+    matcher = Grammar(stems, weak, lexicon=lexicon).matcher()
     weights, bias = fit_weights([matcher.outputs(t) for t in texts], np.array(y, dtype=float))
-    return Grammar(stems, weak, weights, bias)
+    return Grammar(stems, weak, weights, bias, lexicon)
 
 
 def score(documents: DataFrame, grammar: Grammar, name: str = "score") -> DataFrame:

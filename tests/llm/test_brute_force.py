@@ -263,14 +263,70 @@ def test_toxicity_held_out(spark):
     assert sum(right) / len(right) > 0.97 and sum(found) / len(found) > 0.85
 
 
+def plain_outputs(text, stems, weak, x):
+    """What the grammar's layers write, by rules on lists of words."""
+    events, last, at = [], None, 0
+    for clause in re.split(r"[.!?;\n]", text.lower()):
+        sym = []
+        for w in re.findall(r"[^\W\d_]+", clause):
+            begins = lambda s, w=w: w == s.strip() if s.endswith(" ") else w.startswith(s)
+            kinds = [("I", any(map(begins, stems))), ("W", any(map(begins, weak))), ("T", w in x.threats), ("N", w in x.negations), ("R", w in x.reports), ("G", w in x.targets)]
+            sym.append(next((k for k, yes in kinds if yes), "O"))
+        neg = [{"I": "i", "W": "O", "T": "t"}.get(s, s) if "N" in sym[max(0, i - 2) : i] else s for i, s in enumerate(sym)]
+        one = ["J" if s == "I" and "G" in neg[max(0, i - 3) : i] else s for i, s in enumerate(neg)]
+        two, three, free = list(one), [], None
+        for opener, reach, name in (("I", 2, "J"), ("T", 3, "U")):
+            free = None
+            for i, s in enumerate(list(two)):
+                if s == "G" and free is not None and i - free <= reach:
+                    two[i], free = name, None
+                elif s == opener:
+                    free = i
+        for i, s in enumerate(two):
+            three.append({"I": "q", "J": "q", "W": "O", "T": "p", "U": "p"}.get(s, s) if "R" in sym[:i] else s)
+        out = [s for s in three if s in toxicity.OUTPUTS]
+        if out:
+            events += ["|"] * (last is not None and at - last > toxicity.SPAN) + out
+            last = at + len(clause)
+        at += len(clause) + 1
+    seen, kept = False, []
+    for s in events:
+        if s == "W" and not seen:
+            s, seen = "O", True
+        seen = s != "|" and (seen or s in "IJTUW")
+        kept.append(s)
+    return collections.Counter(s for s in kept if s in toxicity.OUTPUTS)
+
+
+def test_grammar_against_plain_rules():
+    rng = random.Random(21)
+    stems, weak, x = frozenset({"idio", "scum "}), frozenset({"dunc"}), toxicity.Lexicon()
+    grammar = toxicity.Grammar(stems, weak, {s: rng.uniform(-1, 3) for s in toxicity.OUTPUTS}, -2.0)
+    matcher = grammar.matcher()
+    pool = ["idiot", "idiots", "scum", "scummy", "dunce", "dunces", "kill", "hurt", "töten", "you", "them", "her", "not", "never", "said", "wrote", "house", "tree", "Blue", "l'idiot", "x9", "idioidio"]
+    several = 0
+    for _ in range(400):
+        parts = [rng.choice(pool) + rng.choice([" ", " ", " ", " ", ", ", ". ", "\n", "! "]) for _ in range(rng.randrange(1, 40))]
+        for _ in range(rng.randrange(3)):
+            parts.insert(rng.randrange(len(parts) + 1), "filler words " * rng.choice([3, 120]))
+        text = "".join(parts)
+        want = plain_outputs(text, stems, weak, x)
+        assert matcher.outputs(text) == want, text
+        z = grammar.bias + sum(grammar.weights[s] * toxicity.strength(want[s] + (want["J"] if s == "I" else 0)) for s in toxicity.OUTPUTS)
+        assert abs(matcher.score(text) - 1 / (1 + np.exp(-z))) < 1e-12
+        several += len(want) > 2
+    assert several > 50
+
+
 def test_transducers_compose():
     fst = toxicity.clause_grammar()
     run = lambda s: "".join(fst.run(s))
     assert run("OIO") == "OIO" and run("NI") == "Ni" and run("NOI") == "NOi" and run("NOOI") == "NOOI"
     assert run("ROI") == "ROq" and run("GOI") == "GOJ" and run("GNI") == "GNi" and run("NT") == "Nt" and run("RT") == "Rp"
-    assert run("WNWRW") == "WNORO"
+    assert run("WNWRW") == "WNORO" and run("TOG") == "TOU" and run("NTG") == "NtG" and run("RTG") == "Rpp" and run("IG") == "IJ"
     weak = toxicity.Grammar(frozenset(), frozenset({"dunce"}), {"W": 9.0}, -3.0).matcher()
-    assert weak.score("a dunce") < 0.1 and weak.score("a dunce. Two dunces") > 0.9 and weak.score("a dunce. Two dunces" + " x" * 3000) < 0.1
+    assert weak.score("a dunce") < 0.1 and weak.score("a dunce. Two dunces") > 0.9
+    assert weak.score("a dunce. " + "x " * 3000 + ". Two dunces") < 0.1 and weak.score("a dunce. Two dunces" + " x" * 30000) > 0.9
     g = toxicity.Grammar(frozenset({"idiot"}), frozenset(), {"I": 5.0}, -3.0).matcher()
     assert g.score("You fool. An IDIOT here") > 0.8 and g.score("not an idiot") < 0.1 and g.score("xidiot") < 0.1
 

@@ -86,6 +86,12 @@ def test_toxicity(spark, odd_docs, no_docs):
     out = toxicity.score(df, toxicity.learn(df, labels), "__s")
     assert out.count() == len(rows) and all(0 <= r["__s"] <= 1 for r in rows_of(out))
     assert toxicity.learn(no_docs, labels.limit(0)) == toxicity.Grammar()
+    grammar = toxicity.Grammar(frozenset({"idiot"}), frozenset(), {"I": 5.0}, -3.0)
+    assert toxicity.score(no_docs, grammar).count() == 0
+    by = {r["doc_id"]: r["score"] for r in rows_of(toxicity.score(df.drop("score"), grammar))}
+    assert by[1] == by[2] == by[3] and by[1] < 0.06
+    words = spark.createDataFrame([("Maul", "threat"), ("dir", "target"), (None, "threat"), ("kaum", "negation")], "word string, kind string")
+    assert toxicity.Lexicon.read(words) == toxicity.Lexicon(frozenset({"maul"}), frozenset({"dir"}), frozenset({"kaum"}), frozenset())
 
 
 def test_neighbours(spark):

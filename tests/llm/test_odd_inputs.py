@@ -114,6 +114,22 @@ def test_urls(spark):
     assert urlfilter.judge(df.limit(0)).count() == 0
 
 
+def test_url_vocabulary(spark):
+    long = "http://a.com/" + "x" * 200_000 + "/casino"
+    urls = ["http://a.com/viagra", "http://a.com/viagra/viagra", "http://a.com/viagra?bonus", "http://a.com/poker", long, long, "http://a.com/Übung/casino/ö"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert [r["verdict"] for r in sorted(rows_of(urlfilter.judge(df)), key=lambda r: r["page_id"])] == ["allow", "allow", "block", "allow", "block", "block", "block"]
+    table = spark.createDataFrame([("Alpha", None), ("beta", 5), ("gamma", 1), ("gamma", None), (None, 3), ("delta", 1), ("eps", 1)], "term string, weight int")
+    own = urlfilter.Vocabulary.read(table)
+    assert own.strict == ("alpha", "gamma") and own.soft == {"beta": 5, "delta": 1, "eps": 1}
+    got = urlfilter.judge(spark.createDataFrame([(1, "http://x/gamma"), (2, "http://x/beta"), (3, "http://x/delta-eps"), (4, "http://x/casino")], "page_id long, url string"), vocabulary=own)
+    assert {r["page_id"]: r["verdict"] for r in rows_of(got)} == {1: "block", 2: "allow", 3: "block", 4: "allow"}
+    # Of rules of equal length the one with the longer host decides, then a blocking one.
+    rules = [("net", "/abcdefgh", "block"), ("example.net", "/", "allow"), ("x.org", "/", "allow"), ("x.org", "/", "block")]
+    got = urlfilter.judge(spark.createDataFrame([(1, "http://example.net/abcdefgh"), (2, "http://x.org/")], "page_id long, url string"), rules, urlfilter.Vocabulary((), {}))
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in rows_of(got)} == {1: ("example.net/", "allow"), 2: ("x.org/", "block")}
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, None, None, None), (1, 1, "bot", "yo"), (None, 0, "user", "x"), (2, 0, "system", "s")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("pos", F.lit(1)).withColumn("perspective", F.lit("p"))

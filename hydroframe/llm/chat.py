@@ -8,14 +8,17 @@ The result holds one row per (conversation, perspective, turn): the rendered seg
 stands in the rendered dialogue, and the span to train on.  Concatenating the segments by
 ``pos`` gives the dialogue (``dialogues``).
 
-Scale: only built-in functions.  Offsets are prefix sums in two levels (turns in chunks of
-``CHUNK``, then chunks), so a conversation that holds a third of all turns is spread over many
-tasks; identical turns are counted before they are dealt out and expanded at the end.
+Scale: only built-in functions.  What stands before a chunk of ``CHUNK`` turns follows from the
+number and length of each speaker's turns, so those prefix sums are made without the texts.  The texts
+go through two shuffles: identical turns are counted, and the counted turns meet the sums of their
+chunk; offsets inside a chunk and all perspectives are made where they lie.  A conversation that holds
+a third of all turns is spread by its chunks; a turn repeated any number of times is one row.
 
 Defined cases: turns are ordered by (turn, speaker, text), nulls first, and repeated rows follow
-each other; a null role speaks as ``unknown``; a null text is empty; rows of a null ``conv_id``
-form one conversation; a conversation of system turns only has no perspective and so no rows;
-extra columns are ignored.
+each other; many texts of one (conversation, turn) are ordered within one task, which spills; a null
+role speaks as ``unknown``; a null text is empty; a very long text is one segment; rows of a null
+``conv_id`` form one conversation; a conversation of system turns only has no perspective and so no
+rows; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,32 +32,38 @@ BEGIN, END = "<|im_start|>", "<|im_end|>\n"
 def rotate(conversations: DataFrame, context_role: str = "system", chunk: int = CHUNK) -> DataFrame:
     """``conv_id, perspective, pos, role, name, segment, seg_start, seg_end, train_start,
     train_end`` (character offsets in the dialogue; the train span is null where masked)."""
-    turns = conversations.select(F.col("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("unknown")).alias("speaker"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    turns = turns.groupBy("conv_id", "turn", "speaker", "text").agg(F.count("*").alias("copies"))
-    people = conversations.select(F.col("conv_id").alias("c2"), F.coalesce(F.col("role"), F.lit("unknown")).alias("perspective")).where(F.col("perspective") != context_role).distinct()
-    own, context = F.col("speaker") == F.col("perspective"), F.col("speaker") == context_role
-    rows = turns.join(people, F.col("conv_id").eqNullSafe(F.col("c2"))).drop("c2")
-    head = F.when(context, "system").when(own, "assistant").otherwise(F.concat(F.lit("user name="), F.col("speaker")))
-    rows = (
-        rows.withColumn("role", F.when(context, "system").when(own, "assistant").otherwise("user"))
-        .withColumn("name", F.when(~own & ~context, F.col("speaker")))
-        .withColumn("head_len", F.length(head) + len(BEGIN) + 1)
-        .withColumn("segment", F.concat(F.lit(BEGIN), head, F.lit("\n"), F.col("text"), F.lit(END)))
-        .withColumn("size", F.length("segment").cast("long"))
-        .withColumn("chunk", F.floor(F.col("turn") / chunk))
-    )
-    key = ["conv_id", "perspective"]
-    before = Window.partitionBy(*key).orderBy(F.col("chunk").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(*key, "chunk").agg(F.sum(F.col("size") * F.col("copies")).alias("s"), F.sum("copies").alias("n"))
-    sums = sums.select(F.col("conv_id").alias("c2"), F.col("perspective").alias("p2"), F.col("chunk").alias("k2"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
-    inside = Window.partitionBy(*key, "chunk").orderBy(F.col("turn").asc_nulls_first(), "speaker", "text").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda *key: Window.partitionBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    frame = len(BEGIN) + 1 + len(END)
+    named = F.when(F.col("speaker") == context_role, len("system")).otherwise(F.length("speaker") + len("user name="))
+    turns = conversations.select(
+        F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("key"),
+        F.coalesce(F.floor(F.col("turn").cast("long") / chunk), F.lit(-(1 << 62))).alias("chunk"),
+        "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("unknown")).alias("speaker"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
+    )
+    # Prefix sums over chunks, from counts and lengths alone; "n" and "s" as if all were named.
+    spoken = turns.groupBy("key", "chunk", "speaker").agg(F.count("*").alias("n"), F.sum(F.length("text") + frame + named).alias("s"))
+    people = spoken.where(F.col("speaker") != context_role).select("key", F.col("speaker").alias("perspective")).distinct()
+    own = spoken.select("key", "chunk", F.col("speaker").alias("perspective"), F.col("n").alias("own"))
+    sums = spoken.groupBy("key", "chunk").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).join(people, "key").join(own, ["key", "chunk", "perspective"], "left")
+    shorter = F.length("perspective") + len("user name=") - len("assistant")
+    sums = sums.withColumn("s", F.col("s") - F.coalesce("own", F.lit(0)) * shorter)
+    whole = before("key", "perspective").orderBy("chunk")
+    sums = sums.select("key", "chunk", "perspective", F.coalesce(F.sum("s").over(whole), F.lit(0)).alias("s0"), F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("n0"))
+    # Texts: counted, then joined by sort, so that the chunk's windows need no further shuffle.
+    rows = turns.groupBy("key", "chunk", "conv_id", "turn", "speaker", "text").agg(F.count("*").alias("copies")).join(sums.hint("merge"), ["key", "chunk"])
+    mine, context = F.col("speaker") == F.col("perspective"), F.col("speaker") == context_role
+    rows = rows.withColumn("role", F.when(context, "system").when(mine, "assistant").otherwise("user")).withColumn("name", F.when(~mine & ~context, F.col("speaker")))
+    head_len = F.when(mine & ~context, len("assistant")).otherwise(named) + len(BEGIN) + 1
+    rows = rows.withColumn("size", (F.length("text") + frame - len(BEGIN) - 1 + head_len).cast("long")).withColumn("head_len", head_len)
+    inside = before("key", "chunk", "perspective").orderBy(F.col("turn").asc_nulls_first(), "speaker", "text")
     rows = rows.withColumn("s1", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0))).withColumn("n1", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
-    rows = rows.join(sums, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("perspective") == F.col("p2")) & F.col("chunk").eqNullSafe(F.col("k2")))
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    head = F.concat(F.col("role"), F.coalesce(F.concat(F.lit(" name="), F.col("name")), F.lit("")))
+    segment = F.concat(F.lit(BEGIN), head, F.lit("\n"), F.col("text"), F.lit(END))
     start = F.col("s0") + F.col("s1") + F.col("copy") * F.col("size")
     train = F.col("role") == "assistant"
     return rows.select(
-        *key, (F.col("n0") + F.col("n1") + F.col("copy")).alias("pos"), "role", "name", "segment", start.alias("seg_start"), (start + F.col("size")).alias("seg_end"),
+        "conv_id", "perspective", (F.col("n0") + F.col("n1") + F.col("copy")).alias("pos"), "role", "name", segment.alias("segment"), start.alias("seg_start"), (start + F.col("size")).alias("seg_end"),
         F.when(train, start + F.col("head_len")).alias("train_start"), F.when(train, start + F.col("size") - 1).alias("train_end"),
     )
 

@@ -142,6 +142,18 @@ def test_chat(spark):
     assert chat.rotate(df.limit(0)).count() == 0
 
 
+def test_chat_long_texts_and_equal_turns(spark):
+    rows = [(1, 5, "user", "x" * 100_000), (1, 5, "bot", "")] + [(1, 5, "user", f"t{k:03}") for k in range(150)] + [(1, 5, "bot", "same")] * 100
+    seg = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), chunk=2).collect()
+    order = sorted(rows, key=lambda r: (r[1], r[2], r[3]))
+    for who in ("user", "bot"):
+        mine = sorted((r for r in seg if r.perspective == who), key=lambda r: r.pos)
+        want = ["<|im_start|>" + ("assistant" if r[2] == who else f"user name={r[2]}") + f"\n{r[3]}<|im_end|>\n" for r in order]
+        assert [r.segment for r in mine] == want
+        ends = [sum(map(len, want[: k + 1])) for k in range(len(want))]
+        assert [r.seg_end for r in mine] == ends and [r.seg_start for r in mine] == [0, *ends[:-1]]
+
+
 def test_decontamination_in_passes(spark, odd_docs, bench):
     df, rows = odd_docs
     more = [(7, "another line here and there", "en", "src1", 3), (None, "another line here", "en", "src1", 3), (None, "one two three four five six seven eight", "en", "src1", 3)]

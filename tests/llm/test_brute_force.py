@@ -255,6 +255,54 @@ def test_language_held_out(spark):
     assert len(out) > 200 and sum(r.lang == r.lang_pred for r in out) / len(out) > 0.95
 
 
+def plain_network(p, window):
+    """Log probabilities of one window, position by position."""
+    emb = [p["emb"][b] for b in [*window, *[0] * (max(langid.WIDTHS) - 1)]]
+    best = []
+    for f in range(p["conv"].shape[1]):
+        width = langid.WIDTHS[f // langid.FILTERS]
+        kernel = p["conv"][:, f].reshape(-1, langid.EMBED)
+        best.append(max(sum(float(emb[at + k] @ kernel[k]) for k in range(width)) for at in range(len(window))))
+    hidden = [max(0.0, b + s) for b, s in zip(best, p["shift"])]
+    z = [sum(h * w for h, w in zip(hidden, p["out"][:, c])) + p["bias"][c] for c in range(len(p["bias"]))]
+    return np.array(z) - np.log(np.sum(np.exp(z)))
+
+
+def test_network_against_plain_loops():
+    rng = np.random.default_rng(8)
+    net = langid.ByteCNN(["a", "b", "c"])
+    net.p = {k: v.astype(np.float64) + rng.normal(scale=0.1, size=v.shape) * (v != 0) for k, v in net.p.items()}
+    net.p["shift"] = rng.normal(scale=0.2, size=net.p["shift"].shape)
+    x, y = rng.integers(97, 110, (4, 24), dtype=np.uint8), np.array([0, 2, 1, 2])
+    got = net.log_probs(x)
+    assert np.allclose(got, [plain_network(net.p, w) for w in x], atol=1e-9)
+    grads = net.gradients(x, y)
+    loss = lambda: -net.log_probs(x)[np.arange(4), y].mean()
+    for name, g in grads.items():
+        at = np.argwhere(np.abs(g) > 1e-6)
+        for i in map(tuple, at[rng.permutation(len(at))[:6]]):
+            keep, eps = net.p[name][i], 1e-6
+            net.p[name][i] = keep + eps
+            up = loss()
+            net.p[name][i] = keep - eps
+            down = loss()
+            net.p[name][i] = keep
+            assert abs((up - down) / (2 * eps) - g[i]) < 1e-5, (name, i)
+
+
+def test_training_sample_is_even_and_bounded(spark):
+    rows = [(k, f"text number {k} " * 900, "en" if k % 10 else "fr") for k in range(600)] + [(5, "twice", "en")] * 3 + [(None, "no id", "en"), (9, None, "de"), (10, "12", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    fit, langid.ByteCNN.fit = langid.ByteCNN.fit, lambda self, x, y, **kw: seen.update(x=x, y=y, labels=self.labels)
+    try:
+        langid.train(df, docs=80)
+    finally:
+        langid.ByteCNN.fit = fit
+    assert seen["labels"] == ["en", "fr"] and seen["x"].shape[1] == langid.WINDOW
+    assert np.bincount(seen["y"]).tolist()[1] == 40 * 4 and np.bincount(seen["y"])[0] <= 40 * 4
+
+
 def test_toxicity_held_out(spark):
     labels = spark.read.parquet(f"{SF}/../sf0.1/labels.parquet")
     out = toxicity.op5_toxicity(spark, f"{SF}/../sf0.1").join(labels, "doc_id").where("held_out").collect()

@@ -400,10 +400,57 @@ def test_neighbour_recall(spark):
 def test_probe_is_complete():
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 256, (500, 8), dtype=np.uint8)
-    index = ann.MultiIndex(codes)
-    for r in (0, 5, 17, 24, 31, 64):
-        for q in codes[:5] ^ np.uint8(5):
-            assert index.probe(q, r).tolist() == np.flatnonzero(ann.hamming(codes, q) <= r).tolist()
+    for parts in ann.PARTS:
+        index = ann.MultiIndex(codes, parts)
+        for r in (0, 5, 17, 24, 31, 64):
+            for q in codes[:5] ^ np.uint8(5):
+                assert index.probe(q, r).tolist() == np.flatnonzero(ann.hamming(codes, q) <= r).tolist()
+
+
+def test_probed_share_on_structured_vectors():
+    """Where neighbours agree in most bits, probing reads a small part of the block, and finds them."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(400, 64))
+    x = centres[rng.integers(0, 400, 8000)] + 0.08 * rng.normal(size=(8000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    coder = ann.Coder(x[:4096])
+    radius = ann.learn_radius(coder, x[:4096], 4)
+    codes, read, hit = coder(x), [], []
+    parts = ann.best_parts(radius, len(codes))
+    index = ann.MultiIndex(codes, parts)
+    for q in range(0, 8000, 160):
+        read.append(sum(int((hi - lo).sum()) for lo, hi in index.lists(codes[q].view(np.uint64)[0], radius)) / 8000)
+        near = np.argsort(-(x @ x[q]))[1:11]
+        hit.append(np.isin(near, index.probe(codes[q], radius)).mean())
+    assert parts and np.mean(read) < 0.1 and np.mean(hit) > 0.9
+    # The index and the direct comparison of codes retrieve the same rows.
+    pairs = zip(ann.retrieve(codes, codes[:300], radius, parts), ann.retrieve(codes, codes[:300], radius, 0), strict=True)
+    assert all(a == b and np.array_equal(v, w) for (a, v), (b, w) in pairs)
+    assert ann.best_parts(30, 8192) == 0  # lists longer than the block
+
+
+def test_neighbours_do_not_depend_on_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(300, 16)), 1)
+    x[100:180] = x[7]  # ties beyond k
+    rows = [(int(k), v.tolist()) for k, v in enumerate(x)] + [(250, x[7].tolist()), (250, x[250].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    every = {(i, tuple(v)) for i, v in rows}
+    for block in (50, 8192):
+        monkeypatch.setattr(ann, "BLOCK", block)
+        monkeypatch.setattr(ann, "COVER", 1.0)
+        got = collections.defaultdict(list)
+        for r in sorted(ann.neighbours(df, df.where("vec_id % 20 = 0")).collect(), key=lambda r: (r.query_id, r["rank"])):
+            got[r.query_id].append(r.vec_id)
+        for q in range(0, 300, 20):
+            score = {}
+            for i, v in every:
+                if i != q:
+                    score[i] = max(score.get(i, -np.inf), float(np.einsum("i,i->", x[q], np.array(v))))
+            want = sorted(score, key=lambda i: (-score[i], i))[:20]
+            assert len(got[q]) == 20 and len(set(got[q]) & set(want)) >= 15
+            if q == 120:
+                assert got[q] == want  # equal vectors, smallest ids first
 
 
 def test_words_are_the_contract_s():

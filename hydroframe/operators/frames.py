@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import kernel
 from ..functions.params import CodecParams
@@ -14,6 +15,16 @@ from . import blocks
 P = CodecParams()
 
 
+def little_endian(pcm: Column) -> Column:
+    """Packed samples as 16-bit little-endian PCM."""
+
+    @F.pandas_udf("binary")
+    def le(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: np.asarray(x).astype("<i2").tobytes())
+
+    return le(pcm)
+
+
 def pack_frames(samples: DataFrame, channels: int = 1, p: CodecParams = P) -> DataFrame:
     """``rec_id, frame_idx, n_samples, pcm`` from ``rec_id, idx, channel, v``: rows of samples meet by
     frame, so a group is never longer than a frame."""
@@ -23,20 +34,23 @@ def pack_frames(samples: DataFrame, channels: int = 1, p: CodecParams = P) -> Da
     return rows.select("rec_id", "frame_idx", (F.size("s") / channels).cast("int").alias("n_samples"), F.transform("s", lambda x: x.v.cast("short")).alias("pcm"))
 
 
-def encode_frames(packed: DataFrame, channels: int = 1, rate: int = 48000, p: CodecParams = P) -> DataFrame:
-    """Adds ``payload`` and ``frame`` (header and payload) and drops ``pcm``."""
+def encode_frames(packed: DataFrame, channels: int | Column = 1, rate: int | Column = 48000, p: CodecParams = P) -> DataFrame:
+    """Adds ``payload`` and ``frame`` (header and payload) and drops ``pcm``; channels and rate may be
+    columns."""
 
     def run(batches):
         for b in batches:
             payloads, frames = [], []
-            for k, pcm in zip(b.column("frame_idx").to_pylist(), b.column("pcm")):
-                x = pcm.values.to_numpy(zero_copy_only=False).reshape(-1, channels)
+            for k, pcm, c, r in zip(b.column("frame_idx").to_pylist(), b.column("pcm"), b.column("c").to_pylist(), b.column("r").to_pylist()):
+                x = pcm.values.to_numpy(zero_copy_only=False).reshape(-1, c)
                 raw = kernel.encode_frame(x, p)
                 payloads.append(raw)
-                frames.append(formats.frame_header(1, channels, len(x), raw, formats.time_ns(k * p.samples_per_frame, rate)) + raw)
+                frames.append(formats.frame_header(1, c, len(x), raw, formats.time_ns(k * p.samples_per_frame, r)) + raw)
             yield pa.RecordBatch.from_arrays([b.column("rec_id"), b.column("frame_idx"), b.column("n_samples"), pa.array(payloads, pa.binary()), pa.array(frames, pa.binary())], ["rec_id", "frame_idx", "n_samples", "payload", "frame"])
 
-    return packed.select("rec_id", "frame_idx", "n_samples", "pcm").mapInArrow(run, "rec_id string, frame_idx int, n_samples int, payload binary, frame binary")
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    rows = packed.select("rec_id", "frame_idx", "n_samples", "pcm", as_column(channels).cast("int").alias("c"), as_column(rate).cast("int").alias("r"))
+    return rows.mapInArrow(run, "rec_id string, frame_idx int, n_samples int, payload binary, frame binary")
 
 
 def decode_frames(coded: DataFrame, channels: int = 1, block_len: int = P.block_len, orders=P.orders, swap: bool = False) -> DataFrame:

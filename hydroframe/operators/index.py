@@ -36,10 +36,10 @@ def counts_from_offsets(frames: DataFrame) -> DataFrame:
     return frames.withColumn("from_offsets", (F.coalesce(F.lead("sample_offset").over(by_frame()), whole) - F.col("sample_offset")).cast("long"))
 
 
-def window_clamp(total: Column, start: int, length: int) -> tuple[Column, Column]:
-    """Half-open [start, end) within the recording; empty for a start outside or length <= 0."""
-    ok = (F.lit(start) >= 0) & (F.lit(start) < total) & (F.lit(length) > 0)
-    return F.when(ok, F.lit(start)).otherwise(0).cast("long"), F.when(ok, F.least(total, F.lit(start + length))).otherwise(0).cast("long")
+def channel_check(frames: DataFrame) -> DataFrame:
+    """``rec_id, channels`` (the last frame's, 1 if it names none) ``, mixed`` (whether they differ)."""
+    n = F.greatest(F.col("channels"), F.lit(1))
+    return frames.groupBy("rec_id").agg(F.max_by(n, "frame_idx").cast("int").alias("channels"), (F.min(n) != F.max(n)).alias("mixed"))
 
 
 def chunks_for_window(index: DataFrame, start: int, length: int) -> DataFrame:

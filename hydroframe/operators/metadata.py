@@ -21,20 +21,21 @@ def swap_byte_pairs(hex_text: Column) -> Column:
     return F.regexp_replace(hex_text, "(..)(..)", "$2$1")
 
 
-def concat_records(records: DataFrame, root: str = "ST") -> DataFrame:
-    """Metadata texts of a recording in record order under one root; no text gives an empty string."""
+def concat_records(records: DataFrame, root: str = "SUD_METADATA") -> DataFrame:
+    """Metadata texts of a recording in record order under one root (its tags end their lines); no
+    text gives an empty string."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("record_idx", "text")))), lambda x: x.text), "")
-    return records.groupBy("rec_id").agg(body.alias("body")).select("rec_id", F.when(F.col("body") == "", "").otherwise(F.concat(F.lit(f"<{root}>"), "body", F.lit(f"</{root}>"))).alias("xml"))
+    return records.groupBy("rec_id").agg(body.alias("body")).select("rec_id", F.when(F.col("body") == "", "").otherwise(F.concat(F.lit(f"<{root}>\n"), "body", F.lit(f"</{root}>\n"))).alias("xml"))
 
 
 def choose_config(records: DataFrame) -> DataFrame:
     """``rec_id, record_idx, kind, fs, nchs, nbits, hardware``: the last ``wav`` configuration wins; if
-    it has no rate, the first usable ``audio`` one stands in with all three values; the first
+    it has no rate, the first ``audio`` one with a rate (0 or more) stands in with all three values; the first
     hardware id wins."""
     conf = F.struct("fs", "nchs", "nbits")
     rows = records.groupBy("rec_id").agg(
         F.max_by(conf, F.when(F.col("kind") == "wav", F.col("record_idx"))).alias("wav"),
-        F.min_by(conf, F.when((F.col("kind") == "audio") & (F.col("fs") > 0), F.col("record_idx"))).alias("audio"),
+        F.min_by(conf, F.when((F.col("kind") == "audio") & (F.col("fs") >= 0), F.col("record_idx"))).alias("audio"),
         F.min_by("hardware", F.when(F.col("hardware").isNotNull(), F.col("record_idx"))).alias("device"),
     )
     has_wav = F.coalesce(F.col("wav.fs"), F.lit(-1)) >= 0
@@ -43,5 +44,6 @@ def choose_config(records: DataFrame) -> DataFrame:
 
 
 def swap_extension(path: Column, ext: str) -> Column:
-    """The path with what follows its last dot replaced."""
-    return F.regexp_replace(path, r"\.[^./]*$", "." + ext)
+    """The path with its name's extension replaced; a name without one gets it appended."""
+    path = F.regexp_replace(path, "/+$", "")
+    return F.when(path.rlike(r"\.[^./]*$"), F.regexp_replace(path, r"\.[^./]*$", "." + ext)).otherwise(F.concat(path, F.lit("." + ext)))

@@ -46,4 +46,14 @@ def signal(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return number_samples(rows, F.floor(F.col("l_orderkey") / (1024 if name == "long" else 1 << 20)), LINE_ORDER).select("rec_id", "idx", "v")
 
 
+def supplier_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``disc, qty, price`` from one numbering of ``lineitem``; ``rec_id`` is ``signal:supplier``."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.col("l_suppkey").cast("string").alias("rec_id"), *LINE_ORDER,
+        F.map_from_arrays(F.array(F.lit("disc"), F.lit("qty"), F.lit("price")), F.array(F.round(F.col("l_discount") * 100).cast("int"), F.col("l_quantity").cast("int"), clamp16(F.round("l_extendedprice") - 40000))).alias("values"),
+    )
+    numbered = number_samples(rows, F.floor(F.col("l_orderkey") / (1 << 20)), LINE_ORDER)
+    return numbered.select("rec_id", "idx", F.explode("values").alias("signal", "v")).select(F.concat("signal", F.lit(":"), "rec_id").alias("rec_id"), "idx", "v")
+
+
 SIGNALS = ("ev", "disc", "qty", "price", "long")

@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions import expr
-from .functions.params import CodecParams
+from .functions import expr, kernel
+from .functions.params import CodecParams, check_channels
 from .operators import blocks, frames, index, metadata, signals
 from .plans import convert
 from .sources import datasource, formats
 
 P = CodecParams()
 RATE = 48000
-XML_LEN = len(formats.build_xml(RATE, P))
+#: Fixed text of the format, with our program name: the configuration, one blank, an even length.
+_XML = (
+    '<X3ARCH PROG="hydroframe" VERSION="2.0" /><CFG ID="0" FTYPE="XML" /><CFG ID="1" FTYPE="WAV"><FS UNIT="Hz">48000</FS><SUFFIX>wav</SUFFIX>'
+    '<CODEC TYPE="X3" VERS="2"><BLKLEN>20</BLKLEN><CODES N="4">RICE0,RICE1,RICE3,BFP</CODES><FILTER>DIFF</FILTER><NBITS>16</NBITS><T N="3">3,8,20</T></CODEC></CFG>'
+)
+XML_LEN = (len(_XML) + 1) // 2 * 2
 START, LENGTH = 12345, 25000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,11 +123,11 @@ def block_code_select(spark, d):
 
 @query("code_histogram", " UNION ALL ".join(f"SELECT * FROM ({_with(s, f'''SELECT '{s}' AS signal, code, count(*) AS blocks, CAST(sum(n) AS BIGINT) AS samples FROM c GROUP BY ALL''')})" for s in signals.SIGNALS))
 def code_histogram(spark, d):
-    out = None
-    for s in signals.SIGNALS:
-        part = blocks.block_stats(_sig(spark, d, s)).groupBy("code").agg(F.count("*").alias("blocks"), F.sum("n").alias("samples")).select(F.lit(s).alias("signal"), "code", "blocks", "samples")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """All signals in one pass over their union; ``lineitem`` is numbered once for three of them."""
+    named = lambda rows, name: rows.select(F.concat(F.lit(f"{name}:"), "rec_id").alias("rec_id"), "idx", "v")
+    rows = named(_sig(spark, d, "ev"), "ev").unionByName(named(_sig(spark, d, "long"), "long")).unionByName(signals.supplier_signals(spark, d))
+    stats = blocks.block_stats(rows).groupBy(F.substring_index("rec_id", ":", 1).alias("signal"), "code")
+    return stats.agg(F.count("*").alias("blocks"), F.sum("n").alias("samples"))
 
 
 @query("frame_payload_bytes", _with("price", "SELECT rec_id, frame_idx, n_samples, payload_bytes FROM z"))
@@ -255,7 +266,7 @@ def byte_swap_text(spark, d):
 _RECORDS = "SELECT CAST(user_id AS VARCHAR) AS rec_id, event_id AS record_idx, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS text FROM events"
 
 
-@query("metadata_concat", f"SELECT rec_id, coalesce('<ST>' || string_agg(text, '' ORDER BY record_idx, text) || '</ST>', '') AS xml FROM ({_RECORDS}) GROUP BY rec_id")
+@query("metadata_concat", f"SELECT rec_id, coalesce('<SUD_METADATA>' || chr(10) || string_agg(text, '' ORDER BY record_idx, text) || '</SUD_METADATA>' || chr(10), '') AS xml FROM ({_RECORDS}) GROUP BY rec_id")
 def metadata_concat(spark, d):
     rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("rec_id"), F.col("event_id").alias("record_idx"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("text"))
     return metadata.concat_records(rows)
@@ -268,7 +279,7 @@ _CONFIG = "SELECT CAST(user_id AS VARCHAR) AS rec_id, event_id AS record_idx, CA
     "first_last_config",
     f"""
 WITH r AS ({_CONFIG}),
-g AS (SELECT rec_id, max(CASE WHEN kind = 'wav' THEN record_idx END) AS w, min(CASE WHEN kind = 'audio' AND fs > 0 THEN record_idx END) AS a, min(CASE WHEN hardware IS NOT NULL THEN record_idx END) AS h FROM r GROUP BY rec_id)
+g AS (SELECT rec_id, max(CASE WHEN kind = 'wav' THEN record_idx END) AS w, min(CASE WHEN kind = 'audio' AND fs >= 0 THEN record_idx END) AS a, min(CASE WHEN hardware IS NOT NULL THEN record_idx END) AS h FROM r GROUP BY rec_id)
 SELECT g.rec_id, coalesce(CASE WHEN coalesce(w.fs, -1) >= 0 THEN w.fs ELSE a.fs END, 576000) AS sample_rate, coalesce(CASE WHEN coalesce(w.fs, -1) >= 0 THEN w.nchs ELSE a.nchs END, 1) AS channels,
   coalesce(CASE WHEN coalesce(w.fs, -1) >= 0 THEN w.nbits ELSE a.nbits END, 16) AS bit_depth, coalesce(h.hardware, 'UNKNOWN') AS device_id
 FROM g LEFT JOIN r w ON g.rec_id = w.rec_id AND g.w = w.record_idx LEFT JOIN r a ON g.rec_id = a.rec_id AND g.a = a.record_idx LEFT JOIN r h ON g.rec_id = h.rec_id AND g.h = h.record_idx
@@ -295,16 +306,16 @@ def crc16_text(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", expr.crc16(F.encode("url", "UTF-8")).cast("int").alias("crc"))
 
 
-@query("path_rename", "SELECT page_id, regexp_replace(url, '\\.[^./]*$', '.wav') AS path FROM pages")
+@query("path_rename", "SELECT page_id, CASE WHEN regexp_matches(p, '\\.[^./]*$') THEN regexp_replace(p, '\\.[^./]*$', '.wav') ELSE p || '.wav' END AS path FROM (SELECT page_id, regexp_replace(url, '/+$', '') AS p FROM pages)")
 def path_rename(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", metadata.swap_extension(F.col("url"), "wav").alias("path"))
 
 
-@query("channel_check", "SELECT conv_id AS rec_id, CAST(arg_max(length(role), turn) AS INTEGER) AS channels, count(DISTINCT length(role)) > 1 AS mixed FROM conversations WHERE turn IS NOT NULL GROUP BY conv_id")
+@query("channel_check", "SELECT CAST(conv_id AS VARCHAR) AS rec_id, CAST(arg_max(greatest(coalesce(length(role), 0) % 3, 1), turn) AS INTEGER) AS channels, min(greatest(coalesce(length(role), 0) % 3, 1)) <> max(greatest(coalesce(length(role), 0) % 3, 1)) AS mixed FROM conversations GROUP BY conv_id")
 def channel_check(spark, d):
-    rows = spark.read.parquet(f"{d}/conversations.parquet").where("turn is not null")
-    n = F.length("role")
-    return rows.groupBy(F.col("conv_id").alias("rec_id")).agg(F.max_by(n, "turn").cast("int").alias("channels"), (F.countDistinct(n) > 1).alias("mixed"))
+    """Turns stand in for frames; a frame without a channel count has one channel."""
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").cast("string").alias("rec_id"), F.col("turn").alias("frame_idx"), (F.coalesce(F.length("role"), F.lit(0)) % 3).alias("channels"))
+    return index.channel_check(rows)
 
 
 # ---- kernels ------------------------------------------------------------------------------
@@ -336,11 +347,57 @@ def decode_float(spark, d):
     return frames.explode_frames(frames.decode_frames(_coded(spark, d, "ev"))).select("rec_id", "idx", expr.to_float(F.col("v")).alias("v"))
 
 
-@query("kernel_bits", _with("ev", f", s AS (SELECT e.*, c.code, c.peak_bits, {_BITS} AS bits FROM e JOIN c ON e.rec_id = c.rec_id AND e.frame_idx = c.frame_idx AND e.block_idx = c.block_idx), bl AS (SELECT rec_id, frame_idx, block_idx, {_HEAD} || string_agg(bits, '' ORDER BY idx) AS bits FROM s GROUP BY rec_id, frame_idx, block_idx, code, peak_bits), fr AS (SELECT f.rec_id, f.frame_idx, lpad(bin(CAST(f.v AS BIGINT) & 65535), 16, '0') || coalesce(string_agg(bl.bits, '' ORDER BY block_idx), '') AS bits FROM f LEFT JOIN bl ON f.rec_id = bl.rec_id AND f.frame_idx = bl.frame_idx WHERE f.j = 0 GROUP BY f.rec_id, f.frame_idx, f.v) SELECT rec_id, frame_idx, rpad(bits, CAST(16 * ((length(bits) + 15) // 16) AS INTEGER), '0') AS bits FROM fr"))
-def kernel_bits(spark, d):
-    """The kernel's payloads bit for bit, against the relational bit strings."""
+_FRAME_BITS = f", s AS (SELECT e.*, c.code, c.peak_bits, {_BITS} AS bits FROM e JOIN c ON e.rec_id = c.rec_id AND e.frame_idx = c.frame_idx AND e.block_idx = c.block_idx), bl AS (SELECT rec_id, frame_idx, block_idx, {_HEAD} || string_agg(bits, '' ORDER BY idx) AS bits FROM s GROUP BY rec_id, frame_idx, block_idx, code, peak_bits), fr AS (SELECT f.rec_id, f.frame_idx, lpad(bin(CAST(f.v AS BIGINT) & 65535), 16, '0') || coalesce(string_agg(bl.bits, '' ORDER BY block_idx), '') AS bits FROM f LEFT JOIN bl ON f.rec_id = bl.rec_id AND f.frame_idx = bl.frame_idx WHERE f.j = 0 GROUP BY f.rec_id, f.frame_idx, f.v) SELECT rec_id, frame_idx, rpad(bits, CAST(16 * ((length(bits) + 15) // 16) AS INTEGER), '0') AS bits FROM fr"
+
+
+def _frame_bits(spark, d, name):
     bits = F.transform(F.sequence(F.lit(1), F.length("payload")), lambda k: F.lpad(F.bin(expr.byte_at(F.col("payload"), k).cast("long")), 8, "0"))
-    return _coded(spark, d, "ev").select("rec_id", "frame_idx", F.array_join(bits, "").alias("bits"))
+    return _coded(spark, d, name).select("rec_id", "frame_idx", F.array_join(bits, "").alias("bits"))
+
+
+@query("kernel_bits", _with("ev", _FRAME_BITS))
+def kernel_bits(spark, d):
+    """The kernel's payloads bit for bit, against the relational bit strings: packed and literal blocks."""
+    return _frame_bits(spark, d, "ev")
+
+
+@query("kernel_bits_rice", _with("disc", _FRAME_BITS))
+def kernel_bits_rice(spark, d):
+    """The same where Rice orders 0 and 1 are chosen."""
+    return _frame_bits(spark, d, "disc")
+
+
+@query("kernel_bits_mixed", _with("qty", _FRAME_BITS))
+def kernel_bits_mixed(spark, d):
+    """The same with Rice order 3 beside packed blocks."""
+    return _frame_bits(spark, d, "qty")
+
+
+@query("other_orders_roundtrip", _with("qty", "SELECT rec_id, 0 AS channel, idx, v FROM f"))
+def other_orders_roundtrip(spark, d):
+    """Rice orders that only the general decoder reads."""
+    p = CodecParams(block_len=16, blocks_per_frame=625, orders=(1, 2, 4), thresholds=(5, 12, 31))
+    coded = frames.encode_frames(frames.pack_frames(_sig(spark, d, "qty"), 1, p), 1, RATE, p)
+    return frames.explode_frames(frames.decode_frames(coded, 1, 16, (1, 2, 4)), 1, p)
+
+
+_BITS_OF = "(SELECT page_id, array_to_string([lpad(bin(CAST(('0x' || substr(hex(encode(url)), 2 * k + 1, 2)) AS BIGINT)), 8, '0') for k in range(octet_length(encode(url)))], '') AS b FROM pages)"
+
+
+@query("bit_reader", f"SELECT page_id, CAST(instr(b, '1') - 1 AS INTEGER) AS zeros, CAST(list_reduce(list_prepend(0, [CAST(x AS INTEGER) for x in string_split(substr(b, instr(b, '1'), 5), '')]), lambda a, x: a * 2 + x) AS INTEGER) AS five, CAST(list_reduce(list_prepend(0, [CAST(x AS INTEGER) for x in string_split(substr(b, instr(b, '1') + 5, 20), '')]), lambda a, x: a * 2 + x) AS INTEGER) AS twenty, CAST(length(b) - instr(b, '1') - 24 AS INTEGER) AS remaining FROM {_BITS_OF}")
+def bit_reader(spark, d):
+    """Unary count, then 5 and 20 bits, of the urls' bytes."""
+
+    @F.pandas_udf("struct<zeros int, five int, twenty int, remaining int>")
+    def read(raw: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in raw:
+            bits = kernel.BitReader(bytes(x))
+            rows.append((bits.zeros(), bits.read(5), bits.read(20), bits.remaining))
+        return pd.DataFrame(rows, columns=["zeros", "five", "twenty", "remaining"], dtype="int32")
+
+    rows = spark.read.parquet(f"{d}/pages.parquet").select("page_id", read(F.encode("url", "UTF-8")).alias("r"))
+    return rows.select("page_id", "r.*")
 
 
 @query("frame_headers", _with("long", f"SELECT rec_id, frame_idx, 1 AS source_id, 1 AS channels, n_samples, payload_bytes, CAST(sample_offset // {RATE} * 1000000000 + sample_offset % {RATE} * 1000000000 // {RATE} AS BIGINT) AS time_ns, true AS key_ok, true AS header_crc_ok, true AS payload_crc_ok FROM i"))
@@ -359,11 +416,18 @@ def frame_headers(spark, d):
 
 
 def _folder(spark) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{datasource.local(base).rstrip('/')}/hydro-{uuid.uuid4().hex}"
+    """A new folder below ``spark.checkpoint.dir``, removed when the driver ends; without that setting
+    (tests on one machine) a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="hydroframe-")
+        spark.conf.set("spark.checkpoint.dir", base)
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    path = f"{datasource.local(base).rstrip('/')}/hydro-{uuid.uuid4().hex}"
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 @query("archive_scan", _with("disc", "SELECT rec_id, idx, v FROM f"))
@@ -383,7 +447,7 @@ def archive_index_scan(spark, d):
     return rows.select("rec_id", "frame_idx", F.col("n_samples").cast("long").alias("n_samples"), F.col("chunk_length").cast("long").alias("payload_bytes"), "sample_offset", "byte_offset")
 
 
-@query("recordings_scan", _with("disc", f"SELECT rec_id, 'archive' AS container, {RATE} AS sample_rate, 1 AS channels, 16 AS bit_depth, count(*) AS frames, 20 AS block_len, '{formats.build_xml(RATE)}' AS xml FROM f GROUP BY rec_id"))
+@query("recordings_scan", _with("disc", f"SELECT rec_id, 'archive' AS container, {RATE} AS sample_rate, 1 AS channels, 16 AS bit_depth, count(*) AS frames, 20 AS block_len, left('{_XML} ', {XML_LEN}) AS xml FROM f GROUP BY rec_id"))
 def recordings_scan(spark, d):
     path = _folder(spark)
     convert.write_archives(_coded(spark, d, "disc"), path, RATE)
@@ -416,16 +480,21 @@ def wav_to_archive(spark, d):
     return convert.read(spark, third, "frame_index").select("rec_id", "frame_idx", F.col("n_samples").cast("long").alias("n_samples"), F.col("chunk_length").cast("long").alias("payload_bytes"))
 
 
+#: Fixed texts of the format.
 _SUD_TEXT = '<CFG ID="4" FTYPE="wav" CODEC="3"><FS> 48000 </FS><NBITS> 16 </NBITS><NCHS> 1 </NCHS></CFG><CFG ID="3" FTYPE="X3V2"><BLKLEN> 20 </BLKLEN></CFG>'
 _SUD_TEXT += " " * (len(_SUD_TEXT) % 2)
 
 
 def _recorder_files(spark, d):
     """Recorder files built in memory from coded frames."""
-    build = F.udf(lambda parts: b"".join(formats.sud_record(formats.kernel.swap_pairs(bytes(p.payload)), p.n_samples) for p in parts), "binary")
-    head = formats.sud_record(formats.kernel.swap_pairs(_SUD_TEXT.encode()), 1)
+
+    @F.pandas_udf("binary")
+    def build(payloads: pd.Series, samples: pd.Series) -> pd.Series:
+        return pd.Series([b"".join(formats.sud_record(kernel.swap_pairs(bytes(p)), int(n)) for p, n in zip(ps, ns)) for ps, ns in zip(payloads, samples)], dtype=object)
+
+    head = formats.sud_record(kernel.swap_pairs(_SUD_TEXT.encode()), 1)
     parts = F.array_sort(F.collect_list(F.struct("frame_idx", "n_samples", "payload")))
-    return _coded(spark, d, "disc").groupBy("rec_id").agg(build(parts).alias("body")).select(F.concat(F.lit("/"), "rec_id", F.lit(".sud")).alias("path"), F.concat(F.lit(head), "body").alias("content"))
+    return _coded(spark, d, "disc").groupBy("rec_id").agg(parts.alias("p")).select("rec_id", build("p.payload", "p.n_samples").alias("body")).select(F.concat(F.lit("/"), "rec_id", F.lit(".sud")).alias("path"), F.concat(F.lit(head), "body").alias("content"))
 
 
 @query("sud_scan", _with("disc", "SELECT rec_id, idx, v FROM f"))
@@ -454,8 +523,7 @@ def sud_recordings(spark, d):
 @query("pcm_bytes", _with("ev", "SELECT rec_id, frame_idx, upper(string_agg(lpad(to_hex(v & 255), 2, '0') || lpad(to_hex((v >> 8) & 255), 2, '0'), '' ORDER BY idx)) AS bytes FROM f GROUP BY rec_id, frame_idx"))
 def pcm_bytes(spark, d):
     """Packed frames as little-endian 16-bit PCM."""
-    le = F.pandas_udf(lambda x: x.map(lambda v: v.astype("<i2").tobytes()), "binary")
-    return frames.pack_frames(_sig(spark, d, "ev")).select("rec_id", "frame_idx", F.hex(le("pcm")).alias("bytes"))
+    return frames.pack_frames(_sig(spark, d, "ev")).select("rec_id", "frame_idx", F.hex(frames.little_endian(F.col("pcm"))).alias("bytes"))
 
 
 @query("size_report", _with("disc", f"SELECT 'archive' AS container, count(*) AS files, CAST(sum(b) AS BIGINT) AS file_bytes, CAST(sum(44 + 2 * n) AS BIGINT) AS wav_bytes, sum(b) / sum(44 + 2 * n) AS ratio FROM (SELECT rec_id, sum(payload_bytes + 20) + {28 + XML_LEN} AS b, sum(n_samples) AS n FROM z GROUP BY rec_id)"))
@@ -470,7 +538,124 @@ def size_report(spark, d):
 def content_sniff(spark, d):
     rows = spark.read.parquet(f"{d}/pages.parquet")
     content = F.concat(F.when(F.col("page_id") % 2 == 0, F.lit(b"X3ARCHIV")).otherwise(F.lit(b"X3")), F.encode("url", "UTF-8"))
-    return rows.select(F.col("page_id").cast("string").alias("rec_id"), (F.substring(content, 1, 8) == F.lit(b"X3ARCHIV")).alias("archive"))
+    return rows.select(F.col("page_id").cast("string").alias("rec_id"), datasource.is_archive(content).alias("archive"))
+
+
+@query("decoded_archive", _with("disc", "SELECT rec_id, CAST(count(*) AS BIGINT) AS samples, md5(string_agg(CAST(v AS VARCHAR), ',' ORDER BY idx)) AS pcm_md5 FROM f GROUP BY rec_id"))
+def decoded_archive(spark, d):
+    """Whole archives in memory, one row a recording."""
+    path = _folder(spark)
+    convert.write_archives(_coded(spark, d, "disc"), path, RATE)
+    whole = convert.to_memory(convert.read(spark, path, "samples"))
+    return whole.select("rec_id", F.size("pcm").cast("long").alias("samples"), F.md5(F.array_join("pcm", ",")).alias("pcm_md5"))
+
+
+@query("folder_scan", _with("qty", f"SELECT rec_id, k.container, {RATE} AS sample_rate, count(*) AS frames FROM f, (SELECT unnest(['archive', 'wav']) AS container) k GROUP BY ALL"))
+def folder_scan(spark, d):
+    """A folder with archives in one subfolder and WAV files with sidecars in a deeper one."""
+    path = _folder(spark)
+    convert.write_archives(_coded(spark, d, "qty"), f"{path}/a", RATE)
+    convert.archive_to_wav(spark, f"{path}/a", f"{path}/b/c")
+    return convert.read(spark, path, "recordings").select("rec_id", "container", "sample_rate", "frames")
+
+
+@query("sidecars", _with("qty", f"SELECT rec_id, left('{_XML} ', {XML_LEN}) AS xml FROM f GROUP BY rec_id"))
+def sidecars(spark, d):
+    path = _folder(spark)
+    convert.write_archives(_coded(spark, d, "qty"), f"{path}/a", RATE)
+    convert.archive_to_wav(spark, f"{path}/a", f"{path}/b")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(f"file://{path}/b")
+    return files.select(F.regexp_extract("path", r"([^/]*)\.xml$", 1).alias("rec_id"), F.decode("content", "US-ASCII").alias("xml"))
+
+
+@query("file_report", _with("disc", f"SELECT rec_id, 'archive' AS container, b AS file_bytes, 44 + 2 * n AS wav_bytes, b / (44 + 2 * n) AS ratio FROM (SELECT rec_id, CAST(sum(payload_bytes + 20) + {28 + XML_LEN} AS BIGINT) AS b, CAST(sum(n_samples) AS BIGINT) AS n FROM z GROUP BY rec_id) ORDER BY rec_id"))
+def file_report(spark, d):
+    path = _folder(spark)
+    convert.write_archives(_coded(spark, d, "disc"), path, RATE)
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]*)\.x3a$", 1).alias("rec_id"), F.col("length").alias("file_bytes"))
+    return convert.file_report(convert.read(spark, path, "recordings"), files)
+
+
+# ---- faults: one small archive a page, changed in one way -------------------------------------
+
+_SMALL = CodecParams(blocks_per_frame=1)
+
+
+def faulty_archive(case: int, seed: int) -> bytes:
+    """A 60-sample archive of three frames with the fault of ``case``."""
+    pcm = ((np.arange(60) * (seed % 97 + 3)) % 400).astype(np.int16)[:, None]
+    data = bytearray(formats.encode_archive(pcm, RATE, _SMALL))
+    prefix = len(formats.archive_prefix(RATE, _SMALL))
+    first = len(formats.frame_header(1, 1, 20, b"", 0)) + len(kernel.encode_frame(pcm[:20], _SMALL))
+    own = lambda payload, n: data[:prefix] + formats.frame_header(1, 1, n, payload, 0) + payload
+    if case in (1, 2):  # payload byte, header byte
+        data[prefix + (24 if case == 1 else 5)] ^= 0xFF
+    elif case == 3:
+        data = bytearray(b"certainly no archive, but long enough to be one")
+    elif case == 4:
+        data = data[:20]
+    elif case == 5:  # a byte of the configuration
+        data[40] ^= 0xFF
+    elif case == 6:  # the configuration is cut off
+        data = data[: prefix - 10]
+    elif case == 7:  # what follows is no frame
+        data = data[: prefix + first] + b"padding that is longer than a header"
+    elif case == 8:  # the last payload is cut off
+        data = data[:-2]
+    elif case == 9:  # a frame without samples
+        data = data[: prefix + first] + formats.frame_header(1, 1, 0, b"\0\0", 0) + b"\0\0" + data[prefix + first :]
+    elif case == 10:  # fewer bits than samples
+        data = own(kernel.encode_frame(pcm[:20], _SMALL)[:4], 20)
+    elif case == 11:  # a Rice index out of range
+        data = own(kernel.pack_fields(np.array([0, 1, 1]), np.array([16, 2, 600]), 2), 2)
+    elif case == 12:  # packed fields narrower than any writer makes
+        data = own(kernel.pack_fields(np.array([0, 3, 0]), np.array([16, 6, 40]), 2), 10)
+    return bytes(data)
+
+
+_FAULTS = """SELECT CAST(page_id AS VARCHAR) AS rec_id, CAST(page_id % 13 AS INTEGER) AS fault,
+  CASE WHEN page_id % 13 IN (0, 7, 8, 9) THEN 'done' ELSE 'failed' END AS state,
+  CAST(CASE page_id % 13 WHEN 0 THEN 60 WHEN 7 THEN 20 WHEN 8 THEN 40 WHEN 9 THEN 60 ELSE 0 END AS BIGINT) AS frames FROM pages"""
+
+
+def _faulty(spark, d):
+    build = F.pandas_udf(lambda ids: ids.map(lambda k: faulty_archive(int(k) % 13, int(k))), "binary")
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    files = pages.select(F.concat(F.lit("/"), F.col("page_id").cast("string"), F.lit(".x3a")).alias("path"), build("page_id").alias("content"))
+    return datasource.binary_table(files, "status", verify=True)
+
+
+@query("archive_faults", _FAULTS)
+def archive_faults(spark, d):
+    """How far each faulty archive is decoded; a fault is a row, not an error of the job."""
+    return _faulty(spark, d).select("rec_id", F.expr("cast(cast(rec_id as long) % 13 as int)").alias("fault"), "state", "frames")
+
+
+@query("conversion_progress", f"SELECT count(*) AS total, count(state) AS completed, count(*) FILTER (state = 'failed') AS failed, CAST(sum(frames) AS BIGINT) AS frames FROM ({_FAULTS})")
+def conversion_progress(spark, d):
+    return convert.progress(_faulty(spark, d))
+
+
+#: Arguments and whether the reference's rules allow them.
+_ARGUMENTS = [
+    ("block_len 0", False), ("block_len 1", True), ("block_len 64", True), ("block_len 65", False), ("two orders", False), ("thresholds that fall", False),
+    ("blocks_per_frame 0", False), ("samples over 65535", False), ("channels 0", False), ("channels 1", True), ("channels 8", True), ("channels 9", False),
+]
+
+
+@query("argument_checks", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {str(ok).lower()})" for c, ok in _ARGUMENTS) + ") t(argument, allowed)")
+def argument_checks(spark, d):
+    def allowed(argument: str) -> bool:
+        name, _, n = argument.rpartition(" ")
+        one = {"two orders": {"orders": (0, 1)}, "thresholds that fall": {"thresholds": (8, 3, 20)}, "samples over 65535": {"blocks_per_frame": 4000}}
+        try:
+            check_channels(int(n)) if name == "channels" else CodecParams(**one.get(argument, {name: int(n) if n.isdecimal() else 0}))
+        except ValueError:
+            return False
+        return True
+
+    rows = spark.createDataFrame([(c,) for c, _ in _ARGUMENTS], "argument string")
+    return rows.select("argument", F.pandas_udf(lambda s: s.map(allowed), "boolean")("argument").alias("allowed"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,15 @@
 """The ``hydro`` data source: recordings, frame indexes, coded frames and samples as tables.
 
 ``spark.read.format("hydro").option("table", T).load(path)`` with T one of ``recordings,
-frame_index, coded, samples, sud_records``.  Containers are told by content.  Files are read by
-seeking, in partitions of about ``PART_BYTES`` of payload, so a long recording is decoded by many
-tasks and many short ones by one.  The options ``start`` and ``length`` name a sample range, and only frames that it touches
-are read; with the option ``pushdown`` the same follows from filters on ``sample_offset`` and
-``last_idx``.
+frame_index, coded, samples, sud_records, status``.  Containers are told by content.  Files are read
+by seeking, in partitions of about ``PART_BYTES`` of payload, so a long recording is decoded by many
+tasks and many short ones by one.  A file of several partitions is indexed once, when they are
+planned: headers are walked, and each partition carries its first frame's place and sample number, so
+a task reads its own frames only.  The options ``start`` and ``length`` name a sample range, and only
+frames that it touches are read (the index walk ends with the range); with the option ``pushdown`` the
+same follows from filters on ``sample_offset`` and ``last_idx``.  Rows leave a task as Arrow batches.
+
+``status`` has one row a file: ``done``, or ``failed`` with the reason, after every payload was decoded.
 
 ``df.write.format("hydro").option("container", "archive" or "wav").save(path)`` writes one file for
 each ``rec_id`` from rows of ``rec_id, frame_idx, head, frame``; rows must be dealt by ``rec_id`` and
@@ -17,6 +21,7 @@ Paths are of a file system that every executor mounts; for other stores read ``b
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import shutil
@@ -25,9 +30,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark.sql import Column, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from ..functions.params import RECORD_HEADER, FormatError
+from ..functions.params import ARCHIVE_MAGIC, RECORD_HEADER, FormatError
 from . import formats
 
 PART_BYTES = 32 << 20
@@ -39,6 +45,7 @@ SCHEMAS = {
     "frame_index": f"rec_id STRING, {_FRAME}",
     "coded": f"rec_id STRING, {_FRAME}, payload BINARY",
     "samples": f"rec_id STRING, {_FRAME}, pcm ARRAY<SMALLINT>",
+    "status": "rec_id STRING, container STRING, state STRING, message STRING, frames BIGINT",
     "sud_records": "rec_id STRING, record_idx INT, byte_offset BIGINT, payload_length INT, is_metadata BOOLEAN, n_samples INT, text STRING, payload BINARY",
 }
 EXTENSIONS = (".x3a", ".sud", ".wav")
@@ -72,9 +79,13 @@ def frame_values(f: formats.Frame) -> tuple:
 
 @dataclass
 class FilePart:
+    """Frames of a file from a mark on whose payload starts before ``high``; without a mark all, and the
+    recording is opened by the task."""
+
     path: str
-    low: int
-    high: int
+    high: int = 1 << 62
+    rec: formats.Recording | None = None
+    mark: formats.Mark | None = None
 
 
 @dataclass
@@ -98,28 +109,69 @@ def grouped(parts: list[FilePart], sizes: list[int]) -> list[FileGroup]:
     return out
 
 
-def table_rows(name: str, table: str, f, size: int, low: int = 0, high: int = 1 << 62, first: int = 0, end: int = 1 << 62, verify: bool = False) -> Iterator[tuple]:
-    """Rows of a table for one open file: of frames whose payload starts in [low, high) and whose
-    samples touch [first, end)."""
+def table_rows(name: str, table: str, f, size: int, part: FilePart | None = None, first: int = 0, end: int = 1 << 62, verify: bool = False) -> Iterator[tuple]:
+    """Rows of a table for one open file: of a part's frames whose samples touch [first, end).  With
+    ``verify`` the payloads that are read are checked."""
     if table == "sud_records":
         for r in formats.scan_sud(f, size):
             f.seek(r.byte_offset + RECORD_HEADER)
             raw = f.read(r.payload_length)
             yield (name, r.record_idx, r.byte_offset, r.payload_length, r.is_metadata, None if r.is_metadata else r.kind, formats.sud_text(raw) if r.is_metadata else None, raw)
         return
-    rec = formats.open_recording(f, size)
+    if table == "status":
+        yield (name, *file_status(f, size, verify))
+        return
+    part = part or FilePart("")
+    rec = part.rec or formats.open_recording(f, size, totals=table == "recordings")
     if table == "recordings":
         yield (name, rec.container, rec.sample_rate, rec.channels, rec.bit_depth, rec.frames, rec.device_id, rec.block_len, list(rec.rice_orders), rec.xml, rec.status)
         return
-    for fr in formats.frames_of(f, size, rec, verify):
-        if not low <= fr.byte_offset < high or fr.sample_offset >= end or fr.sample_offset + fr.n_samples <= first:
+    for fr in formats.frames_of(f, size, rec, verify and table == "frame_index", part.mark):
+        if fr.byte_offset >= part.high or fr.sample_offset >= end:
+            return
+        if fr.sample_offset + fr.n_samples <= first:
             continue
         if table == "frame_index":
             yield (name, *frame_values(fr))
             continue
         f.seek(fr.byte_offset)
         raw = f.read(fr.chunk_length)
-        yield (name, *frame_values(fr), raw if table == "coded" else formats.decode(raw, fr, rec).ravel().tolist())
+        if verify:
+            formats.checked(fr, raw, rec)
+        yield (name, *frame_values(fr), raw if table == "coded" else formats.decode(raw, fr, rec).ravel())
+
+
+def file_status(f, size: int, verify: bool = False) -> tuple[str | None, str, str | None, int]:
+    """(container, "done" or "failed", reason, samples a channel that were decoded)."""
+    container, total = None, 0
+    try:
+        rec = formats.open_recording(f, size, totals=False)
+        container = rec.container
+        if rec.status != "ok":
+            raise FormatError(f"no recording: {rec.status}")
+        for fr in formats.frames_of(f, size, rec):
+            f.seek(fr.byte_offset)
+            raw = f.read(fr.chunk_length)
+            formats.decode(formats.checked(fr, raw, rec) if verify else raw, fr, rec)
+            total += fr.n_samples
+    except FormatError as e:
+        return container, "failed", str(e), total
+    return container, "done", None, total
+
+
+_ARROW = {"STRING": pa.string(), "INT": pa.int32(), "BIGINT": pa.int64(), "BOOLEAN": pa.bool_(), "BINARY": pa.binary(), "ARRAY<INT>": pa.list_(pa.int32()), "ARRAY<SMALLINT>": pa.list_(pa.int16())}
+
+
+def arrow_schema(table: str) -> pa.Schema:
+    """The Arrow form of a table's schema (made without a session, since tasks have none)."""
+    return pa.schema([(name, _ARROW[kind]) for name, kind in (c.strip().split(" ") for c in SCHEMAS[table].split(","))])
+
+
+def arrow_batches(rows: Iterator[tuple], table: str, most: int = 64) -> Iterator[pa.RecordBatch]:
+    """Rows in Arrow batches; samples stay arrays of 16-bit numbers."""
+    schema = arrow_schema(table)
+    while some := list(itertools.islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*some), schema.types)], names=schema.names)
 
 
 class HydroReader(DataSourceReader):
@@ -136,17 +188,41 @@ class HydroReader(DataSourceReader):
         parts, sizes = [], []
         for p in list_files(self.path):
             size = os.path.getsize(p)
-            step = PART_BYTES if self.table in ("coded", "samples") else max(size, 1)
-            for lo in range(0, max(size, 1), step):
-                parts.append(FilePart(p, lo, lo + step if lo + step < size else 1 << 62))
-                sizes.append(min(step, size - lo))
+            if self.table in ("coded", "samples") and size > PART_BYTES:
+                for part, n in self._split(p, size):
+                    parts.append(part)
+                    sizes.append(n)
+            else:
+                parts.append(FilePart(p))
+                sizes.append(size)
         return grouped(parts, sizes) or [FileGroup([])]
 
+    def _split(self, path: str, size: int) -> Iterator[tuple[FilePart, int]]:
+        """Parts of a long file, from one walk over its headers, which ends with the sample range."""
+        try:
+            with open(path, "rb") as f:
+                rec, at = formats.open_recording(f, size, totals=False), None
+                for fr in formats.frames_of(f, size, rec):
+                    if fr.sample_offset >= self.end:
+                        break
+                    if fr.sample_offset + fr.n_samples > self.first and (at is None or fr.byte_offset >= at.pos + PART_BYTES):
+                        if at:
+                            yield FilePart(path, fr.byte_offset, rec, at), fr.byte_offset - at.pos
+                        at = formats.mark_of(rec, fr)
+                if at:
+                    yield FilePart(path, rec=rec, mark=at), PART_BYTES
+        except FormatError:
+            if not self.permissive:
+                raise
+
     def read(self, group: FileGroup):
+        return arrow_batches(self._rows(group), self.table)
+
+    def _rows(self, group: FileGroup) -> Iterator[tuple]:
         for part in group.parts:
             with open(part.path, "rb") as f:
                 try:
-                    yield from table_rows(rec_id(part.path), self.table, f, os.path.getsize(part.path), part.low, part.high, self.first, self.end, self.verify)
+                    yield from table_rows(rec_id(part.path), self.table, f, os.path.getsize(part.path), part, self.first, self.end, self.verify)
                 except FormatError:
                     if not self.permissive:
                         raise
@@ -239,24 +315,21 @@ class HydroSource(DataSource):
         return HydroWriter(dict(self.options), overwrite)
 
 
+def is_archive(content: Column) -> Column:
+    """Whether bytes begin like an archive; too few bytes do not."""
+    return F.substring(content, 1, len(ARCHIVE_MAGIC)) == F.lit(ARCHIVE_MAGIC)
+
+
 def register(spark) -> None:
     spark.dataSource.register(HydroSource)
 
 
 def binary_table(files, table: str, verify: bool = False):
     """A table over ``path, content`` rows (``binaryFile``), for stores that only Spark reads."""
-    schema = SCHEMAS[table]
 
     def run(batches):
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                rows = list(table_rows(rec_id(path), table, *formats.from_bytes(content), verify=verify))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+                yield from arrow_batches(table_rows(rec_id(path), table, *formats.from_bytes(content), verify=verify), table)
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
-    names, types = arrow.names, arrow.types
-    return files.select("path", "content").mapInArrow(run, schema)
+    return files.select("path", "content").mapInArrow(run, SCHEMAS[table])

@@ -1,5 +1,6 @@
 """Queries beside their SQL, data source behaviour, plans and streams."""
 
+import io
 import os
 import re
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from hydroframe import queries
 from hydroframe.functions import expr, kernel
+from hydroframe.functions.params import CodecParams
 from hydroframe.operators import blocks, frames, index, signals
 from hydroframe.plans import convert
 from hydroframe.sources import datasource, formats
@@ -71,8 +73,72 @@ def test_pushdown_reads_fewer_frames(spark, folder):
 
     reader = datasource.PushingReader({"path": folder[0], "table": "samples"})
     assert len(list(reader.pushFilters([GreaterThanOrEqual(("last_idx",), 15000), LessThan(("sample_offset",), 16000)]))) == 2
-    rows = [r for p in reader.partitions() for r in reader.read(p)]
-    assert {(r[0], r[1]) for r in rows} == {("one", 1), ("three", 1)}
+    rows = [(r["rec_id"], r["frame_idx"]) for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert set(rows) == {("one", 1), ("three", 1)}
+
+
+def test_long_file_is_indexed_once(tmp_path, monkeypatch):
+    """Partitions of a long file carry their place; a window reads its frames and headers only."""
+    x, data = archive(400_000)
+    _, sud = sud_file(chunks=((0, 300), (300, 1000)) * 40)
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "long.x3a").write_bytes(data)
+    read = {"bytes": 0}
+
+    class Counting(io.FileIO):
+        def read(self, n=-1):
+            out = super().read(n)
+            read["bytes"] += len(out)
+            return out
+
+    monkeypatch.setattr(datasource, "open", lambda path, mode: Counting(path), raising=False)
+    monkeypatch.setattr(datasource, "PART_BYTES", 60_000)
+
+    def rows(path, **options):
+        reader = datasource.HydroReader({"path": str(path), **options})
+        read["bytes"] = 0
+        groups = reader.partitions()
+        planned, read["bytes"] = read["bytes"], 0
+        got = [r for g in groups for b in reader.read(g) for r in b.to_pylist()]
+        return groups, planned, got
+
+    groups, planned, got = rows(tmp_path / "a", table="samples", verify_payload_crc="true")
+    assert sum(len(g.parts) for g in groups) > 5 and planned < len(data) / 100
+    assert np.array_equal(np.concatenate([r["pcm"] for r in got]), x.ravel()) and read["bytes"] < len(data) * 1.01 + 20_000
+    _, planned, got = rows(tmp_path / "a", table="samples", start="150000", length="5000", verify_payload_crc="true")
+    assert [r["frame_idx"] for r in got] == [15] and np.array_equal(got[0]["pcm"], x[150_000:160_000].ravel())
+    assert planned + read["bytes"] < len(data) / 20
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "rec.sud").write_bytes(sud)
+    monkeypatch.setattr(datasource, "PART_BYTES", 3000)
+    groups, _, got = rows(tmp_path / "b", table="frame_index")
+    one = [(r["frame_idx"], r["sample_offset"], r["byte_offset"]) for r in got]
+    groups, _, got = rows(tmp_path / "b", table="coded")
+    assert sum(len(g.parts) for g in groups) > 5 and [(r["frame_idx"], r["sample_offset"], r["byte_offset"]) for r in got] == one
+
+
+def test_status_and_progress(spark, folder, tmp_path):
+    path, _, _ = folder
+    status = convert.read(spark, path, "status")
+    assert {(r.rec_id, r.container, r.state, r.frames) for r in status.collect()} == {("one", "archive", "done", 25000), ("two", "sud", "done", 1000), ("three", "wav", "done", 30000)}
+    (tmp_path / "x.sud").write_bytes(bytes(100))
+    watched, seen = convert.observed(convert.read(spark, str(tmp_path), "status"))
+    assert [r.message for r in watched.collect()] == ["no recording: no_sync"] and seen.get == {"completed": 1, "failed": 1}
+    sizes = spark.createDataFrame([("two", 500, 2.0), ("one", 400, 0.0)], "rec_id string, file_bytes long, seconds double")
+    report = convert.file_report(convert.read(spark, path, "recordings"), sizes).collect()
+    assert [r.rec_id for r in report] == ["one", "two"] and report[0].mib_per_s is None and report[1].mib_per_s == 2044 / (1 << 20) / 2
+
+
+def test_conversion_with_other_frames_and_rates(spark, tmp_path):
+    x = np.arange(-9000, 9000, dtype=np.int16)
+    (tmp_path / "m.wav").write_bytes(formats.wav_header(8000, 1, 18_000) + x.astype("<i2").tobytes())
+    (tmp_path / "s.wav").write_bytes(formats.wav_header(96000, 2, 9_000) + x.astype("<i2").tobytes())
+    for p in (CodecParams(), CodecParams(blocks_per_frame=37)):
+        out = tmp_path / f"out{p.blocks_per_frame}"
+        convert.wav_to_archive(spark, str(tmp_path / "m.wav"), str(out), p)
+        convert.wav_to_archive(spark, str(tmp_path / "s.wav"), str(out), p)
+        assert (out / "m.x3a").read_bytes() == formats.encode_archive(x[:, None], 8000, p)
+        assert (out / "s.x3a").read_bytes() == formats.encode_archive(x.reshape(-1, 2), 96000, p)
 
 
 def test_permissive_and_failfast(spark, tmp_path):

@@ -61,9 +61,11 @@ def _settled(links: DataFrame) -> DataFrame:
     return links.coalesce(1).mapInArrow(settle, "l long, p long")
 
 
-def components(links: DataFrame, store: Store, small: int = SMALL) -> DataFrame:
-    """``node, comp`` (the smallest node of its component) from ``a, b`` (long) links."""
-    live, label = store.write(links.where("a <> b").select("a", "b")), None
+def components(links: DataFrame, store: Store, small: int = SMALL, written: bool = False) -> DataFrame:
+    """``node, comp`` (the smallest node of its component) from ``a, b`` (long) links; ``written`` says
+    that they come from a written table and need no copy."""
+    live, label = links.where("a <> b").select("a", "b"), None
+    live = live if written else store.write(live)
     while n := live.count():
         if n <= small:
             hook = store.write(_settled(live))

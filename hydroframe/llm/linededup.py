@@ -336,7 +336,7 @@ def decisions(documents: DataFrame, hot: int = HOT) -> DataFrame:
 
     firsts = places.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(place, "node long, check long, doc long, tx long, line int")
     firsts = store.write(firsts.withColumn("id", F.monotonically_increasing_id()))
-    lists = store.write(firsts.groupBy("doc", "tx").agg(F.collect_list("line").alias("lines")))
+    asking = firsts.groupBy(F.col("doc").alias("doc_id"), "tx").agg(F.collect_list("line").alias("lines"))
 
     def sets(batches):
         for b in batches:
@@ -354,8 +354,7 @@ def decisions(documents: DataFrame, hot: int = HOT) -> DataFrame:
                             out["elements"].append(tk[first[k] : last[k]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if c == "elements" else pa.int64()) for c, v in out.items()], list(out))
 
-    asking = lists.withColumnRenamed("doc", "doc_id")
-    held = only(slim, lists.select("doc").distinct()).join(asking, ["doc_id", "tx"]).select("text", "lines").mapInArrow(sets, "node long, check long, elements binary")
+    held = only(slim, firsts.select("doc").distinct()).join(asking, ["doc_id", "tx"]).select("text", "lines").mapInArrow(sets, "node long, check long, elements binary")
     held = held.dropDuplicates(["node", "check"]).join(firsts, ["node", "check"]).select(F.col("id").alias("node"), "elements", "doc", "tx", "line")
     labels = firsts.join(coarse, "node").select(F.col("id").alias("node"), "comp")
     linked = verified_links(held, labels, store, groups=buckets).groupBy("node").agg(F.sum("links").alias("links"), F.min(F.struct("doc", "tx", "line")).alias("first"))
@@ -387,7 +386,7 @@ def decisions(documents: DataFrame, hot: int = HOT) -> DataFrame:
     rows = rows.unionByName(counted.where("bucket = -1").mapInArrow(local, "doc long, tx long, line int, n long"))
     out = rows.groupBy("doc", "tx").agg(F.array_sort(F.collect_set(F.when(F.col("line") >= 0, F.col("line")))).alias("gone"), F.sum("n").alias("n_links"))
     out = store.write(out.select(F.col("doc").alias("doc_id"), "tx", "gone", "n_links"))
-    store.drop(counted, coarse, firsts, lists, linked)
+    store.drop(counted, coarse, firsts, linked)
     return out
 
 
@@ -452,3 +451,23 @@ def dedup_lines(documents: DataFrame, drop_emptied: bool = True) -> DataFrame:
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     return line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same join with word counts as rarity and no filter but prefix and length; for small tables.
+SQL = """
+WITH l AS (SELECT doc_id, i, lines[i] AS t FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+w AS (SELECT doc_id, doc_id * 1000000 + i AS pos, list_sort(list_distinct(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'))) AS ws FROM l),
+p AS (SELECT doc_id, pos, ws, min(pos) OVER (PARTITION BY ws) AS sid FROM w WHERE len(ws) > 0),
+t AS (SELECT sid, len(ws) AS n, unnest(ws) AS word FROM p WHERE pos = sid),
+f AS (SELECT word, count(*) AS df FROM t GROUP BY word),
+o AS (SELECT sid, n, t.word, row_number() OVER (PARTITION BY sid ORDER BY df, t.word) AS rk FROM t JOIN f ON t.word = f.word),
+x AS (SELECT * FROM o WHERE rk <= n - (4 * n + 4) // 5 + 1),
+c AS (SELECT DISTINCT a.sid AS a, z.sid AS z, a.n + z.n AS n FROM x a JOIN x z ON a.word = z.word AND a.sid < z.sid AND 5 * least(a.n, z.n) >= 4 * greatest(a.n, z.n)),
+k AS (SELECT a, z FROM c JOIN t ta ON ta.sid = a JOIN t tz ON tz.sid = z AND tz.word = ta.word GROUP BY a, z, c.n HAVING 9 * count(*) >= 4 * c.n),
+e AS (SELECT a AS sid, count(*) AS links, false AS later FROM k GROUP BY a UNION ALL SELECT z, count(*), true FROM k GROUP BY z),
+q AS (SELECT sid, sum(links) AS links, bool_or(later) AS later FROM e GROUP BY sid),
+g AS (SELECT p.doc_id, count(*) FILTER (p.pos <> p.sid OR coalesce(q.later, false)) AS n_removed, sum(CASE WHEN p.pos = p.sid THEN coalesce(q.links, 0) ELSE 0 END) AS n_links FROM p LEFT JOIN q ON p.sid = q.sid GROUP BY p.doc_id),
+d AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS class_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) END AS n_lines FROM documents)
+SELECT d.doc_id, d.class_id, CAST(d.n_lines AS BIGINT) AS n_lines, CAST(coalesce(g.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(g.n_links, 0) AS BIGINT) AS n_links
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""

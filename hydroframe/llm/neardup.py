@@ -200,7 +200,7 @@ def near_duplicates(documents: DataFrame, num: int = 4, den: int = 5) -> DataFra
     held = only(slim, picked.select("doc").distinct()).mapInArrow(sets, "node long, check long, elements binary").dropDuplicates(["node", "check"])
     held = held.join(picked, ["node", "check"]).select(F.col("id").alias("node"), "elements", "doc", F.lit(0).cast("long").alias("tx"), F.lit(0).alias("line"))
     found = store.write(verified_links(held, picked.select(F.col("id").alias("node"), "comp"), store, num, den, groups=buckets))
-    groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), store)
+    groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), store, written=True)
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
     grouped = firsts.join(groups, firsts.id == groups.node).select("id", "doc", "comp")
     of_node = grouped.join(grouped.groupBy("comp").agg(F.min("doc").alias("class")), "comp").join(degree, F.col("id") == degree.node).select("id", "class", "links")
@@ -219,3 +219,21 @@ def deduplicate(documents: DataFrame) -> DataFrame:
 
 def op1_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: All pairs that share a shingle, then components; for small tables.
+SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+s AS (SELECT doc_id, array_to_string(w[i:i + k - 1], ' ') AS sh FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT *, least(5, len(w)) AS k FROM d WHERE len(w) > 0))),
+b AS (SELECT doc_id, sh, count(*) AS c FROM s GROUP BY ALL),
+n AS (SELECT doc_id, md5(string_agg(sh || ':' || c, '|' ORDER BY sh)) AS node, CAST(sum(c) AS BIGINT) AS n_words FROM b GROUP BY doc_id),
+r AS (SELECT node, min(doc_id) AS rep, min(n_words) AS t FROM n GROUP BY node),
+x AS (SELECT rep, t, sh, c FROM b JOIN r ON doc_id = rep),
+l AS (SELECT a.rep AS a, z.rep AS z FROM x a JOIN x z ON a.sh = z.sh AND a.rep < z.rep GROUP BY a.rep, z.rep, a.t, z.t HAVING 9 * sum(least(a.c, z.c)) >= 4 * (a.t + z.t)),
+e AS (SELECT a, z FROM l UNION ALL SELECT z, a FROM l),
+reach(rep, c) AS (SELECT rep, rep FROM r UNION SELECT e.z, reach.c FROM reach JOIN e ON e.a = reach.rep WHERE reach.c < e.z),
+g AS (SELECT rep, min(c) AS class_id FROM reach GROUP BY rep),
+k AS (SELECT a AS rep, count(*) AS links FROM e GROUP BY a)
+SELECT d.doc_id, coalesce(g.class_id, d.doc_id) AS class_id, coalesce(n.n_words, 0) AS n_words, CAST(coalesce(k.links, 0) AS BIGINT) AS n_links
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN r ON n.node = r.node LEFT JOIN g ON r.rep = g.rep LEFT JOIN k ON r.rep = k.rep
+"""

@@ -21,4 +21,12 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.SQL, "op8_url_filters": urlfilter.SQL, "op9_chat_formatting": chat.SQL, "op10_decontamination": decontaminate.SQL}
+    return {
+        "op1_near_duplicates": neardup.SQL,
+        "op2_mixing": mixing.SQL,
+        "op4_suffix_dedup": suffixdedup.SQL,
+        "op6_line_dedup": linededup.SQL,
+        "op8_url_filters": urlfilter.SQL,
+        "op9_chat_formatting": chat.SQL,
+        "op10_decontamination": decontaminate.SQL,
+    }

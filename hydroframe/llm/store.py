@@ -23,6 +23,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_ROOTS: list[str] = []
+
+
+def sweep(spark: SparkSession, since: int, keep: Store) -> int:
+    """Deletes the tables of all stores made after the first ``since`` ones, but for ``keep``'s; returns
+    the number of stores to pass next time."""
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    for root in _ROOTS[since:]:
+        if root != keep.root:
+            path(root).getFileSystem(conf).delete(path(root), True)
+    return len(_ROOTS)
+
+
 class Store:
     """Writes intermediate tables as Parquet and removes those no longer read."""
 
@@ -30,6 +43,7 @@ class Store:
         self.spark = spark
         text_batches(spark)
         self.root = f"{shared_dir(spark)}/hydroframe-{uuid.uuid4().hex}"
+        _ROOTS.append(self.root)
         self.made = 0
         self.shared: list = []
 

@@ -349,3 +349,19 @@ def suffix_dedup(documents: DataFrame) -> DataFrame:
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+
+
+#: Every window of every text, grouped by its bytes; for small tables.
+SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, {2 * LENGTH})) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS p FROM d)),
+m AS (SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+i AS (SELECT doc_id, min(p) AS a, max(p) + {LENGTH} AS z FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (SELECT doc_id, p, CASE WHEN p > lag(p, 1, -1000) OVER (PARTITION BY doc_id ORDER BY p) + {LENGTH} THEN 1 ELSE 0 END AS new FROM m)) GROUP BY doc_id, g),
+k AS (SELECT d.doc_id, substr(h, CAST(1 + 2 * from_ AS BIGINT), CAST(2 * (to_ - from_) AS BIGINT)) AS piece, from_ FROM d JOIN (
+  SELECT doc_id, z AS from_, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS to_ FROM (SELECT doc_id, a, z FROM i UNION ALL SELECT DISTINCT doc_id, -1, 0 FROM i)) r ON d.doc_id = r.doc_id WHERE to_ IS NOT NULL
+  UNION ALL SELECT d.doc_id, substr(h, CAST(1 + 2 * t.z AS BIGINT)), t.z FROM d JOIN (SELECT doc_id, max(z) AS z FROM i GROUP BY doc_id) t ON d.doc_id = t.doc_id),
+j AS (SELECT doc_id, string_agg(piece, '' ORDER BY from_) AS kept FROM k GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed FROM i GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN j ON d.doc_id = j.doc_id
+"""

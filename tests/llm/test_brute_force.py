@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -472,9 +473,13 @@ def test_pipeline(spark, tmp_path, docs):
         t.write.parquet(f"{tmp_path}/{name}.parquet")
     at, store = spark.read.parquet(f"{tmp_path}/documents.parquet"), Store(spark)
     state = [(r[0], r[1]) for r in rows]
+    grammar = toxicity.learn(at, spark.read.parquet(f"{tmp_path}/labels.parquet").where(~toxicity.held_out()))
     for name, stage in corpus_pipeline.STAGES:
-        at = store.write(stage(spark, at, str(tmp_path)))
-        if name == "line_dedup":
+        before, at = at, store.write(stage(spark, at, str(tmp_path)))
+        if name == "toxicity":
+            plain = lambda t: grammar.bias + sum(grammar.weights.get(k, 0) * x for k, x in toxicity.features(plain_outputs(t, grammar.stems, grammar.weak, grammar.lexicon)).items())
+            assert {i for i, t in [*state, *((r[0], r[1]) for r in toxic)] if plain(t) < 0} == {i for i, _ in state}
+        elif name == "line_dedup":
             gone, _ = brute_lines(state)
             state = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])) for i, t in state]
             state = [(i, t) for i, t in state if not gone[i] or words(t)]
@@ -484,7 +489,10 @@ def test_pipeline(spark, tmp_path, docs):
         elif name == "decontamination":
             state = [(i, t) for i, t in state if not brute_hits(t, items)[1]]
         if name == "mixing":
-            assert {r.doc_id for r in at.collect()} <= {i for i, _ in state}
+            con = duckdb.connect()
+            con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{before._hydroframe_path.removeprefix('file:')}/*.parquet')")
+            want = con.execute(f"SELECT doc_id, domain, lang, source, n_tokens, copies FROM ({mixing.SQL})").fetchall()
+            assert sorted(want) == sorted((r.doc_id, r.domain, r.lang, r.source, r.n_tokens, r.copies) for r in at.collect()) and want
         else:
             assert at.columns == df.columns
             assert {(r.doc_id, r.text) for r in at.collect()} == set(state), name

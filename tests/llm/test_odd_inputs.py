@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from hydroframe.llm import ann, chat, decontaminate, langid, linededup, mixing, neardup, suffixdedup, toxicity, urlfilter
+from hydroframe.llm.store import Store
 
 
 def rows_of(df):
@@ -223,3 +224,26 @@ def test_one_id_with_several_texts(spark):
     df = spark.createDataFrame([(1, a), (5, a + "\n" + b), (5, c)], "doc_id long, text string")
     assert sorted(r.text for r in linededup.dedup_lines(df).collect()) == sorted([a, b, c])
     assert sorted((r.doc_id, r.n_lines, r.n_removed) for r in linededup.line_report(df).collect()) == [(1, 3, 0), (5, 3, 0), (5, 6, 3)]
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path, odd_docs, no_docs, bench):
+    import corpus_pipeline
+
+    df, rows = odd_docs
+    labels = spark.createDataFrame([(7, 1, 0), (None, 0, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", df), ("empty", no_docs)):
+        for table, t in (("documents", docs), ("labels", labels if name == "odd" else labels.limit(0)), ("benchmark", bench if name == "odd" else bench.limit(0))):
+            t.write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        at = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for stage, run in corpus_pipeline.STAGES[:-1]:
+            out = run(spark, at, f"{tmp_path}/{name}")
+            assert out.columns == docs.columns, stage
+            kept = Store(spark).write(out)
+            assert kept.count() == {"empty": 0}.get(name, kept.count()) and kept.subtract(at).where("text is null or text not like '%one two%'").count() == 0, stage
+            at = kept
+        left = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        ids = {r["doc_id"] for r in rows_of(left)}
+        assert {"domain", "n_tokens", "copies"} <= set(left.columns)
+        # 6 repeats 5, 7 and one row without an id hold benchmark passages, 1 to 3 have no token.
+        assert ids <= {4, 5, 8, 9, -3, None} and (name == "empty") == (not ids)
+        assert {r["doc_id"] for r in rows_of(at)} >= ({1, 2, 3, 4, 5, 8, 9, -3} if name == "odd" else set())

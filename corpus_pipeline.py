@@ -3,7 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of ``documents``;
 the last one adds ``domain``, ``n_tokens`` and ``copies``.  Between stages the documents are
 written as Parquet and read again, so a stage's decisions are what the next one sees, and a lost
-executor costs at most the stage it was in.
+executor costs at most the stage it was in.  ``run`` deletes a stage's tables once the next stage's
+documents are written.
+
+Defined cases: rows without a doc_id are judged by their text, lose no lines and stay unless toxic,
+contaminated or without a token; null, empty and blank texts pass every stage but the last, which never
+selects a document without a token; rows that repeat a doc_id with the same text are decided alike, and
+near-dedup keeps or drops all rows of an id; very long texts are judged whole; an empty table gives an
+empty result; extra columns are kept as they are (in the last stage ``domain``, ``n_tokens`` and
+``copies`` are replaced).
 """
 
 from __future__ import annotations
@@ -11,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hydroframe.llm import decontaminate, linededup, mixing, neardup, toxicity
-from hydroframe.llm.store import Store
+from hydroframe.llm.store import Store, sweep
 
 TOXIC_FROM = 0.5
 
@@ -56,9 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, store = spark.read.parquet(f"{sf_dir}/documents.parquet"), Store(spark)
+    docs, store, made = spark.read.parquet(f"{sf_dir}/documents.parquet"), Store(spark), []
+    since = sweep(spark, 1 << 62, store)
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = store.write(docs)
+            store.drop(*made)
+            since, made = sweep(spark, since, store), [docs]
     return docs

@@ -405,9 +405,11 @@ def line_report(documents: DataFrame) -> DataFrame:
         F.when(text == "", 0).otherwise(F.regexp_count(text, F.lit("\n")) + 1).cast("long").alias("n_lines"),
     )
     named, zero = rows.where("doc_id is not null"), F.lit(0).cast("long")
-    first = named.groupBy("same").agg(F.min("doc_id").alias("class_id"))
-    out = named.join(first, "same").join(found, ["doc_id", "tx"], "left")
-    out = out.select("doc_id", "class_id", "n_lines", F.coalesce(F.size("gone"), zero).cast("long").alias("n_removed"), F.coalesce("n_links", zero).cast("long").alias("n_links"))
+    # Only texts that stand twice; written, so that the rows of one text can be split among tasks.
+    first = named.groupBy("same").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).where("n > 1").select("same", "class_id")
+    first = Store(documents.sparkSession).write(first)
+    out = named.join(sized(first, first.count()), "same", "left").join(found, ["doc_id", "tx"], "left")
+    out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_lines", F.coalesce(F.size("gone"), zero).cast("long").alias("n_removed"), F.coalesce("n_links", zero).cast("long").alias("n_links"))
     nameless = rows.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), "n_lines", zero.alias("n_removed"), zero.alias("n_links"))
     return out.unionByName(nameless)
 

@@ -12,7 +12,7 @@ Words are 64-bit hashes where two lines are compared, and a word set is known by
 (``node`` from the first, ``check`` from a second hash of each word); each distinct set in a
 candidate group gets a number of its own before links are verified.
 
-Rarity comes from word counts over all documents in a table of 2**``SKETCH_BITS`` hashed counters,
+Rarity comes from word counts over all documents in a table of hashed counters (``sketch``),
 kept as logarithmic classes: a fixed size at any scale.  Any order gives exact results; the counters
 only shorten the lists.  A counter of 1 proves that a word stands in one line only, and its row is
 dropped.  The prefix rows of each cell are then counted too; lines of a cell with more than ``HOT``
@@ -32,25 +32,19 @@ place in the order, lose nothing and remove nothing; extra columns are kept as t
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import bytesops as B
+from . import bytesops as B, sketch
 from .graph import BLOBS, blob_batch, by_bucket, components, label_min, only, pack, sized, unpack, verified_links
 from .store import Store, buckets_for
 
-SKETCH_BITS, RANGES = 23, 64
 HOT = 50_000
-_STEPS = 6  # classes for each doubling of a count
 _LINES = 1 << 13
-_CELL_SHIFT = np.uint64(64 - SKETCH_BITS)
-_WIDTH = (1 << SKETCH_BITS) // RANGES
 _PLACE = np.dtype([("node", "<i8"), ("check", "<i8"), ("doc", "<i8"), ("tx", "<i8"), ("line", "<i4")])
 _GONE = np.dtype([("doc", "<i8"), ("tx", "<i8"), ("line", "<i4")])
-_CELL = np.dtype([("cell", "<u4"), ("n", "<u4")])
 _ENTRY = np.dtype([("token", "<u8"), ("node", "<i8"), ("bits0", "<u8"), ("bits1", "<u8"), ("bits2", "<u8"), ("size", "<i4"), ("pos", "<i4")])
 
 
@@ -68,20 +62,6 @@ def line_words(buf: np.ndarray, offs: np.ndarray):
     return np.searchsorted(breaks, start) + word_doc, h, h2, line_doc, line_no
 
 
-def rarity(counts: np.ndarray) -> np.ndarray:
-    """Counts in logarithmic classes; class 0 is a count of at most one."""
-    return np.minimum(255, np.floor(_STEPS * np.log2(np.maximum(counts, 1.0)))).astype(np.uint8)
-
-
-def at_most(classes: np.ndarray) -> np.ndarray:
-    """The largest count of each class."""
-    return 2.0 ** ((classes.astype(np.float64) + 1) / _STEPS)
-
-
-def cells(token: np.ndarray) -> np.ndarray:
-    return (token >> _CELL_SHIFT).astype(np.uint32)
-
-
 def line_sets(line: np.ndarray, token: np.ndarray, second: np.ndarray, classes: np.ndarray | None):
     """(line, class, token, second hash) of the distinct words of each line, rarest first, in pieces of lines."""
     if not len(line):
@@ -93,7 +73,7 @@ def line_sets(line: np.ndarray, token: np.ndarray, second: np.ndarray, classes:
         t = token[s:e]
         group = (line[s:e] - lo) << 8
         if classes is not None:
-            group = group | classes[cells(t)]
+            group = group | classes[sketch.cells(t)]
         order = B.ordered(group, t, 21)
         group, t = group[order], t[order]
         new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (group[1:] != group[:-1])])
@@ -134,35 +114,28 @@ def _scan(batches, piece):
         yield b
 
 
-def _cell_rows(tokens: list[np.ndarray]) -> list[tuple[int, bytes]]:
-    """Counted cells, packed by range."""
-    cell, n = np.unique(np.concatenate([np.zeros(0, np.uint32), *tokens]), return_counts=True)
-    found = np.rec.fromarrays([cell, n.astype(np.uint32)], dtype=_CELL)
-    return pack((found["cell"] // np.uint32(_WIDTH)).astype(np.int64), found)
-
-
 def _count_pass(documents: DataFrame, buckets: int) -> DataFrame:
-    """Blobs: word counters (buckets below RANGES), each task's first positions of word sets
-    (from RANGES on) and positions that an earlier one in the same task settles (-1)."""
+    """Blobs: word counters (buckets below sketch.RANGES), each task's first positions of word sets
+    (from there on) and positions that an earlier one in the same task settles (-1)."""
 
     def run(batches):
         tokens, places = [], []
 
         def piece(ids, tx, line, token, second, line_doc, line_no):
-            tokens.append(cells(token))
+            tokens.append(sketch.cells(token))
             for ln, _, tk, t2 in line_sets(line, token, second, None):
                 which, _, node, check = set_ids(ln, tk, t2)
                 places.append(np.rec.fromarrays([node, check, ids[line_doc[which]], tx[line_doc[which]], line_no[which].astype(np.int32)], dtype=_PLACE))
 
         def flush():
-            rows = _cell_rows(tokens)
+            rows = sketch.cell_rows(tokens)
             p, first = in_order(np.concatenate([np.zeros(0, _PLACE), *places]))
             gone = p[later_than_first(p, first)]
             gone = np.rec.fromarrays([gone[c] for c in _GONE.names], dtype=_GONE)
             tokens.clear()
             places.clear()
             p = p[first]
-            return blob_batch([*rows, *((RANGES + k, x) for k, x in pack(p["node"] % buckets, p)), (-1, gone.tobytes())])
+            return blob_batch([*rows, *((sketch.RANGES + k, x) for k, x in pack(p["node"] % buckets, p)), (-1, gone.tobytes())])
 
         for _ in _scan(batches, piece):
             if sum(map(len, tokens)) > 1 << 23:
@@ -172,27 +145,6 @@ def _count_pass(documents: DataFrame, buckets: int) -> DataFrame:
     return documents.mapInArrow(run, BLOBS)
 
 
-def _classes(blobs: DataFrame, least: int = 0) -> list[tuple[int, bytes]]:
-    """Classes of the counters of all documents (those of at least ``least``; 0 for the others), packed
-    by range: at most 2**SKETCH_BITS bytes on the driver at any scale."""
-
-    def add(table: pa.Table) -> pa.Table:
-        c, k = unpack(table, _CELL), table["bucket"][0].as_py()
-        total = np.bincount(c["cell"].astype(np.int64) - k * _WIDTH, weights=c["n"], minlength=_WIDTH)
-        blob = zlib.compress(np.where(total >= least, rarity(total), 0).astype(np.uint8).tobytes(), 1)
-        return pa.table({"bucket": pa.array([k], pa.int32()), "blob": pa.array([blob], pa.binary())})
-
-    rows = by_bucket(blobs.where(f"bucket between 0 and {RANGES - 1}"), add, BLOBS)
-    return [(r.bucket, bytes(r.blob)) for r in rows.toLocalIterator()]
-
-
-def class_table(packed: list[tuple[int, bytes]]) -> np.ndarray:
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for k, blob in packed:
-        out[k * _WIDTH : (k + 1) * _WIDTH] = np.frombuffer(zlib.decompress(blob), np.uint8)
-    return out
-
-
 def prefix_rows(line, token, second, classes: np.ndarray):
     """(word set's first row, its words, its node; rows of the prefix words) of each piece of lines."""
     for ln, cls, tk, t2 in line_sets(line, token, second, classes):
@@ -222,7 +174,7 @@ def prefix_entries(line, token, second, classes: np.ndarray) -> list[np.ndarray]
 def spread(e: np.ndarray, heavy: np.ndarray, hot: int = HOT) -> np.ndarray:
     """Index rows by the key at which they meet: the word, or for a hot word each pair of blocks that
     the line's block takes part in.  ``heavy``: classes of the cells' prefix rows."""
-    n = np.maximum(1, np.ceil(at_most(heavy[cells(e["token"])]) / hot)).astype(np.int64)
+    n = np.maximum(1, np.ceil(sketch.at_most(heavy[sketch.cells(e["token"])]) / hot)).astype(np.int64)
     if len(e) and n.max() > 1:
         other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         e, blocks = np.repeat(e, n), np.repeat(n, n)
@@ -265,16 +217,16 @@ def _heavy(slim: DataFrame, shared) -> DataFrame:
     """Blobs of the cells' prefix rows."""
 
     def run(batches):
-        classes, tokens = class_table(shared.value), []
+        classes, tokens = sketch.table(shared.value), []
 
         def piece(ids, tx, line, token, second, *_):
-            tokens.extend(cells(tk[take]) for tk, _, _, _, _, take in prefix_rows(line, token, second, classes))
+            tokens.extend(sketch.cells(tk[take]) for tk, _, _, _, _, take in prefix_rows(line, token, second, classes))
 
         for _ in _scan(batches, piece):
             if sum(map(len, tokens)) > 1 << 23:
-                yield blob_batch(_cell_rows(tokens))
+                yield blob_batch(sketch.cell_rows(tokens))
                 tokens.clear()
-        yield blob_batch(_cell_rows(tokens))
+        yield blob_batch(sketch.cell_rows(tokens))
 
     return slim.mapInArrow(run, BLOBS)
 
@@ -298,14 +250,14 @@ def decisions(documents: DataFrame, hot: int = HOT) -> DataFrame:
     slim = _slim(documents)
     buckets = buckets_for(slim)
     counted = store.write(_count_pass(slim, buckets))
-    packed = _classes(counted)
+    packed, _ = sketch.classes(counted)
     shared = store.share(packed)
     # Without a word of more than ``hot`` occurrences no cell can have that many prefix rows.
-    many = any(at_most(np.frombuffer(zlib.decompress(x), np.uint8)).max() > hot for _, x in packed)
-    heavy = store.share(_classes(_heavy(slim, shared), hot) if many else [])
+    many = sketch.at_most(sketch.table(packed).max()) > hot
+    heavy = store.share(sketch.classes(_heavy(slim, shared), hot)[0] if many else [])
 
     def index(batches):
-        classes, weight, rows = class_table(shared.value), class_table(heavy.value), []
+        classes, weight, rows = sketch.table(shared.value), sketch.table(heavy.value), []
 
         def piece(ids, tx, line, token, second, *_):
             rows.extend(prefix_entries(line, token, second, classes))
@@ -326,7 +278,7 @@ def decisions(documents: DataFrame, hot: int = HOT) -> DataFrame:
 
     coarse = components(by_bucket(slim.mapInArrow(index, BLOBS), meet, "a long, b long"), store)
     store.release()
-    places = counted.where(f"bucket >= {RANGES}").withColumn("bucket", F.col("bucket") - RANGES)
+    places = counted.where(f"bucket >= {sketch.RANGES}").withColumn("bucket", F.col("bucket") - sketch.RANGES)
     asked = coarse.select(F.pmod("node", F.lit(buckets)).cast("int").alias("bucket"), "node")
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -5,19 +5,22 @@ earlier in the same document) is marked.  To let equal strings meet, each ``LENG
 owned by its anchor: its 16 bytes of the smallest hash (the leftmost, if tied).  Equal windows have
 equal anchors.  Neighbouring windows of one anchor form a segment.
 
-1. Segments meet by anchor.  Equal ones (by the anchor's 64 and the content's 96 bits of hashes) are
+1. Anchors are counted.  Segments of an anchor that stands at very many places are cut further, into
+   at most 8 windows whose anchor lies at neighbouring places; the 93 bytes that those share, with
+   that place, are the anchor of the part.  So no anchor's strings pile up in one task.
+2. Segments meet by anchor.  Equal ones (by the anchor's 64 and the content's 96 bits of hashes) are
    collapsed to the earliest and a list of the other positions; copies within a task do not leave it.
-2. Where an anchor stands at several positions, each distinct segment is cut out of its document
+3. Where an anchor stands at several positions, each distinct segment is cut out of its document
    once.  Each task builds run-length indexes (run-compressed Burrows-Wheeler transform with sampled
    run ends) over those strings, streams their matching statistics, and gets for every window the
    earliest position among all strings.  A window is marked at each position of its string, copies
    included, that is not that earliest one.
-3. Marks are merged by document and the remaining bytes are hashed or returned.
+4. Marks are merged by document and the remaining bytes are hashed or returned.
 
 The result is exact: an anchor depends on its window's bytes only, so no pair of equal windows is
 missed, and nothing is sampled.
 
-Scale: texts are read three times; of the texts only distinct strings of repeated anchors are
+Scale: texts are read four times; of the texts only distinct strings of repeated anchors are
 shuffled.  Segment rows are 41 bytes for each 38 bytes of text, packed into blobs.  An exact copy
 group sends one row a task and segment, whatever its size.
 
@@ -37,12 +40,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import bytesops as B
+from . import bytesops as B, sketch
 from .graph import BLOBS, blob_batch, by_bucket, only, pack, sized, unpack
 from .rindex import RunLengthIndex
 from .store import Store, buckets_for
 
 LENGTH, GRAM = 100, 16
+#: Windows of a part of a hot anchor's segment; an anchor is hot with more segments than HOT, and more
+#: than four times the mean of the cells.
+PART, HOT = 8, 20_000
 INDEX_BYTES = 1 << 19
 _POSITION = np.uint64((1 << 24) - 1)
 _PIECE = 1 << 22
@@ -60,13 +66,12 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-def segments(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(anchor hash, content hash, more of it, document row, first window, windows) of a slice."""
+def anchored(buf: np.ndarray, eight: np.ndarray, offs: np.ndarray, length: int = LENGTH):
+    """(anchor hash, anchor position, document row, first window, last window) of the segments of a slice."""
     n = len(buf)
     if n < length:
         z = np.zeros(0, np.int64)
-        return z.view(np.uint64), z.view(np.uint64), z.view(np.uint64), z, z, z
-    eight = B.eights(buf)
+        return z.view(np.uint64), z, z, z, z
     at = np.arange(n - GRAM + 1)
     gram = B.splitmix(eight[: n - GRAM + 1] ^ B.splitmix(eight[8 : n - GRAM + 9] * B.PRIME + B.PRIME))
     owner = (sliding_min((gram & ~_POSITION) | at.astype(np.uint64), length - GRAM + 1) & _POSITION).astype(np.int64)
@@ -75,10 +80,35 @@ def segments(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[n
     change = (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(inside & np.r_[True, change])
     last = np.flatnonzero(inside & np.r_[change | ~inside[1:], True])
+    return gram[owner[first]], owner[first], doc[first], first, last
+
+
+def parted(buf, eight, anchor, owner, doc, first, last, length: int = LENGTH):
+    """Segments cut into parts of PART neighbouring places of the anchor, each with an anchor of its own."""
+    low, high = (owner - last) // PART, (owner - first) // PART
+    n = high - low + 1
+    of = np.repeat(np.arange(len(n)), n)
+    block = low[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    begin = owner[of] - block * PART  # what all windows with the anchor at these places hold
+    common, _ = B.span_hashes(eight, buf, begin, begin + length - PART + 1, False)
+    own = B.splitmix(common ^ B.splitmix(anchor[of] + block.astype(np.uint64)))
+    return own, owner[of], doc[of], np.maximum(first[of], begin - PART + 1), np.minimum(last[of], begin)
+
+
+def segments(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(anchor hash, content hash, more of it, document row, first window, windows) of a slice."""
+    eight = B.eights(buf)
+    found = anchored(buf, eight, offs, length)
+    if hot is not None:
+        cut = hot[sketch.cells(found[0])]
+        if cut.any():
+            parts = parted(buf, eight, *(x[cut] for x in found), length)
+            found = tuple(np.concatenate([x[~cut], y]) for x, y in zip(found, parts))
+    anchor, owner, doc, first, last = found
     content, more = B.span_hashes(eight, buf, first, last + length)
     # The anchor's place in the segment tells apart equal bytes with different anchors.
-    content = B.splitmix(content + (owner[first] - first).astype(np.uint64))
-    return gram[owner[first]], content, more, doc[first], first - offs[doc[first]], last - first + 1
+    content = B.splitmix(content + (owner - first).astype(np.uint64))
+    return anchor, content, more, doc, first - offs[doc], last - first + 1
 
 
 def _pieces(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
@@ -172,7 +202,7 @@ def _groups(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, np.flatnonzero(np.r_[True, (a["doc"][1:] != a["doc"][:-1]) | (a["tx"][1:] != a["tx"][:-1]), True]) if len(a) else np.zeros(1, np.int64)
 
 
-def removed_spans(documents: DataFrame, store: Store | None = None) -> DataFrame:
+def removed_spans(documents: DataFrame, store: Store | None = None, hot: int = HOT) -> DataFrame:
     """``doc, tx, spans`` (int64 pairs of byte positions) of the documents that lose bytes."""
     spark = documents.sparkSession
     store = store or Store(spark)
@@ -180,8 +210,24 @@ def removed_spans(documents: DataFrame, store: Store | None = None) -> DataFrame
     slim = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tx"))
     buckets = buckets_for(slim)
 
+    def count(batches):
+        found: list[np.ndarray] = []
+        for b in batches:
+            for _, _, buf, offs, _ in _pieces(b.column("text")):
+                found.append(sketch.cells(anchored(buf, B.eights(buf), offs)[0]))
+            if sum(map(len, found)) > 1 << 22:
+                yield blob_batch(sketch.cell_rows(found))
+                found.clear()
+        yield blob_batch(sketch.cell_rows(found))
+
+    packed, total = sketch.classes(slim.mapInArrow(count, BLOBS), hot)
+    limit = max(hot, 4 * total // sketch.CELLS)
+    shared = store.share(packed)
+
     def cut(batches):
         found: list[np.ndarray] = []
+        # An empty cell has class 0, and so has any under ``hot``.
+        split = sketch.at_most(sketch.table(shared.value)) > limit
 
         def flush():
             p, first = _by_content(np.concatenate([np.zeros(0, _SEGMENT), *found]))
@@ -195,7 +241,7 @@ def removed_spans(documents: DataFrame, store: Store | None = None) -> DataFrame
         for b in batches:
             ids, tx = b.column("doc_id").to_numpy(), b.column("tx").to_numpy()
             for lo, hi, buf, offs, base in _pieces(b.column("text")):
-                anchor, content, more, doc, start, windows = segments(buf, offs)
+                anchor, content, more, doc, start, windows = segments(buf, offs, hot=split)
                 cols = [anchor, content, more >> np.uint64(32), ids[lo:hi][doc], tx[lo:hi][doc], start + base, windows]
                 found.append(np.rec.fromarrays([c.astype(_SEGMENT[k]) for k, c in enumerate(cols)], dtype=_SEGMENT))
             if sum(map(len, found)) > 1 << 20:
@@ -218,6 +264,7 @@ def removed_spans(documents: DataFrame, store: Store | None = None) -> DataFrame
         return _kinds([*((j, 1, x) for j, x in pack(p["doc"][first] % buckets, p[first])), (k, 2, p[~first].tobytes())])
 
     met = store.write(by_bucket(slim.mapInArrow(cut, BLOBS), meet, "bucket int, kind int, blob binary"))
+    store.release()
 
     def by_doc(table: pa.Table) -> pa.Table:
         a, new = _groups(unpack(table, _SEGMENT))
@@ -320,10 +367,10 @@ def _kept(raw: np.ndarray, spans: bytes) -> bytes:
     return raw[keep].tobytes()
 
 
-def suffix_dedup(documents: DataFrame) -> DataFrame:
+def suffix_dedup(documents: DataFrame, hot: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes of those that lose any)
     and ``kept_sha256``."""
-    spans, text = removed_spans(documents), F.col("text").cast("string")
+    spans, text = removed_spans(documents, hot=hot), F.col("text").cast("string")
     raw = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(text).alias("tx"))
     raw = raw.withColumn("n_bytes", F.octet_length("text").cast("long"))
     side = sized(spans.withColumnRenamed("doc", "doc_id").select("doc_id", "tx"), spans.count())

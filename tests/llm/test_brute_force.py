@@ -112,8 +112,9 @@ def test_suffix_dedup(docs):
             seen.add(b[k : k + 100])
         left = bytes(np.frombuffer(b, np.uint8)[~mark])
         want[i] = (len(b), int(mark.sum()), int((np.diff(np.r_[0, mark.astype(int)]) == 1).sum()), hashlib.sha256(left).hexdigest())
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.suffix_dedup(df).collect()}
-    assert got == want and sum(x[1] for x in want.values())
+    for hot in (suffixdedup.HOT, 2):  # with 2 most anchors are cut further
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.suffix_dedup(df, hot).collect()}
+        assert got == want and sum(x[1] for x in want.values())
 
 
 def test_long_document_in_pieces(monkeypatch):
@@ -131,6 +132,22 @@ def test_long_document_in_pieces(monkeypatch):
     assert sorted(covered)[0][0] == 0 and all(x[1] == y[0] for x, y in zip(sorted(covered), sorted(covered)[1:]))
 
 
+def test_hot_anchors_are_cut_into_parts():
+    """Parts cover the same windows, and equal windows have equal anchors wherever they stand."""
+    rng = np.random.default_rng(2)
+    shared = rng.integers(97, 123, 260, dtype=np.uint8)
+    texts = [np.concatenate([rng.integers(97, 123, n, dtype=np.uint8), shared, rng.integers(97, 123, 150, dtype=np.uint8)]) for n in (40, 333)]
+    owners = []
+    for text in texts:
+        offs = np.array([0, len(text)])
+        whole, parts = (suffixdedup.segments(text, offs, hot=h) for h in (None, np.ones(1 << 23, bool)))
+        assert parts[5].max() <= suffixdedup.PART and parts[5].sum() == whole[5].sum() == len(text) - 99
+        assert sorted(s + k for s, n in zip(parts[4], parts[5]) for k in range(n)) == list(range(len(text) - 99))
+        owners.append({text[s + k : s + k + 100].tobytes(): a for a, s, n in zip(parts[0], parts[4], parts[5]) for k in range(n)})
+    both = owners[0].keys() & owners[1].keys()
+    assert len(both) >= 161 and all(owners[0][w] == owners[1][w] for w in both)
+
+
 def test_index():
     rng = np.random.default_rng(0)
     for _ in range(20):

@@ -6,7 +6,7 @@ are scanned window by window; a hash found in the set is verified word for word
 benchmark before it counts.
 
 Scale: the benchmark goes to the executors as its normalised texts, in pieces of at most
-``max_windows`` windows (a longer item is cut into parts that share ``n - 1`` words); a window is a
+``max_windows`` windows and ``MAX_BYTES`` (a longer item is cut into parts that share ``n - 1`` words); a window is a
 place in such a text, so a piece is about as large as its words.  The driver holds one piece at a
 time, and each worker process builds the piece's hash table once.  With one piece documents are read
 once and nothing of them is shuffled; a larger benchmark takes several passes over one written copy
@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import bytesops as B
 from .store import Store, text_batches
 
-MAX_WINDOWS = 2_000_000
+#: Of a piece: windows, and bytes of its texts (an item of more bytes is a piece alone).
+MAX_WINDOWS, MAX_BYTES = 2_000_000, 64 << 20
 _BITS = 20
 
 
@@ -120,13 +121,13 @@ def _pieces(benchmark: DataFrame, n: int, max_windows: int) -> Iterator[list[tup
             yield pa.RecordBatch.from_arrays([pa.array(out["words"], pa.binary()), pa.array(out["item"], pa.string()), pa.array(out["windows"], pa.int64())], list(out))
 
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    piece, held = [], 0
+    piece, held, size = [], 0, 0
     for row in items.mapInArrow(normal, "words binary, item string, windows long").toLocalIterator():
-        if piece and held + row.windows > max_windows:
+        if piece and (held + row.windows > max_windows or size + len(row["words"]) > MAX_BYTES):
             yield piece
-            piece, held = [], 0
+            piece, held, size = [], 0, 0
         piece.append((bytes(row["words"]), row["item"]))
-        held += row.windows
+        held, size = held + row.windows, size + len(row["words"])
     yield piece
 
 

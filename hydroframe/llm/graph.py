@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .store import Store, partitions
 
-BLOCK = 256
+BLOCK = 128
 #: Links that one task settles (3 MB); longer tables are contracted by joins until so few are left.
 SMALL = 200_000
 _CELLS = 1 << 24
@@ -154,7 +154,9 @@ def verified_links(members: DataFrame, labels: DataFrame, store: Store, num: int
     rows = members.join(sized, "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.withColumn("lo", F.least("b", "other")).withColumn("hi", F.greatest("b", "other"))
-    deal = F.pmod(F.xxhash64("comp", "lo", "hi"), F.lit(groups or 4 * partitions(spark))).cast("int")
+    # Small groups share a task's call; each pair of blocks of a large one is a call of its own.
+    many = F.lit(groups or 4 * partitions(spark))
+    deal = F.when(F.col("nb") > 1, F.xxhash64("comp", "lo", "hi")).otherwise(F.pmod(F.xxhash64("comp"), many))
 
     def link(table: pa.Table) -> pa.Table:
         col = lambda n: table[n].to_numpy()

@@ -92,8 +92,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def buckets_for(df: DataFrame) -> int:
-    """Groups to deal packed records into: four for each shuffle partition, and up to 64 if the planner
-    takes the input for more than ``GROUP_BYTES`` a group."""
+    """Groups to deal packed records into: four for each shuffle partition, or one for each
+    ``GROUP_BYTES`` that the planner takes the input for, so that no group grows with the data."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = partitions(df.sparkSession)
-    return max(4 * n, min(64 * n, size // GROUP_BYTES))
+    return max(4 * partitions(df.sparkSession), min(size // GROUP_BYTES, 1 << 30))

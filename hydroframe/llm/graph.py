@@ -143,15 +143,17 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int
 def verified_links(members: DataFrame, labels: DataFrame, store: Store, num: int = 4, den: int = 5, block: int = BLOCK, groups: int = 0) -> DataFrame:
     """Exact links within groups.
 
-    ``members``: ``node, elements`` (uint64, sorted, distinct) and ``doc, tx, line`` (a position);
-    ``labels``: ``node, comp``.  Returns ``node, links, doc, tx, line, root``: the number of linked nodes, the
+    ``members``: a key and ``elements`` (uint64, sorted, distinct); ``labels``: that key and ``comp``.  One
+    of the two has ``node`` and its position ``doc, tx, line``; the key is the columns they share, so
+    members that lie by their key are not shuffled to be labelled.  Returns ``node, links, doc, tx, line, root``: the number of linked nodes, the
     earliest position among them and the smallest node linked within the task; one row for each
     node and task that found links.
     """
     spark = members.sparkSession
     sizes = labels.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
+    key = [c for c in members.columns if c in labels.columns]
     sized = labels.join(sizes, "comp").withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb").cast("long")).cast("int"))
-    rows = members.join(sized, "node")
+    rows = members.join(sized, key)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.withColumn("lo", F.least("b", "other")).withColumn("hi", F.greatest("b", "other"))
     # Small groups share a task's call; each pair of blocks of a large one is a call of its own.

@@ -293,7 +293,7 @@ def decisions(documents: DataFrame, hot: int = HOT) -> DataFrame:
     def sets(batches):
         for b in batches:
             want = [set(x) for x in b.column("lines").to_pylist()]
-            out: dict[str, list] = {"node": [], "check": [], "elements": []}
+            out: dict[str, list] = {"h": [], "h2": [], "elements": []}
             for lo, hi, buf, offs in B.slices(b.column("text")):
                 line, token, second, line_doc, line_no = line_words(buf, offs)
                 for ln, _, tk, t2 in line_sets(line, token, second, None):
@@ -301,14 +301,14 @@ def decisions(documents: DataFrame, hot: int = HOT) -> DataFrame:
                     last = np.r_[first[1:], len(tk)]
                     for k, w in enumerate(which):
                         if int(line_no[w]) in want[lo + int(line_doc[w])]:
-                            out["node"].append(int(node[k]))
-                            out["check"].append(int(check[k]))
+                            out["h"].append(int(node[k]))
+                            out["h2"].append(int(check[k]))
                             out["elements"].append(tk[first[k] : last[k]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if c == "elements" else pa.int64()) for c, v in out.items()], list(out))
 
-    held = only(slim, firsts.select("doc").distinct()).join(asking, ["doc_id", "tx"]).select("text", "lines").mapInArrow(sets, "node long, check long, elements binary")
-    held = held.dropDuplicates(["node", "check"]).join(firsts, ["node", "check"]).select(F.col("id").alias("node"), "elements", "doc", "tx", "line")
-    labels = firsts.join(coarse, "node").select(F.col("id").alias("node"), "comp")
+    held = only(slim, firsts.select("doc").distinct()).join(asking, ["doc_id", "tx"]).select("text", "lines").mapInArrow(sets, "h long, h2 long, elements binary")
+    held = held.dropDuplicates(["h", "h2"])
+    labels = firsts.join(coarse, "node").select(F.col("node").alias("h"), F.col("check").alias("h2"), F.col("id").alias("node"), "comp", "doc", "tx", "line")
     linked = verified_links(held, labels, store, groups=buckets).groupBy("node").agg(F.sum("links").alias("links"), F.min(F.struct("doc", "tx", "line")).alias("first"))
     linked = linked.withColumnRenamed("node", "id").join(firsts.select("id", "node", "check"), "id")
     linked = store.write(linked.select(F.pmod("node", F.lit(buckets)).cast("int").alias("bucket"), "node", "check", "links", "first.doc", "first.tx", "first.line"))

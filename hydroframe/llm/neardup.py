@@ -187,19 +187,19 @@ def near_duplicates(documents: DataFrame, num: int = 4, den: int = 5) -> DataFra
 
     def sets(batches):
         for b in batches:
-            out = {"node": [], "check": [], "elements": []}
+            out = {"h": [], "h2": [], "elements": []}
             for _, n, (row, element, second, weight) in _bags(b.column("text")):
                 node, check, first = node_ids(row, element, weight, n), node_ids(row, second, weight, n), np.searchsorted(row, np.arange(n + 1))
                 for k in np.flatnonzero(node):
                     s = slice(first[k], first[k + 1])
-                    out["node"].append(int(node[k]))
-                    out["check"].append(int(check[k]))
+                    out["h"].append(int(node[k]))
+                    out["h2"].append(int(check[k]))
                     out["elements"].append(expand(element[s], weight[s]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if c == "elements" else pa.int64()) for c, v in out.items()], list(out))
 
-    held = only(slim, picked.select("doc").distinct()).mapInArrow(sets, "node long, check long, elements binary").dropDuplicates(["node", "check"])
-    held = held.join(picked, ["node", "check"]).select(F.col("id").alias("node"), "elements", "doc", F.lit(0).cast("long").alias("tx"), F.lit(0).alias("line"))
-    found = store.write(verified_links(held, picked.select(F.col("id").alias("node"), "comp"), store, num, den, groups=buckets))
+    held = only(slim, picked.select("doc").distinct()).mapInArrow(sets, "h long, h2 long, elements binary").dropDuplicates(["h", "h2"])
+    labels = picked.select(F.col("node").alias("h"), F.col("check").alias("h2"), F.col("id").alias("node"), "comp", "doc", F.lit(0).cast("long").alias("tx"), F.lit(0).alias("line"))
+    found = store.write(verified_links(held, labels, store, num, den, groups=buckets))
     groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), store, written=True)
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
     grouped = firsts.join(groups, firsts.id == groups.node).select("id", "doc", "comp")

@@ -253,7 +253,7 @@ def decisions(documents: DataFrame, hot: int = HOT) -> DataFrame:
     packed, _ = sketch.classes(counted)
     shared = store.share(packed)
     # Without a word of more than ``hot`` occurrences no cell can have that many prefix rows.
-    many = sketch.at_most(sketch.table(packed).max()) > hot
+    many = sketch.reaches(packed, sketch.class_above(hot))
     heavy = store.share(sketch.classes(_heavy(slim, shared), hot)[0] if many else [])
 
     def index(batches):

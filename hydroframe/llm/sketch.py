@@ -67,3 +67,13 @@ def table(packed: list[tuple[int, bytes]]) -> np.ndarray:
     for k, blob in packed:
         out[k * _WIDTH : (k + 1) * _WIDTH] = np.frombuffer(zlib.decompress(blob), np.uint8)
     return out
+
+
+def class_above(count: float) -> int:
+    """The first class of which every cell may have more than ``count``."""
+    return int(np.searchsorted(at_most(np.arange(256)), count, side="right"))
+
+
+def reaches(packed: list[tuple[int, bytes]], least: int) -> bool:
+    """Whether any cell has class ``least`` or more."""
+    return any((np.frombuffer(zlib.decompress(blob), np.uint8) >= least).any() for _, blob in packed)

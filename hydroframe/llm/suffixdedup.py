@@ -221,13 +221,13 @@ def removed_spans(documents: DataFrame, store: Store | None = None, hot: int = H
         yield blob_batch(sketch.cell_rows(found))
 
     packed, total = sketch.classes(slim.mapInArrow(count, BLOBS), hot)
-    limit = max(hot, 4 * total // sketch.CELLS)
-    shared = store.share(packed)
+    # An empty cell has class 0, and so has any under ``hot``.
+    least = max(1, sketch.class_above(max(hot, 4 * total // sketch.CELLS)))
+    shared = store.share(packed if sketch.reaches(packed, least) else None)
 
     def cut(batches):
         found: list[np.ndarray] = []
-        # An empty cell has class 0, and so has any under ``hot``.
-        split = sketch.at_most(sketch.table(shared.value)) > limit
+        split = None if shared.value is None else sketch.table(shared.value) >= least
 
         def flush():
             p, first = _by_content(np.concatenate([np.zeros(0, _SEGMENT), *found]))
